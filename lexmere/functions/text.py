@@ -101,3 +101,11 @@ def python_list(items: Column) -> Column:
         ).otherwise(F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'"))),
     )
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+
+
+def without(words: str, drop: tuple[str, ...]) -> Column:
+    """Array column `words` without the listed ones; sent to the JVM as one expression."""
+    if not drop:
+        return F.col(words)
+    quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in drop)
+    return F.expr(f"filter({words}, w -> w NOT IN ({quoted}))")

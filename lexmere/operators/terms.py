@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmere.functions.fixed import english_stop_words
-from lexmere.functions.text import WORD
+from lexmere.functions.text import WORD, without
 
 
 @dataclass(frozen=True)
@@ -51,59 +51,50 @@ class TermOptions:
 ALL_TERMS = TermOptions(min_df=1, max_df=1.0)
 
 
-def _pairs_up(left: Column, words: Column, shift: int) -> Column:
-    """Join each n-gram with the word that follows it; both arrays walk in step."""
-    n = F.greatest(F.size(words) - shift, F.lit(0))
-    return F.zip_with(
-        F.slice(left, F.lit(1), n),
-        F.slice(words, F.lit(shift + 1), n),
-        lambda gram, word: F.concat_ws(" ", gram, word),
-    )
-
-
 def with_ngrams(df: DataFrame, words: str, ngram_range: tuple[int, int], out: str) -> DataFrame:
-    """Replace array column `words` by the n-grams of the range, as array `out`."""
+    """Replace array column `words` by the n-grams of the range, as array `out`.
+
+    Each n-gram array is the previous one walked in step with the words that follow.
+    """
     low, high = ngram_range
     if not 1 <= low <= high:
         raise ValueError(f"bad ngram_range: {ngram_range}")
     rest = [c for c in df.columns if c != words]
-    df = df.select(*rest, words, F.col(words).alias("_g1"))
+    df = df.selectExpr(*rest, words, f"{words} AS _g1")
     for n in range(2, high + 1):
-        df = df.select("*", _pairs_up(F.col(f"_g{n - 1}"), F.col(words), n - 1).alias(f"_g{n}"))
-    return df.select(*rest, F.concat(*[f"_g{n}" for n in range(low, high + 1)]).alias(out))
+        held = f"greatest(size({words}) - {n - 1}, 0)"
+        df = df.selectExpr(
+            "*",
+            f"""zip_with(slice(_g{n - 1}, 1, {held}), slice({words}, {n}, {held}),
+                         (gram, word) -> concat_ws(' ', gram, word)) AS _g{n}""",
+        )
+    grams = ", ".join(f"_g{n}" for n in range(low, high + 1))
+    return df.selectExpr(*rest, f"concat({grams}) AS {out}")
 
 
 def term_arrays(docs: DataFrame, text: str, options: TermOptions, keep: list[str]) -> DataFrame:
     """(keep..., n_terms, counts array<struct<term, tf>>), one row per document, no shuffle."""
-    source = F.coalesce(F.col(text), F.lit(""))
+    source = f"coalesce({text}, '')"
     if options.lowercase:
-        source = F.lower(source)
-    found = docs.select(*keep, F.regexp_extract_all(source, F.lit(WORD), F.lit(0)).alias("_w"))
-    drop = options.words_to_drop()
-    if drop:
-        found = found.select(*keep, F.filter("_w", lambda w: ~w.isin(*drop)).alias("_w"))
-    grams = with_ngrams(found, "_w", options.ngram_range, "_t")
-    ordered = grams.select(*keep, F.sort_array("_t").alias("_t"))
-    starts = ordered.select(
-        *keep,
-        "_t",
-        F.filter(
-            F.transform(
-                "_t", lambda t, i: F.when((i == 0) | (t != F.get(F.col("_t"), i - 1)), i)
-            ),
-            lambda i: i.isNotNull(),
-        ).alias("_s"),
-    )
-    return starts.select(
-        *keep,
-        F.size("_t").alias("n_terms"),
-        F.transform(
-            "_s",
-            lambda at, i: F.struct(
-                F.get(F.col("_t"), at).alias("term"),
-                (F.coalesce(F.get(F.col("_s"), i + 1), F.size("_t")) - at).alias("tf"),
-            ),
-        ).alias("counts"),
+        source = f"lower({source})"
+    found = docs.selectExpr(*keep, f"regexp_extract_all({source}, r'{WORD}', 0) AS _w")
+    kept = found.select(*keep, without("_w", options.words_to_drop()).alias("_w"))
+    grams = with_ngrams(kept, "_w", options.ngram_range, "_t")
+    return (
+        grams.selectExpr(*keep, "sort_array(_t) AS _t")
+        .selectExpr(
+            *keep,
+            "_t",
+            """filter(transform(_t, (t, i) -> CASE WHEN i = 0 OR t <> get(_t, i - 1) THEN i END),
+                      i -> i IS NOT NULL) AS _starts""",
+        )
+        .selectExpr(
+            *keep,
+            "size(_t) AS n_terms",
+            """transform(_starts, (at, i) -> named_struct(
+                 'term', get(_t, at),
+                 'tf', coalesce(get(_starts, i + 1), size(_t)) - at)) AS counts""",
+        )
     )
 
 
