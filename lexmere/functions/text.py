@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"[\s\x1c-\x1f]"
-WORD = r"[\p{L}\p{N}_]{2,}"
+NOT_WORD = r"[^\p{L}\p{N}_]+"
 
 
 def strip(c: Column) -> Column:
@@ -103,9 +103,12 @@ def python_list(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
 
-def without(words: str, drop: tuple[str, ...]) -> Column:
-    """Array column `words` without the listed ones; sent to the JVM as one expression."""
+def long_words(words: str, drop: tuple[str, ...], also: str = "true") -> Column:
+    """Words of two characters or more that are not in `drop` and pass the SQL test `also`.
+
+    The list goes to the JVM as one expression: one call instead of one per word.
+    """
     if not drop:
-        return F.col(words)
+        return F.expr(f"filter({words}, w -> length(w) > 1 AND {also})")
     quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in drop)
-    return F.expr(f"filter({words}, w -> w NOT IN ({quoted}))")
+    return F.expr(f"filter({words}, w -> length(w) > 1 AND {also} AND w NOT IN ({quoted}))")

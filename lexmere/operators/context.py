@@ -18,7 +18,7 @@ from lexmere.functions.fixed import (
     SUPPORT_HEADING,
 )
 from lexmere.functions.text import page_of, python_list, strip
-from lexmere.session import at_most, small
+from lexmere.session import at_most, small, written
 
 MODES = ("explore", "cite_strict")
 
@@ -29,12 +29,14 @@ def support_cap(max_chars: int, tail_frac: float = 0.35) -> int:
 
 
 def with_payload(results: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Join text and metadata back, after the cut: text of other chunks never moves."""
-    wanted = results.select("chunk_id").distinct()
+    """Join text and metadata back, after the cut: text of other chunks never moves.
+
+    The ranked ids (questions x k rows) are written first, so the search runs once; the
+    chunk table is then read once, against a broadcast of them while they are few.
+    """
+    ranked = written(results, "ranked")
     payload = chunks.select("chunk_id", "text", "topic", "title", "page")
-    fits = at_most(wanted)
-    held = payload.join(small(wanted, fits), "chunk_id", "left_semi")
-    return small(results, fits).join(held, "chunk_id") if fits else results.join(held, "chunk_id")
+    return payload.join(small(ranked, at_most(ranked)), "chunk_id")
 
 
 def weights(results: DataFrame, mode: str = "ratio", tau: float = 1.0) -> DataFrame:

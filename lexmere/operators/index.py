@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmere.operators.terms import TermOptions, smooth_idf, term_rows, term_stats
+from lexmere.operators.terms import TermOptions, smooth_idf, term_arrays, term_rows, term_stats
 from lexmere.session import BROADCAST_ROWS, small, spread, written
 
 POSTING_BUCKETS = 256
@@ -30,6 +30,7 @@ class LexicalIndex:
     kept_tokens: int
     n_vocabulary: int
     n_postings: int
+    n_too_common: int
     postings: DataFrame | None = None
     buckets: int = 0
 
@@ -49,17 +50,9 @@ class LexicalIndex:
         )
 
     def too_common(self) -> DataFrame:
-        """(term, df) above max_df.
-
-        At most (postings per document) / max_df terms can be this common, a number
-        that does not grow with the corpus.
-        """
+        """(term, df) above max_df: at most (postings per document) / max_df terms."""
         return self.stats.filter(F.col("df") > self.df_bounds[1]).select("term", "df")
 
-    def common_terms_fit(self) -> bool:
-        high = self.df_bounds[1]
-        return high > 0 and self.n_postings / high <= BROADCAST_ROWS
-
     def head_floor(self) -> float:
         """Document frequency above which fewer than BROADCAST_ROWS terms can lie."""
         if self.n_vocabulary <= BROADCAST_ROWS:
@@ -75,43 +68,42 @@ class LexicalIndex:
         keyed = wanted.withColumn("bucket", _bucket(self.buckets))
         return self.postings.join(small(keyed, fits), ["bucket", "term"])
 
-    def dropped_rare(self) -> DataFrame:
-        """(chunk_id, lost): tokens of each chunk whose term is below min_df."""
+    def dropped_tokens(self) -> DataFrame:
+        """(chunk_id, lost): tokens of each chunk whose term is not in the vocabulary.
+
+        A term seen in one chunk names that chunk itself, so the usual min_df of 2 is
+        corrected from the statistics alone. Rarer settings and too common terms, if
+        there are any, go through the term rows.
+        """
         low = self.df_bounds[0]
-        lost = self.stats.filter((F.col("df") == 1) & (F.lit(1) < low)).select(
+        once = (F.col("df") == 1) & (F.lit(1) < low)
+        lost = self.stats.filter(once).select(
             F.col("only_doc").alias("chunk_id"), F.col("cf").alias("lost")
         )
+        through_rows = []
         if low > 2:
-            rare = self.stats.filter((F.col("df") > 1) & (F.col("df") < low)).select("term")
-            more = self.term_rows().join(rare, "term")
+            rare = self.stats.filter((F.col("df") > 1) & (F.col("df") < low))
+            through_rows.append(rare.select("term").hint("merge"))
+        if self.n_too_common:
+            common = self.too_common().filter((F.col("df") > 1) | (F.lit(1) >= low))
+            through_rows.append(small(common.select("term"), self.n_too_common <= BROADCAST_ROWS))
+        for terms in through_rows:
+            more = self.term_rows().join(terms, "term")
             lost = lost.unionByName(more.select("chunk_id", F.col("tf").cast("long").alias("lost")))
         return lost.groupBy("chunk_id").agg(F.sum("lost").alias("lost"))
 
     def chunk_lengths(self) -> DataFrame:
-        """(chunk_id, dl): kept tokens of every chunk, 0 included."""
-        low, high = self.df_bounds
-        rows = self.term_rows()
-        common = self.too_common().select("term", F.lit(True).alias("common"))
-        if self.common_terms_fit():
-            common = F.broadcast(common)
-        per_chunk = (
-            rows.join(common, "term", "left")
-            .groupBy("chunk_id")
-            .agg(F.sum(F.when(F.col("common").isNull(), F.col("tf")).otherwise(0)).alias("held"))
-        )
+        """(chunk_id, dl): vocabulary tokens of every chunk, 0 included."""
+        sizes = term_arrays(self.chunks, "text", self.options, ["chunk_id"])
         return (
-            self.chunks.select("chunk_id")
-            .join(per_chunk, "chunk_id", "left")
-            .join(self.dropped_rare(), "chunk_id", "left")
+            sizes.select("chunk_id", "n_terms")
+            .join(self.dropped_tokens(), "chunk_id", "left")
             .select(
                 "chunk_id",
-                (F.coalesce("held", F.lit(0)) - F.coalesce("lost", F.lit(0)))
-                .cast("long")
-                .alias("dl"),
+                (F.col("n_terms") - F.coalesce("lost", F.lit(0))).cast("long").alias("dl"),
             )
         )
 
-
     def chunk_norms(self) -> DataFrame:
         """(chunk_id, norm): L2 length of each chunk's tf * idf vector.
 
@@ -125,7 +117,8 @@ class LexicalIndex:
         squares = squares.groupBy("chunk_id").agg(F.sum(weight * weight).alias("square"))
         if floor > 0:
             tail = self.vocabulary().filter(F.col("df") <= floor).select("term", "df")
-            more = self.term_rows().join(tail, "term")
+            # exploded rows look small to the planner, so the join is named: by sorting
+            more = self.term_rows().join(tail.hint("merge"), "term")
             squares = squares.unionByName(
                 more.groupBy("chunk_id").agg(F.sum(weight * weight).alias("square"))
             )
@@ -133,24 +126,37 @@ class LexicalIndex:
 
 
 def build_index(chunks: DataFrame, options: TermOptions = TermOptions()) -> LexicalIndex:
-    """Index `chunks` (chunk_id, text, topic, ...): one pass and one shuffle over it."""
+    """Index `chunks` (chunk_id, text, topic, ...): one pass and one shuffle over it.
+
+    `chunks` is read again by every search, so it should be a stored table.
+    """
+    n_docs = chunks.count()
     chunks = spread(chunks, "chunk_id")
     rows = term_rows(chunks, "text", options, ["chunk_id"])
     stats = written(term_stats(rows, "chunk_id"), "term-stats")
-    return _measure(chunks, options, stats)
+    return _measure(chunks, n_docs, options, stats)
 
 
-def _measure(chunks: DataFrame, options: TermOptions, stats: DataFrame) -> LexicalIndex:
-    n_docs = chunks.count()
+def _measure(
+    chunks: DataFrame, n_docs: int, options: TermOptions, stats: DataFrame
+) -> LexicalIndex:
     low, high = options.df_bounds(n_docs)
     kept = (F.col("df") >= low) & (F.col("df") <= high)
     row = stats.agg(
         F.sum(F.when(kept, F.col("cf"))).alias("tokens"),
         F.count_if(kept).alias("terms"),
         F.sum("df").alias("postings"),
+        F.count_if(F.col("df") > high).alias("common"),
     ).first()
     return LexicalIndex(
-        chunks, options, stats, n_docs, row["tokens"] or 0, row["terms"] or 0, row["postings"] or 0
+        chunks=chunks,
+        options=options,
+        stats=stats,
+        n_docs=n_docs,
+        kept_tokens=row["tokens"] or 0,
+        n_vocabulary=row["terms"] or 0,
+        n_postings=row["postings"] or 0,
+        n_too_common=row["common"] or 0,
     )
 
 
@@ -169,7 +175,7 @@ def save_index(index: LexicalIndex, path: str, buckets: int = POSTING_BUCKETS) -
     salt = F.pmod(F.xxhash64("chunk_id"), F.lit(_POSTING_SALTS)).cast("int")
     rows = (
         index.term_rows()
-        .join(index.vocabulary().select("term"), "term")
+        .join(index.vocabulary().select("term").hint("merge"), "term")
         .join(index.chunk_lengths(), "chunk_id")
         .join(index.chunk_norms(), "chunk_id")
         .select("chunk_id", "topic", "dl", "norm", "term", "tf")
@@ -198,4 +204,4 @@ def load_index(
     stats = spark.read.parquet(f"{path}/term_stats")
     chunks = spark.read.parquet(f"{path}/chunks")
     postings = spark.read.parquet(f"{path}/postings")
-    return replace(_measure(chunks, options, stats), postings=postings, buckets=buckets)
+    return replace(_measure(chunks, chunks.count(), options, stats), postings=postings, buckets=buckets)

@@ -1,10 +1,10 @@
 """BM25 and TF-IDF retrieval for batches of questions.
 
-Both searches have the same shape. The few terms that matter to a batch are
-broadcast (their number is checked) against the term rows, so the corpus is read
-once without a shuffle and each matching chunk leaves as one row holding its matched
-terms. Only those rows are shuffled, by chunk id; scoring and the per-question cut
-then reuse that partitioning.
+Both searches have the same shape. The few terms a batch asks for are broadcast
+(their number is checked) against the term rows, so the corpus is read without a
+shuffle and only matching rows go on. Those are joined to a per-chunk number (length
+or norm) by chunk id, and the scores per chunk and question reuse that partitioning.
+Each task then keeps its own best k chunks per question before the last shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from lexmere.operators.expansion import dictionary_table, expand_questions
 from lexmere.operators.ranking import by_score, top_k
 from lexmere.operators.terms import bm25_idf, smooth_idf, term_rows
 from lexmere.operators.index import LexicalIndex
-from lexmere.session import at_most, small
+from lexmere.session import at_most, small, written
 
 RETRIEVERS = ("bm25", "tfidf")
 
@@ -28,9 +28,15 @@ def as_dictionary(spark, dictionary) -> DataFrame | None:
 
 
 def question_terms(questions: DataFrame, index: LexicalIndex) -> DataFrame:
-    """(qid, q_topic, term, qtf) of the expanded questions, vocabulary not yet applied."""
+    """(qid, q_topic, term, qtf) of the expanded questions, vocabulary not yet applied.
+
+    A written table: several joins use it and expansion should run once.
+    """
     rows = term_rows(questions, "expanded", index.options, ["qid", "topic"])
-    return rows.select("qid", F.col("topic").alias("q_topic"), "term", F.col("tf").alias("qtf"))
+    return written(
+        rows.select("qid", F.col("topic").alias("q_topic"), "term", F.col("tf").alias("qtf")),
+        "question-terms",
+    )
 
 
 def _wanted(index: LexicalIndex, terms: DataFrame, fits: bool) -> DataFrame:
@@ -54,23 +60,11 @@ def _bm25_hits(index: LexicalIndex, wanted: DataFrame, fits: bool) -> DataFrame:
     """(chunk_id, topic, dl, term, tf) of the wanted terms, in-vocabulary length included."""
     if index.postings is not None:
         return index.stored_rows(wanted.select("term"), fits)
-    probe = wanted.select("term", F.lit(True).alias("asked")).unionByName(
-        index.too_common().select("term", F.lit(False).alias("asked"))
-    )
-    found = index.term_rows().join(small(probe, fits and index.common_terms_fit()), "term")
-    per_chunk = (
-        found.groupBy("chunk_id")
-        .agg(
-            F.first("topic").alias("topic"),
-            F.first("n_terms").alias("n_terms"),
-            F.sum(F.when(F.col("asked"), 0).otherwise(F.col("tf"))).alias("common"),
-            F.collect_list(F.when(F.col("asked"), F.struct("term", "tf"))).alias("hits"),
-        )
-        .filter(F.size("hits") > 0)
+    found = index.term_rows().join(small(wanted.select("term"), fits), "term")
+    dl = F.col("n_terms") - F.coalesce("lost", F.lit(0))
+    return found.join(index.dropped_tokens(), "chunk_id", "left").select(
+        "chunk_id", "topic", dl.alias("dl"), "term", "tf"
     )
-    dl = F.col("n_terms") - F.col("common") - F.coalesce("lost", F.lit(0))
-    sized = per_chunk.join(index.dropped_rare(), "chunk_id", "left")
-    return sized.select("chunk_id", "topic", dl.alias("dl"), F.inline_outer("hits"))
 
 
 def bm25_scores(
@@ -88,46 +82,12 @@ def bm25_scores(
 
 
 def _tfidf_hits(index: LexicalIndex, wanted: DataFrame, fits: bool) -> DataFrame:
-    """(chunk_id, topic, norm, term, tf) of the wanted terms.
-
-    A chunk's norm needs the idf of all its terms. Terms frequent enough to be
-    few are broadcast together with the question terms; the long tail, where no
-    term is frequent, is joined by term.
-    """
+    """(chunk_id, topic, norm, term, tf) of the wanted terms, with the chunk's vector length."""
     if index.postings is not None:
         return index.stored_rows(wanted.select("term"), fits)
-    floor = index.head_floor()
-    asked = wanted.select("term", F.lit(True).alias("asked"))
-    head = index.vocabulary().filter(F.col("df") > floor).select("term", "df")
-    head = head.join(small(asked, fits), "term", "left")
-    if floor > 0:
-        below = wanted.filter(F.col("df") <= floor).select("term", "df")
-        head = head.unionByName(below.withColumn("asked", F.lit(True)))
-    found = index.term_rows().join(small(head, fits), "term")
-    weight = F.col("tf") * smooth_idf(F.col("df"), index.n_docs)
-    per_chunk = (
-        found.groupBy("chunk_id")
-        .agg(
-            F.first("topic").alias("topic"),
-            F.sum(weight * weight).alias("square"),
-            F.collect_list(F.when(F.col("asked"), F.struct("term", "tf"))).alias("hits"),
-        )
-        .filter(F.size("hits") > 0)
-    )
-    square = F.col("square")
-    if floor > 0:
-        tail = index.vocabulary().filter(F.col("df") <= floor).select("term", "df")
-        tail = tail.join(small(wanted.select("term"), fits), "term", "left_anti")
-        rest = (
-            index.term_rows()
-            .join(tail, "term")
-            .groupBy("chunk_id")
-            .agg(F.sum(weight * weight).alias("rest"))
-        )
-        per_chunk = per_chunk.join(rest, "chunk_id", "left")
-        square = square + F.coalesce("rest", F.lit(0.0))
-    return per_chunk.select(
-        "chunk_id", "topic", F.sqrt(square).alias("norm"), F.inline_outer("hits")
+    found = index.term_rows().join(small(wanted.select("term"), fits), "term")
+    return found.join(index.chunk_norms(), "chunk_id").select(
+        "chunk_id", "topic", "norm", "term", "tf"
     )
 
 

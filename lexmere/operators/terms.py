@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmere.functions.fixed import english_stop_words
-from lexmere.functions.text import WORD, without
+from lexmere.functions.text import NOT_WORD, long_words
 
 
 @dataclass(frozen=True)
@@ -77,8 +77,9 @@ def term_arrays(docs: DataFrame, text: str, options: TermOptions, keep: list[str
     source = f"coalesce({text}, '')"
     if options.lowercase:
         source = f"lower({source})"
-    found = docs.selectExpr(*keep, f"regexp_extract_all({source}, r'{WORD}', 0) AS _w")
-    kept = found.select(*keep, without("_w", options.words_to_drop()).alias("_w"))
+    # words are the runs between separators: several times faster than matching each word
+    found = docs.selectExpr(*keep, f"split({source}, r'{NOT_WORD}', -1) AS _w")
+    kept = found.select(*keep, long_words("_w", options.words_to_drop()).alias("_w"))
     grams = with_ngrams(kept, "_w", options.ngram_range, "_t")
     return (
         grams.selectExpr(*keep, "sort_array(_t) AS _t")

@@ -18,6 +18,7 @@ from lexmere.operators.context import (
 from lexmere.operators.index import LexicalIndex
 from lexmere.operators.rerank import by_name
 from lexmere.operators.search import search
+from lexmere.session import written
 
 
 def _check_mode(mode: str | None) -> str:
@@ -37,15 +38,19 @@ def retrieve(
     pool_k: int = 30,
     dictionary=DEFAULT_EXPANSIONS,
 ) -> DataFrame:
-    """(qid, rank, score, chunk_id, text, topic, title, page): pool, rerank, payload."""
+    """(qid, rank, score, chunk_id, text, topic, title, page): pool, rerank, payload.
+
+    Questions x top_k rows, written: several columns of the output are made from them.
+    """
     pool = search(index, questions, retriever=retriever, top_k_=pool_k, dictionary=dictionary)
     reranker = by_name(rerank)
     if rerank == "none":
-        return with_payload(reranker(pool, questions, top_k), index.chunks)
-    full = with_payload(pool, index.chunks)
-    chosen = reranker(full, questions, top_k)
-    payload = full.drop("rank", "score")
-    return chosen.join(payload, ["qid", "chunk_id"])
+        results = with_payload(reranker(pool, questions, top_k), index.chunks)
+    else:
+        full = written(with_payload(pool, index.chunks), "pool")
+        chosen = reranker(full, questions, top_k)
+        results = chosen.join(full.drop("rank", "score"), ["qid", "chunk_id"])
+    return written(results, "results")
 
 
 def make_prompts(

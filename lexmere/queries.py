@@ -116,7 +116,8 @@ def corpus_dictionary(index: LexicalIndex) -> DataFrame:
         F.col("val_pos").cast("long").alias("val_pos"),
         "value",
     )
-    return dictionary_table(spark, DEFAULT_EXPANSIONS).unionByName(mined)
+    both = dictionary_table(spark, DEFAULT_EXPANSIONS).unionByName(mined)
+    return written(both, "dictionary")
 
 
 def doc_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
@@ -130,7 +131,8 @@ def _ranked(found: DataFrame) -> DataFrame:
 def _results(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
     """BM25 results with payload."""
     index = doc_index(spark, sf_dir)
-    return context.with_payload(search(index, questions(spark, sf_dir), top_k_=k), index.chunks)
+    found = search(index, questions(spark, sf_dir), top_k_=k)
+    return written(context.with_payload(found, index.chunks), "results")
 
 
 # ---- terms and statistics -----------------------------------------------------
@@ -241,8 +243,9 @@ def chunk_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_over_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunking.indexable(chunking.chunk_pages(doc_pages(spark, sf_dir)))
-    return _ranked(search(build_index(chunks), questions(spark, sf_dir, by_topic=True)))
+    chunks = written(chunking.chunk_pages(doc_pages(spark, sf_dir)), "chunks")
+    index = build_index(chunking.indexable(chunks))
+    return _ranked(search(index, questions(spark, sf_dir, by_topic=True)))
 
 
 def topic_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,7 +360,7 @@ def _eval_set(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
             "\n", "_lines", "question", F.lit("As noted (unknown::p1::c0, p1). See below.")
         ).alias("answer"),
     )
-    return rows, found.filter("rank <= 8")
+    return written(rows, "evaluation-set"), found.filter("rank <= 8")
 
 
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -418,9 +421,8 @@ def abbrev_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def abbrev_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.abbreviation_examples(
-        mining.abbreviation_matches(abbreviated_records(spark, sf_dir))
-    )
+    matches = mining.abbreviation_matches(abbreviated_records(spark, sf_dir))
+    return mining.abbreviation_examples(written(matches, "abbreviations"))
 
 
 def suggestion_review(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # A side is hinted as broadcast only when it is known to hold at most this many
 # (narrow) rows; beyond it the same join runs as a shuffle join.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 1_000_000
 
 
 def build_session(app: str = "lexmere", master: str | None = None, **conf: str) -> SparkSession:
