@@ -11,7 +11,6 @@ from lexmere.operators.terms import TermOptions, smooth_idf, term_arrays, term_r
 from lexmere.session import BROADCAST_ROWS, small, spread, written
 
 POSTING_BUCKETS = 256
-_POSTING_SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -170,22 +169,18 @@ def save_index(index: LexicalIndex, path: str, buckets: int = POSTING_BUCKETS) -
     A posting carries its chunk's length and norm, so a search touches nothing but
     postings. They lie in folders by a hash of the term, sorted by term within each
     file: a search prunes to the folders of its own terms, then to row groups. The
-    chunk hash spreads a frequent term over several files of its folder.
+    rebalance splits a folder that frequent terms make large over several tasks.
     """
-    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(_POSTING_SALTS)).cast("int")
     rows = (
         index.term_rows()
-        .join(index.vocabulary().select("term").hint("merge"), "term")
         .join(index.chunk_lengths(), "chunk_id")
         .join(index.chunk_norms(), "chunk_id")
         .select("chunk_id", "topic", "dl", "norm", "term", "tf")
         .withColumn("bucket", _bucket(buckets))
-        .withColumn("_salt", salt)
     )
     (
-        rows.repartition("bucket", "_salt")
+        rows.hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "term")
-        .drop("_salt")
         .write.mode("overwrite")
         .partitionBy("bucket")
         .parquet(f"{path}/postings")

@@ -16,7 +16,7 @@ from lexmere.operators.expansion import dictionary_table, expand_questions
 from lexmere.operators.ranking import by_score, top_k
 from lexmere.operators.terms import bm25_idf, smooth_idf, term_rows
 from lexmere.operators.index import LexicalIndex
-from lexmere.session import at_most, small, written
+from lexmere.session import at_most, join_probe, small, written
 
 RETRIEVERS = ("bm25", "tfidf")
 
@@ -50,7 +50,7 @@ def _pair_scores(hits: DataFrame, weighted: DataFrame, fits: bool, value: Column
 
     A question with a topic only meets chunks that carry it; statistics are untouched.
     """
-    met = hits.join(small(weighted, fits), "term").filter(
+    met = join_probe(hits, weighted, "term", fits, by="chunk_id").filter(
         F.col("q_topic").isNull() | F.array_contains("topic", F.col("q_topic"))
     )
     return met.groupBy("chunk_id", "qid").agg(F.sum(value).alias("score"))
@@ -60,7 +60,7 @@ def _bm25_hits(index: LexicalIndex, wanted: DataFrame, fits: bool) -> DataFrame:
     """(chunk_id, topic, dl, term, tf) of the wanted terms, in-vocabulary length included."""
     if index.postings is not None:
         return index.stored_rows(wanted.select("term"), fits)
-    found = index.term_rows().join(small(wanted.select("term"), fits), "term")
+    found = join_probe(index.term_rows(), wanted.select("term"), "term", fits, by="chunk_id")
     dl = F.col("n_terms") - F.coalesce("lost", F.lit(0))
     return found.join(index.dropped_tokens(), "chunk_id", "left").select(
         "chunk_id", "topic", dl.alias("dl"), "term", "tf"
@@ -85,7 +85,7 @@ def _tfidf_hits(index: LexicalIndex, wanted: DataFrame, fits: bool) -> DataFrame
     """(chunk_id, topic, norm, term, tf) of the wanted terms, with the chunk's vector length."""
     if index.postings is not None:
         return index.stored_rows(wanted.select("term"), fits)
-    found = index.term_rows().join(small(wanted.select("term"), fits), "term")
+    found = join_probe(index.term_rows(), wanted.select("term"), "term", fits, by="chunk_id")
     return found.join(index.chunk_norms(), "chunk_id").select(
         "chunk_id", "topic", "norm", "term", "tf"
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # A side is hinted as broadcast only when it is known to hold at most this many
 # (narrow) rows; beyond it the same join runs as a shuffle join.
 BROADCAST_ROWS = 1_000_000
+SALTS = 32
 
 
 def build_session(app: str = "lexmere", master: str | None = None, **conf: str) -> SparkSession:
@@ -69,6 +70,20 @@ def small(df: DataFrame, fits: bool) -> DataFrame:
     return F.broadcast(df) if fits else df
 
 
+def join_probe(rows: DataFrame, probe: DataFrame, key: str, fits: bool, by: str) -> DataFrame:
+    """Join many `rows` to a probe table on a key that may be very frequent in `rows`.
+
+    A probe of checked size is broadcast. Otherwise rows of one key are dealt over
+    several tasks by a hash of column `by`, and each probe row is repeated for them.
+    """
+    if fits:
+        return rows.join(F.broadcast(probe), key)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    repeated = probe.withColumn("_salt", F.explode(salts))
+    return dealt.join(repeated.hint("merge"), [key, "_salt"]).drop("_salt")
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use every core when the input has fewer splits than cores.
 
