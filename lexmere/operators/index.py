@@ -167,8 +167,8 @@ def save_index(index: LexicalIndex, path: str, buckets: int = POSTING_BUCKETS) -
     """Write postings and statistics so that later searches read only what they need.
 
     A posting carries its chunk's length and norm, so a search touches nothing but
-    postings. They lie in folders by a hash of the term, sorted by term within each
-    file: a search prunes to the folders of its own terms, then to row groups. The
+    postings. They lie in folders by a hash of the term, and a search prunes to the
+    folders of its own terms. Files are sorted by term, which packs them well; the
     rebalance splits a folder that frequent terms make large over several tasks.
     """
     rows = (

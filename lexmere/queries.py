@@ -415,7 +415,7 @@ def ngram_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def abbrev_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = mining.abbreviation_matches(abbreviated_records(spark, sf_dir))
+    matches = mining.abbreviation_matches(abbreviated_records(spark, sf_dir), snippets=False)
     best = mining.top_abbreviations(mining.abbreviation_counts(matches))
     return best.select("topic", "rank", "abbr", "long", "count")
 
@@ -442,7 +442,7 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions on the mined candidates: all pairs seen twice, n-grams with a vowel first."""
     best = mining.top_abbreviations(
         mining.abbreviation_counts(
-            mining.abbreviation_matches(abbreviated_records(spark, sf_dir))
+            mining.abbreviation_matches(abbreviated_records(spark, sf_dir), snippets=False)
         ),
         60,
     )
