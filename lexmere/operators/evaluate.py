@@ -19,6 +19,14 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(float("nan")))
 
 
+def _side_by_side(*one_row: DataFrame) -> DataFrame:
+    """One-row frames with different columns as one row, without a join."""
+    rows = one_row[0]
+    for part in one_row[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def recall(questions: DataFrame, results: DataFrame) -> DataFrame:
     """One row: questions with gold ids and the share with any of them retrieved."""
     gold = questions.filter(F.size(F.coalesce("gold_chunk_ids", F.array())) > 0)
@@ -62,8 +70,7 @@ def faithfulness(questions: DataFrame, results: DataFrame, unit: str = "sentence
     n_cites = judged.agg(
         F.count("*").alias("cites"), F.count_if(F.col("known").isNull()).alias("bad")
     )
-    # two one-row aggregates side by side
-    both = n_units.withColumn("one", F.lit(1)).join(n_cites.withColumn("one", F.lit(1)), "one")
+    both = _side_by_side(n_units, n_cites)
     cited = ratio(F.col("cited"), F.col("units"))
     return both.select(
         "units",
@@ -78,17 +85,13 @@ def faithfulness(questions: DataFrame, results: DataFrame, unit: str = "sentence
 
 def metrics(questions: DataFrame, results: DataFrame, unit: str = "sentence") -> DataFrame:
     """The one-row metrics record of an evaluation run."""
-    one = F.lit(1).alias("one")
     totals = questions.agg(
         F.count("*").alias("n_total"),
         F.count_if(F.coalesce(F.col("answer"), F.lit("")) != "").alias("n_with_answer"),
     )
     found = recall(questions, results)
     faith = faithfulness(questions, results, unit)
-    joined = (
-        totals.select("*", one).join(found.select("*", one), "one").join(faith.select("*", one), "one")
-    )
-    return joined.select(
+    return _side_by_side(totals, found, faith).select(
         "n_total",
         "n_with_gold",
         "n_with_answer",
