@@ -35,17 +35,22 @@ def build_session(app: str = "lexmere", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 
-    Only a local-mode session may fall back to a temporary folder: its driver
-    and tasks share one machine.
+    Where it is unset, a folder set with `SparkContext.setCheckpointDir` counts. A
+    local-mode session without either gets a temporary folder of its own, as its
+    driver and tasks share one machine; any other session raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="lexmere-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError(
+                "set spark.checkpoint.dir, before the session starts, to a folder "
+                "that the driver and every executor can reach"
+            )
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexmere-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
