@@ -49,6 +49,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM tests LEFT JOIN rejected r ON tests.source = r.source
 """
 
+LINES = r"""
+WITH lines AS (
+  SELECT doc_id, pos, line,
+         translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS pos
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+owners AS (
+  SELECT key, min(doc_id) AS owner FROM lines WHERE length(key) >= 10
+  GROUP BY key HAVING count(DISTINCT doc_id) > 1)
+SELECT doc_id, count(*) AS n_lines, count(owner) FILTER (doc_id <> owner) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos)
+                         FILTER (owner IS NULL OR doc_id = owner), '')) AS kept_sha256
+FROM lines LEFT JOIN owners USING (key) GROUP BY doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": LINES,
     "op8_host_quality": QUALITY,
 }

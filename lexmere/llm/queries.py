@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmere.llm import quality
+from lexmere.llm import linededup, quality
+from lexmere.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = linededup.LineIndex(spark, scratch(spark, "line-index"))
+    index.insert(docs)
+    return index.apply(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
 def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -30,5 +43,6 @@ def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_line_dedup": op2_line_dedup,
     "op8_host_quality": op8_host_quality,
 }
