@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexmere.llm import linededup, quality
+from lexmere.llm import linededup, packing, quality, tokencounts, tokenfiles
 from lexmere.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +44,28 @@ def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    folder = scratch(spark, "token-files")
+    manifest = tokenfiles.write_files(table(spark, sf_dir, "documents"), folder, path)
+    return tokenfiles.digest(tokenfiles.read_files(spark, manifest))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    counted = tokencounts.count_tokens(table(spark, sf_dir, "documents"), path)
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 QUERIES: dict[str, Query] = {
     "op2_line_dedup": op2_line_dedup,
+    "op7_vector_packing": op7_vector_packing,
     "op8_host_quality": op8_host_quality,
+    "op9_token_files": op9_token_files,
+    "op10_token_counts": op10_token_counts,
 }
