@@ -65,7 +65,33 @@ SELECT doc_id, count(*) AS n_lines, count(owner) FILTER (doc_id <> owner) AS n_d
 FROM lines LEFT JOIN owners USING (key) GROUP BY doc_id
 """
 
+NEAR = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n
+  HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reached AS (
+  SELECT doc_id AS node, doc_id AS other FROM words
+  UNION SELECT node, b FROM reached JOIN links ON a = other)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id,
+       min(other) = w.doc_id AS kept
+FROM words w LEFT JOIN sizes USING (doc_id) JOIN reached ON node = w.doc_id
+GROUP BY w.doc_id, n
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_near_dedup": NEAR,
     "op2_line_dedup": LINES,
     "op8_host_quality": QUALITY,
 }
