@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmere.llm import linededup, neardedup, packing, quality, tokencounts, tokenfiles
+from lexmere.llm import linededup, neardedup, packing, quality, syncmers, tokencounts, tokenfiles
 from lexmere.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardedup.near_components(table(spark, sf_dir, "documents"))
 
 
+def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(table(spark, sf_dir, "documents"), path)
@@ -69,6 +73,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_near_dedup": op3_near_dedup,
+    "op5_syncmers": op5_syncmers,
     "op7_vector_packing": op7_vector_packing,
     "op8_host_quality": op8_host_quality,
     "op9_token_files": op9_token_files,
