@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmere.llm import linededup, neardedup, packing, quality, syncmers, tokencounts, tokenfiles
+from lexmere.llm import linededup, mainhtml, neardedup, packing, quality, syncmers, tokencounts, tokenfiles
 from lexmere.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = linededup.LineIndex(spark, scratch(spark, "line-index"))
@@ -71,6 +75,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_main_text": op1_main_text,
     "op2_line_dedup": op2_line_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op5_syncmers": op5_syncmers,
