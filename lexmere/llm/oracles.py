@@ -90,7 +90,41 @@ FROM words w LEFT JOIN sizes USING (doc_id) JOIN reached ON node = w.doc_id
 GROUP BY w.doc_id, n
 """
 
+BACKOFF = r"""
+WITH words AS (
+  SELECT doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+tok AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a
+       FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)),
+one AS (SELECT b, count(*) AS n FROM tok GROUP BY b),
+one_own AS (SELECT doc_id, b, count(*) AS n FROM tok GROUP BY doc_id, b),
+two AS (SELECT a, b, count(*) AS n FROM tok WHERE a IS NOT NULL GROUP BY a, b),
+two_own AS (SELECT doc_id, a, b, count(*) AS n FROM tok WHERE a IS NOT NULL GROUP BY doc_id, a, b),
+sizes AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id),
+other AS (
+  SELECT tok.doc_id, tok.a, y.n - yo.n AS cb, x.n - xo.n AS ca, t.n - tn.n AS cab,
+         greatest((SELECT count(*) FROM tok) - s.n, 1) AS rest
+  FROM tok JOIN one y ON y.b = tok.b JOIN one_own yo ON yo.doc_id = tok.doc_id AND yo.b = tok.b
+  JOIN sizes s ON s.doc_id = tok.doc_id
+  LEFT JOIN one x ON x.b = tok.a LEFT JOIN one_own xo ON xo.doc_id = tok.doc_id AND xo.b = tok.a
+  LEFT JOIN two t ON t.a = tok.a AND t.b = tok.b
+  LEFT JOIN two_own tn ON tn.doc_id = tok.doc_id AND tn.a = tok.a AND tn.b = tok.b),
+scored AS (
+  SELECT doc_id, coalesce(cab > 0, false) AS found,
+         CASE WHEN cab > 0 THEN ln(cab / ca)
+              ELSE ln(CASE WHEN cb > 0 THEN cb ELSE 0.5 END / rest)
+                   + CASE WHEN a IS NOT NULL THEN ln(0.4) ELSE 0 END END AS s
+  FROM other)
+SELECT w.doc_id, count(s) AS n_words, count(*) FILTER (found) AS n_found,
+       cast(coalesce(sum(cast(round(s * 1e6) AS BIGINT)), 0) AS BIGINT) AS score_micro,
+       sum(cast(round(s * 1e6) AS BIGINT))::BIGINT / 1e6 / count(s) AS mean_score
+FROM words w LEFT JOIN scored USING (doc_id) GROUP BY w.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op4_stupid_backoff": BACKOFF,
     "op3_near_dedup": NEAR,
     "op2_line_dedup": LINES,
     "op8_host_quality": QUALITY,

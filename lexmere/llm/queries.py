@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmere.llm import linededup, mainhtml, neardedup, packing, quality, syncmers, tokencounts, tokenfiles
+from lexmere.llm import backoff, linededup, mainhtml, neardedup, packing, quality, syncmers, tokencounts, tokenfiles
 from lexmere.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardedup.near_components(table(spark, sf_dir, "documents"))
 
 
+def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op1_main_text": op1_main_text,
     "op2_line_dedup": op2_line_dedup,
     "op3_near_dedup": op3_near_dedup,
+    "op4_stupid_backoff": op4_stupid_backoff,
     "op5_syncmers": op5_syncmers,
     "op7_vector_packing": op7_vector_packing,
     "op8_host_quality": op8_host_quality,
