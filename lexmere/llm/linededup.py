@@ -36,12 +36,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmere.llm.common import NULL_ID, join_counted
 from lexmere.llm.cuckoo import CuckooFilter
 
-NULL_ID = 2**63 - 1
 KEYS_PER_SHARD = 1 << 18
 MIN_SHARDS = 1024
-HOT_SHARE = 10_000  # a key is hot with this share of all references; so many keys at most
 WHITE = b" \t\n\x0b\x0c\r"
 
 
@@ -84,7 +83,7 @@ def _references(min_chars: int):
 def _kept_lines(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, drops = (batch.column(i) for i in range(3))
+            ids, texts, drops = (batch.column(c) for c in ("doc_id", "text", "drops"))
             lines, dropped, kept, shas = [], [], [], []
             for text, gone in zip(texts.to_pylist(), drops.to_pylist()):
                 text = text or ""
@@ -104,8 +103,8 @@ def _kept_lines(min_chars: int):
                 lines.append(n)
                 kept.append(out)
                 shas.append(hashlib.sha256(out.encode()).hexdigest())
-            columns = [ids, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string()), pa.array(shas, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_lines", "n_dropped", "kept_text", "kept_sha256"])
+            columns = [ids, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string()), pa.array(shas, pa.string()), batch.column("row")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_lines", "n_dropped", "kept_text", "kept_sha256", "row"])
 
     return run
 
@@ -271,26 +270,28 @@ class LineIndex:
         return self._totals(self._table("shared", self.KEYS)).filter("n > 1")
 
     def apply(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """(doc_id, n_lines, n_dropped, kept_text, kept_sha256) of documents in the index.
+        """(doc_id, n_lines, n_dropped, kept_text, kept_sha256, row) of documents in the index.
 
-        A key that holds more than 1 / HOT_SHARE of all references is one of HOT_SHARE keys
-        at most and is broadcast; the others are joined by key, none of them frequent.
+        `row` is a struct of the input's other columns, carried along.
         """
         path = f"{self.path}/duplicates/batch={self.batch}"
         self.duplicate_keys().write.mode("overwrite").parquet(path)
         keys = self.spark.read.schema("h1 long, h2 long, n long, owner long").parquet(path)
         refs = self._live() if self._batches("gone") else self._table("refs", self.REFS)
         refs = refs.select("h1", "h2", "doc_id")
-        limit = max(1000, refs.count() // HOT_SHARE)
-        hot = refs.join(F.broadcast(keys.filter(F.col("n") > limit)), ["h1", "h2"])
-        cold = refs.join(keys.filter(F.col("n") <= limit).hint("merge"), ["h1", "h2"])
+        found = join_counted(refs, keys, ["h1", "h2"], "n", refs.count())
         word = "unhex(concat(lpad(hex(h1), 16, '0'), lpad(hex(h2), 16, '0')))"
-        drops = hot.unionByName(cold).filter("doc_id <> owner").select("doc_id", F.expr(word).alias("key"))
+        drops = found.filter("doc_id <> owner").select("doc_id", F.expr(word).alias("key"))
         drops = drops.groupBy("doc_id").agg(F.collect_list("key").alias("drops"))
-        picked = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"))
-        joined = picked.join(drops, "doc_id", "left").select("doc_id", "text", "drops")
+        others = [docs[c] for c in docs.columns if c not in (doc_id, text)]
+        row = F.struct(*others) if others else F.lit(None).cast("boolean")
+        picked = docs.select(
+            F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"), row.alias("row")
+        )
+        joined = picked.join(drops, "doc_id", "left").select("doc_id", "text", "drops", "row")
+        kind = joined.schema["row"].dataType.simpleString()
         out = joined.mapInArrow(
             _kept_lines(self.min_chars),
-            "doc_id long, n_lines long, n_dropped long, kept_text string, kept_sha256 string",
+            f"doc_id long, n_lines long, n_dropped long, kept_text string, kept_sha256 string, row {kind}",
         )
         return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NULL_ID)))

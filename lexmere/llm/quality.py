@@ -118,6 +118,29 @@ def rejected_hosts(rates: DataFrame, rules: HostRules = HostRules()) -> DataFram
     return rates.filter(over).select("host")
 
 
+def _with_verdicts(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Add `_rejected` to rows by host: by broadcast if the hosts are counted few, else salted."""
+    hosts = written(rejected, "rejected-hosts").withColumn("_rejected", F.lit(True))
+    if hosts.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(hosts), "host", "left")
+    salt = F.floor(F.rand(7) * SALTS).cast("int")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = rows.withColumn("_salt", salt)
+    return dealt.join(hosts.withColumn("_salt", salts), ["host", "_salt"], "left").drop("_salt")
+
+
+def keep_good(docs: DataFrame, rules: HostRules = HostRules(), *, text: str = "text", host: str = "source") -> DataFrame:
+    """The rows that pass, with all their columns; nothing but host counts is shuffled."""
+    whole = docs.select(
+        F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(host).alias("host"), F.col(text).alias("text")
+    )
+    figures = word_figures(whole, keep=("row", "host"))
+    joined = _with_verdicts(figures, rejected_hosts(host_rates(figures, rules), rules))
+    failed = _failed(rules)
+    good = joined.filter(~F.expr(f"({failed['short']}) OR ({failed['repeated']})") & F.col("_rejected").isNull())
+    return good.select("row.*")
+
+
 def judge(
     docs: DataFrame,
     rules: HostRules = HostRules(),
@@ -128,25 +151,13 @@ def judge(
 ) -> DataFrame:
     """(doc_id, figures..., base_failed, host_failed, kept), one row per input row.
 
-    The figures are written once: counting by host and the join back both read them. The
-    rejected hosts are broadcast only if a count shows them few; else the join is salted.
+    The figures are written once: counting by host and the join back both read them.
     """
     picked = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text")
     )
     figures = written(word_figures(picked, keep=("doc_id", "host")), "quality-figures")
-    hosts = written(rejected_hosts(host_rates(figures, rules), rules), "rejected-hosts")
-    hosts = hosts.withColumn("_rejected", F.lit(True))
-    if hosts.count() <= BROADCAST_ROWS:
-        joined = figures.join(F.broadcast(hosts), "host", "left")
-    else:
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        joined = (
-            figures.withColumn("_salt", salt)
-            .join(hosts.withColumn("_salt", salts), ["host", "_salt"], "left")
-            .drop("_salt")
-        )
+    joined = _with_verdicts(figures, rejected_hosts(host_rates(figures, rules), rules))
     failed = _failed(rules)
     base = F.expr(f"({failed['short']}) OR ({failed['repeated']})")
     host_failed = F.coalesce("_rejected", F.lit(False))

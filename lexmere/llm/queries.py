@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmere.llm import backoff, linededup, mainhtml, neardedup, packing, quality, syncmers, tokencounts, tokenfiles
+from lexmere.llm import backoff, linededup, mainhtml, neardedup, packing, quality, suffixes, syncmers, tokencounts, tokenfiles
 from lexmere.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,18 @@ def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    both = suffixes.decode(suffixes.encode(table(spark, sf_dir, "documents"), path), path)
+    return both.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.replace("text", F.lit(suffixes.MARK), F.lit(" "))).alias("round_trip"),
+    )
+
+
 def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(table(spark, sf_dir, "documents"), path)
@@ -84,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_stupid_backoff": op4_stupid_backoff,
     "op5_syncmers": op5_syncmers,
+    "op6_suffix_array": op6_suffix_array,
     "op7_vector_packing": op7_vector_packing,
     "op8_host_quality": op8_host_quality,
     "op9_token_files": op9_token_files,
