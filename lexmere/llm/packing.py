@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmere.llm.units import UnitEncoder
+from lexmere.llm.units import unit_encoder
 from lexmere.session import written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -54,7 +54,7 @@ def token_pieces(docs: DataFrame, path: str, kind: str = "words", *, doc_id: str
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(kind, path)
+        encoder = unit_encoder(kind, path)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows: list[list] = [[], [], [], [], []]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmere.llm.units import MARK, UnitEncoder
+from lexmere.llm.units import MARK, unit_encoder
 from lexmere.session import written
 
 CHUNK = 16_384
@@ -73,7 +73,7 @@ CUTS = "array<struct<at: long, before: long>>"
 
 def _small(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder("pieces", path)
+        encoder = unit_encoder("pieces", path)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             counts = [len(ids) // 4 for ids in encoder.encode(texts)]
@@ -130,8 +130,8 @@ def _spliced(chunks: DataFrame) -> DataFrame:
     right = chunks.filter("chunk > 0").select("row", (F.col("chunk") - 1).alias("chunk"), "head")
     pairs = chunks.join(right.withColumnRenamed("head", "right"), ["row", "chunk"], "left")
     common = F.expr(
-        """filter(transform(tail, t -> t.before - map_from_entries(transform(right, h -> struct(h.at, h.before)))[t.at]),
-                  d -> d IS NOT NULL)[0]"""
+        """get(filter(transform(tail, t -> t.before - map_from_entries(transform(right, h -> struct(h.at, h.before)))[t.at]),
+                      d -> d IS NOT NULL), 0)"""
     )
     part = F.when(F.col("last"), F.col("n")).otherwise(common)
     return pairs.withColumn("part", part).groupBy("row").agg(

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmere.llm.units import UnitEncoder
+from lexmere.llm.units import unit_encoder
 from lexmere.session import written
 
 FRAME_BYTES = 1 << 18
@@ -150,7 +150,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, kind: str = "bytes
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = UnitEncoder(kind, tokenizer)
+                encoder = unit_encoder(kind, tokenizer)
                 store.create_dir(root, recursive=True)
                 writer = TokenFileWriter(store.open_output_stream(f"{root}/{path}", compression=None))
             texts = batch.column(1).cast(pa.binary()).to_pylist()

@@ -17,18 +17,21 @@ encoded but not remembered, and a full memory takes no new parts, so its size is
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 
-CACHE_PARTS = 400_000
+CACHE_PARTS = 700_000
 LONGEST_CACHED = 64
 SLICE_BYTES = 2_000_000
+JOINED_PARTS = 4_000
 MARK = "▁"
 
 
-def _ids_bytes(ids) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+def _ids_bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
 
 
 def slices(texts: Iterable[bytes | None]) -> Iterator[list[bytes]]:
@@ -45,13 +48,29 @@ def slices(texts: Iterable[bytes | None]) -> Iterator[list[bytes]]:
         yield run
 
 
+class Remembered(dict):
+    """Ids by part; a part that was not kept is looked up among the current run's."""
+
+    def __init__(self) -> None:
+        self.run: dict[bytes, bytes] = {}
+
+    def __missing__(self, part: bytes) -> bytes:
+        return self.run[part]
+
+
+@lru_cache(maxsize=1)
+def unit_encoder(kind: str, path: str) -> "UnitEncoder":
+    """The encoder of this Python worker, kept from task to task."""
+    return UnitEncoder(kind, path)
+
+
 class UnitEncoder:
     """`encode(texts)` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, kind: str, path: str):
         self.kind = kind
-        self.first: dict[bytes, bytes] = {}
-        self.later: dict[bytes, bytes] = {}
+        self.first = Remembered()
+        self.later = Remembered()
         if kind == "pieces":
             import sentencepiece
 
@@ -65,24 +84,23 @@ class UnitEncoder:
             self._library = lambda parts: [
                 e.ids for e in model.encode_batch_fast(parts, add_special_tokens=False)
             ]
+            if kind == "bytes":  # a token has one letter per byte
+                vocabulary = model.get_vocab()
+                self._token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+                self._token_bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]
         if kind == "pieces":  # what the model makes of a space on its own
             self._lone_space = _ids_bytes([model.piece_to_id(MARK)])
 
-    def _cut(self, text: bytes) -> list[bytes]:
-        """Parts of a text; all but the first lack the space before them."""
-        if self.kind == "words":
-            return text.split()
-        parts = text.split(b" ")
-        if len(parts) > 1 and any(map(self._open, parts)):
-            glued, held = [], parts[0]
-            for part in parts[1:]:
-                if self._open(held):
-                    held = held + b" " + part
-                else:
-                    glued.append(held)
-                    held = part
-            return [*glued, held]
-        return parts
+    def _glue(self, parts: list[bytes]) -> list[bytes]:
+        """Put parts together whose cut is not proven."""
+        glued, held = [], parts[0]
+        for part in parts[1:]:
+            if self._open(held):
+                held = held + b" " + part
+            else:
+                glued.append(held)
+                held = part
+        return [*glued, held]
 
     def _open(self, part: bytes) -> bool:
         """True if no cut is proven between this part and the space after it."""
@@ -95,35 +113,57 @@ class UnitEncoder:
             return last <= 32
         return part[-4:].decode("utf-8", "ignore")[-1:].isspace()
 
+    def _joined(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of parts that may stand in a row: encoded as one text, cut by tokens' bytes."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), JOINED_PARTS):
+            run = parts[at : at + JOINED_PARTS]
+            ids = np.array(self._library([" " + b" ".join(run).decode()])[0], "<u4")
+            ends = np.cumsum([len(p) + 1 for p in run])
+            reached = np.cumsum(self._token_bytes[ids])
+            cuts = np.searchsorted(reached, ends) + 1
+            if not np.array_equal(reached[cuts - 1], ends):
+                raise ValueError("a token crosses a border between parts")
+            data = ids.tobytes()
+            bounds = [0, *(4 * cuts).tolist()]
+            out.extend(data[a:b] for a, b in zip(bounds, bounds[1:]))
+        return out
+
     def _encode(self, parts: list[bytes], first: bool) -> list[bytes]:
-        texts = [p.decode() for p in parts]
         if self.kind == "bytes" and not first:
-            texts = [" " + t for t in texts]
+            closed = [p for p in parts if not self._open(p)]
+            known = dict(zip(closed, self._joined(closed)))
+            rest = [p for p in parts if p not in known]
+            known.update(zip(rest, map(_ids_bytes, self._library([" " + p.decode() for p in rest]))))
+            return [known[p] for p in parts]
+        texts = [p.decode() for p in parts]
         ids = [_ids_bytes(i) for i in self._library(texts)]
         if self.kind == "pieces" and not first:
             ids = [self._lone_space if not p else i for p, i in zip(parts, ids)]
         return ids
 
-    def _known(self, parts: set[bytes], first: bool) -> dict[bytes, bytes]:
-        cache = self.first if first else self.later
+    def _learn(self, cache: Remembered, parts: set[bytes], first: bool) -> None:
         new = list(parts - cache.keys())
-        fresh = dict(zip(new, self._encode(new, first))) if new else {}
+        ids = dict(zip(new, self._encode(new, first))) if new else {}
         if len(cache) < CACHE_PARTS:
-            cache.update((p, i) for p, i in fresh.items() if len(p) <= LONGEST_CACHED)
-        return fresh
+            # an open part stands alone only at the end of a text
+            cache.update((p, i) for p, i in ids.items() if len(p) <= LONGEST_CACHED and (self.kind == "words" or not self._open(p)))
+        cache.run = ids
 
     def encode(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
         for run in slices(texts):
-            cut = [self._cut(t) for t in run]
-            heads = {p[0] for p in cut if p} if self.kind != "words" else set()
-            skip = 0 if self.kind == "words" else 1
-            tails: set[bytes] = set()
-            for parts in cut:
-                tails.update(parts[skip:])
-            first, later = self._known(heads, True), self._known(tails, False)
-            known_first, known_later = self.first.get, self.later.get
+            if self.kind == "words":
+                cut = [t.split() for t in run]
+                self._learn(self.later, set().union(*cut), False)
+                for parts in cut:
+                    yield b"".join(map(self.later.__getitem__, parts))
+                continue
+            cut = [t.split(b" ") for t in run]
+            new = set().union(*cut) - self.later.keys()
+            unproven = {p for p in new if self._open(p)}
+            if unproven:
+                cut = [p if unproven.isdisjoint(p) else self._glue(p) for p in cut]
+            self._learn(self.first, {p[0] for p in cut}, True)
+            self._learn(self.later, set().union(*(p[1:] for p in cut)), False)
             for parts in cut:
-                ids = [known_later(p) or later.get(p, b"") for p in parts[skip:]]
-                if skip:
-                    ids.insert(0, known_first(parts[0]) or first.get(parts[0], b""))
-                yield b"".join(ids)
+                yield self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
