@@ -528,6 +528,10 @@ FROM chunks ORDER BY chunk_id LIMIT 10""",
         select=TOP,
         recursive=True,
     ),
+    "record_variants": """
+SELECT doc_id, text,
+       CASE doc_id % 7 WHEN 0 THEN source WHEN 1 THEN source || ',x' ELSE '__unknown__' END AS topics
+FROM documents WHERE doc_id % 7 <> 6""",
     "topic_normalise": """SELECT doc_id, CASE lang WHEN 'en' THEN source || ',' || lang WHEN 'de' THEN source
   ELSE '__unknown__' END AS topics FROM documents""",
     "result_weights": _with(

@@ -21,6 +21,7 @@ from lexmere.operators.search import search
 from lexmere.operators.terms import TermOptions, bm25_idf, smooth_idf, term_rows
 from lexmere.plans.ask import fill_answers, make_prompts, run_report
 from lexmere.session import spread, written
+from lexmere.sources.readers import parsed_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -260,6 +261,28 @@ def topic_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(topic_list(raw), ",").alias("topics"))
 
 
+def record_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines of every shape, one per document, as the mining reader takes them."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.to_json(F.struct(F.col("text").alias("t")))
+    quoted = F.expr("substring(_json, 6, length(_json) - 6)")
+    shapes = (
+        '''{"text":%s,"meta":{"topic":"%s","page":"12"}}''',
+        '''{"content":%s,"meta":{"topic":["%s","x"],"skip":"no"}}''',
+        '''{"text":7,"chunk_text":%s,"meta":{"topic":5,"y":"%s"}}''',
+        '''{"text":%s,"meta":{"topic":{"k":"%s"},"page":3.5}}''',
+        '''{"text":%s,"meta":["%s"]}''',
+        '''{"text":%s,"meta":{"topic":[],"z":"%s"}}''',
+        '''{"text":%s, broken "%s"''',
+    )
+    made = docs.withColumn("_json", text).withColumn("_text", quoted)
+    line = F.lit(None).cast("string")
+    for k, shape in enumerate(shapes):
+        line = F.when(F.col("doc_id") % len(shapes) == k, F.format_string(shape, "_text", "source")).otherwise(line)
+    records = parsed_records(made.select(F.col("doc_id").alias("pos"), line.alias("value")))
+    return records.select(F.col("pos").alias("doc_id"), "text", F.array_join("topics", ",").alias("topics"))
+
+
 # ---- results to prompts -------------------------------------------------------
 
 
@@ -508,6 +531,7 @@ QUERIES: dict[str, Query] = {
         chunk_preview,
         bm25_over_chunks,
         topic_normalise,
+        record_variants,
         result_weights,
         context_blocks,
         contexts,
