@@ -140,6 +140,7 @@ def _apart(first: str, second: str):
 def _block_pairs(options: NearOptions):
     """Pairs of a bucket's block pair that differ in component and are close by sketch.
 
+    Two documents may meet in several buckets; the first one they share gives the pair.
     Rows come sorted by (key, lo, hi). A group holds two blocks at most; it is kept back
     at the end of a batch until its last row has come.
     """
@@ -147,9 +148,11 @@ def _block_pairs(options: NearOptions):
     def close(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids, comps, part = (rows.column(c).to_numpy() for c in ("doc_id", "component", "part"))
         lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
-        sketch = rows.column("sketch").combine_chunks().values.to_numpy().view(np.uint64).reshape(len(ids), -1)
+        key = rows.column("key")[0].as_py()
+        sketch, bands = (rows.column(c).combine_chunks().flatten().to_numpy().reshape(len(ids), -1) for c in ("sketch", "bands"))
+        sketch = sketch.view(np.uint64)
         one, two = (np.flatnonzero(part == p) for p in (lo, hi))
-        found_a, found_b = [], []
+        found_a, found_b = [ids[:0]], [ids[:0]]
         for at in range(0, len(one), 32):
             mine = one[at : at + 32]
             differ = np.bitwise_count(sketch[mine][:, None] ^ sketch[two][None]).sum(axis=2, dtype=np.int64)
@@ -157,6 +160,9 @@ def _block_pairs(options: NearOptions):
             if lo == hi:
                 near &= ids[mine][:, None] < ids[two][None]
             i, j = np.nonzero(near)
+            shared = bands[mine[i]] == bands[two[j]]
+            first = bands[mine[i], shared.argmax(axis=1)] == key
+            i, j = i[first], j[first]
             found_a.append(np.minimum(ids[mine[i]], ids[two[j]]))
             found_b.append(np.maximum(ids[mine[i]], ids[two[j]]))
         return np.concatenate(found_a), np.concatenate(found_b)
@@ -211,6 +217,7 @@ def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, options:
         "doc_id",
         "component",
         "sketch",
+        "bands",
     )
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return dealt.mapInArrow(_block_pairs(options), "a long, b long").distinct()
@@ -228,7 +235,7 @@ def near_components(docs: DataFrame, options: NearOptions = NearOptions(), *, do
     buckets = bucketed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("pivot"))
     buckets = written(buckets.filter("n > 1"), "buckets")
     members = written(bucketed.join(buckets.hint("merge"), "key"), "bucket-members")
-    sketches = sets.select("doc_id", "sketch")
+    sketches = sets.select("doc_id", "sketch", "bands")
     stars = members.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = stars.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
     stars = stars.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a")
