@@ -25,7 +25,12 @@ from lexmere.session import written
 
 K = 5
 S = 2
-SPACELESS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+# Thai, Lao, Myanmar, Khmer, kana and Han by code ranges; script properties cost far more.
+SPACELESS = (
+    r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF"
+    r"\uF900-\uFAFF\x{20000}-\x{3FFFF}]"
+)
+BEYOND = r"[\u0E00-\x{10FFFF}]"  # one comparison per character finds texts that may hold some
 
 
 def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
@@ -36,7 +41,7 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
     if not 1 <= s < k:
         raise ValueError("an inner window is shorter than its k-mer")
     keep = [f"`{c}`" for c in df.columns]
-    spaced = f"IF({text} rlike r'{SPACELESS}', regexp_replace({text}, r'({SPACELESS})', ' $1 '), {text})"
+    spaced = f"IF({text} rlike r'{BEYOND}', regexp_replace({text}, r'({SPACELESS})', ' $1 '), {text})"
     units = df.selectExpr(*keep, rf"array_remove(split({spaced}, r'[\x20\x09-\x0D]+', -1), '') AS _u")
     hashed = units.selectExpr(*keep, "transform(_u, u -> xxhash64(u)) AS _h")
     inner = hashed.selectExpr(*keep, "_h", f"{_windows('_h', s)} AS _i")
