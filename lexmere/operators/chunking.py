@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmere.functions.fixed import CONTENTS_KEYWORDS
-from lexmere.functions.text import WS, clean, clean_lines, is_blank, paragraphs, topic_of_path
+from lexmere.functions.text import WS, clean, clean_lines, is_blank, paragraphs, strip, topic_of_path
 
 MIN_PARAGRAPH = 80
 TARGET_CHARS = 1800
@@ -95,7 +95,7 @@ def chunk_pages(
     for name in ("title", "topic"):
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(None).cast("string"))
-    title = F.trim(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("stem")))
+    title = strip(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("stem")))
     topic = F.coalesce(F.nullif(F.col("topic"), F.lit("")), topic_of_path(F.col("path")))
     described = flag_pages(pages).select(
         "stem",

@@ -35,8 +35,9 @@ def with_payload(results: DataFrame, chunks: DataFrame) -> DataFrame:
     chunk table is then read once, against a broadcast of them while they are few.
     """
     ranked = written(results, "ranked")
-    payload = chunks.select("chunk_id", "text", "topic", "title", "page")
-    return payload.join(small(ranked, at_most(ranked)), "chunk_id")
+    key = "doc_key" if "doc_key" in ranked.columns else "chunk_id"
+    payload = chunks.select(F.col("chunk_id").alias(key), "text", "topic", "title", "page")
+    return payload.join(small(ranked, at_most(ranked)), key)
 
 
 def weights(results: DataFrame, mode: str = "ratio", tau: float = 1.0) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import json
+from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmere.operators.terms import TermOptions, smooth_idf, term_arrays, term_rows, term_stats
 from lexmere.session import BROADCAST_ROWS, small, spread, written
 
 POSTING_BUCKETS = 256
+FORMAT = 2
+KEY_END = "\x1f"  # ends the chunk id inside an internal key
 
 
 @dataclass(frozen=True)
@@ -124,13 +127,36 @@ class LexicalIndex:
         return squares.groupBy("chunk_id").agg(F.sqrt(F.sum("square")).alias("norm"))
 
 
+def public_id(key: str = "chunk_id") -> Column:
+    """The chunk id inside an internal key."""
+    return F.substring_index(F.col(key), KEY_END, 1)
+
+
+def _keyed(chunks: DataFrame) -> DataFrame:
+    """Chunks whose chunk_id is a key: where ids repeat, every id is lengthened by what
+    else describes the row. Rows that nothing tells apart are an error."""
+
+    def repeats(df: DataFrame) -> bool:
+        return not df.groupBy("chunk_id").count().filter("count > 1").isEmpty()
+
+    if not repeats(chunks.select("chunk_id")):
+        return chunks
+    others = [c for c in chunks.columns if c not in ("chunk_id", "text")]
+    described = F.to_json(F.struct(*others)) if others else F.lit("")
+    keyed = chunks.withColumn("chunk_id", F.concat("chunk_id", F.lit(KEY_END), described))
+    if repeats(keyed.select("chunk_id")):
+        raise ValueError("chunk ids repeat, and no other column tells the rows apart")
+    return keyed
+
+
 def build_index(chunks: DataFrame, options: TermOptions = TermOptions()) -> LexicalIndex:
     """Index `chunks` (chunk_id, text, topic, ...): one pass and one shuffle over it.
 
-    `chunks` is read again by every search, so it should be a stored table.
+    `chunks` is read again by every search, so it should be a stored table. Chunk ids may
+    repeat (files of one name in two folders): chunks are told apart by an internal key.
     """
     n_docs = chunks.count()
-    chunks = spread(chunks, "chunk_id")
+    chunks = spread(_keyed(chunks), "chunk_id")
     rows = term_rows(chunks, "text", options, ["chunk_id"])
     stats = written(term_stats(rows, "chunk_id"), "term-stats")
     return _measure(chunks, n_docs, options, stats)
@@ -171,11 +197,12 @@ def save_index(index: LexicalIndex, path: str, buckets: int = POSTING_BUCKETS) -
     folders of its own terms. Files are sorted by term, which packs them well; the
     rebalance splits a folder that frequent terms make large over several tasks.
     """
+    arrays = term_arrays(index.chunks, "text", index.options, ["chunk_id", "topic"])
     rows = (
-        index.term_rows()
-        .join(index.chunk_lengths(), "chunk_id")
+        arrays.join(index.chunk_lengths(), "chunk_id")
         .join(index.chunk_norms(), "chunk_id")
-        .select("chunk_id", "topic", "dl", "norm", "term", "tf")
+        .select("chunk_id", "topic", "dl", "norm", F.inline_outer("counts"))
+        .filter(F.col("term").isNotNull())
         .withColumn("bucket", _bucket(buckets))
     )
     (
@@ -187,16 +214,19 @@ def save_index(index: LexicalIndex, path: str, buckets: int = POSTING_BUCKETS) -
     )
     index.stats.write.mode("overwrite").parquet(f"{path}/term_stats")
     index.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    about = {"format": FORMAT, "options": asdict(index.options), "buckets": buckets, "n_docs": index.n_docs}
+    row = index.stats.sparkSession.createDataFrame([(json.dumps(about),)], "value string")
+    row.coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
 
-def load_index(
-    spark: SparkSession,
-    path: str,
-    options: TermOptions = TermOptions(),
-    buckets: int = POSTING_BUCKETS,
-) -> LexicalIndex:
-    """Open a saved index; `options` and `buckets` must be those it was saved with."""
+def load_index(spark: SparkSession, path: str) -> LexicalIndex:
+    """Open a saved index with the settings it was saved with."""
+    about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+    if about["format"] != FORMAT:
+        raise ValueError(f"index format {about['format']} instead of {FORMAT}; save it again")
+    kept = {k: tuple(v) if isinstance(v, list) else v for k, v in about["options"].items()}
     stats = spark.read.parquet(f"{path}/term_stats")
     chunks = spark.read.parquet(f"{path}/chunks")
     postings = spark.read.parquet(f"{path}/postings")
-    return replace(_measure(chunks, chunks.count(), options, stats), postings=postings, buckets=buckets)
+    index = _measure(chunks, about["n_docs"], TermOptions(**kept), stats)
+    return replace(index, postings=postings, buckets=about["buckets"])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexmere.operators.expansion import dictionary_table, expand_questions
 from lexmere.operators.ranking import by_score, top_k
 from lexmere.operators.terms import bm25_idf, smooth_idf, term_rows
-from lexmere.operators.index import LexicalIndex
+from lexmere.operators.index import LexicalIndex, public_id
 from lexmere.session import at_most, join_probe, small, written
 
 RETRIEVERS = ("bm25", "tfidf")
@@ -119,7 +119,9 @@ def search(
     k1: float = 1.5,
     b: float = 0.75,
 ) -> DataFrame:
-    """(qid, rank, score, chunk_id): the best chunks of each question.
+    """(qid, rank, score, chunk_id, doc_key): the best chunks of each question.
+
+    `doc_key` is the index's own key of the chunk, by which payload is joined.
 
     questions: (qid, question, topic or null). `dictionary` is a mapping or a
     dictionary table; None leaves questions as they are.
@@ -133,5 +135,5 @@ def search(
     else:
         scores = tfidf_scores(index, asked)
     ranked = top_k(scores, ["qid"], by_score("score", "chunk_id"), top_k_)
-    return ranked.select("qid", "rank", "score", "chunk_id")
+    return ranked.select("qid", "rank", "score", public_id().alias("chunk_id"), F.col("chunk_id").alias("doc_key"))
 

@@ -43,6 +43,13 @@ DOCS = """docs AS (
          source AS topic, 'Notes in ' || lang AS title, doc_id % 30 + 1 AS page
   FROM documents)"""
 
+# Two documents share an id; what else describes a row tells them apart.
+REPEATED_DOCS = """docs AS (
+  SELECT 'doc' || (doc_id // 2) || '::p1::c0' || chr(31) || '{"topic":["' || source || '"],"title":"Notes in '
+         || lang || '","page":' || (doc_id % 30 + 1) || '}' AS chunk_id, text,
+         source AS topic, 'Notes in ' || lang AS title, doc_id % 30 + 1 AS page
+  FROM documents)"""
+
 ASKED = "asked AS (SELECT item_id AS qid, text AS question, CAST(NULL AS VARCHAR) AS topic FROM benchmark)"
 ASKED_BY_TOPIC = (
     "asked AS (SELECT item_id AS qid, text AS question, 'src' || (item_id % 20) AS topic FROM benchmark)"
@@ -485,6 +492,14 @@ ORACLES: dict[str, str] = {
         select="SELECT chunk_id, CAST(dl AS BIGINT) AS dl, round(avgdl, 6) AS avgdl FROM lengths, mean",
     ),
     "bm25_topk": _with(*RESULTS, select=TOP),
+    "bm25_saved_index": _with(*RESULTS, select=TOP),
+    "tfidf_saved_index": _with(DOCS, ASKED, PLAIN, STATS, TFIDF_SCORES, _ranked(8), select=TOP),
+    "bm25_repeated_ids": _with(
+        REPEATED_DOCS,
+        *RESULTS[1:],
+        select="""SELECT qid, rank, split_part(chunk_id, chr(31), 1) AS chunk_id,
+  CAST(page AS INTEGER) AS page, round(score, 6) AS score FROM ranked JOIN docs USING (chunk_id)""",
+    ),
     "bm25_topk_by_topic": _with(
         DOCS, ASKED_BY_TOPIC, PLAIN, STATS, BM25_SCORES, _ranked(8), select=TOP
     ),
@@ -628,6 +643,17 @@ FROM recalled, faith WHERE unit = 'sentence'""",
         WHERE e.topic = p.topic AND e.abbr = p.abbr AND e.long = p.long AND e.rank <= 3) AS INTEGER) AS n_examples
 FROM pair_top p WHERE rank <= 60
 UNION ALL SELECT topic, 'ngram', rank, ngram, NULL, count, CAST(0 AS INTEGER) FROM gram_top WHERE rank <= 40""",
+    ),
+    "suggestions_json": _with(
+        ABBREVS,
+        NGRAMS.replace("FROM documents)", "FROM (SELECT doc_id, topic AS lang, text FROM marked))"),
+        select="""SELECT 'documents' AS source_chunks, topic, 'abbrev_pairs_by_topic' AS part,
+  CAST(rank - 1 AS INTEGER) AS position, abbr AS name, long AS target, CAST(NULL AS INTEGER) AS n, count,
+  coalesce((SELECT string_agg(example, '|' ORDER BY e.rank) FROM examples e
+            WHERE e.topic = p.topic AND e.abbr = p.abbr AND e.long = p.long AND e.rank <= 3), '') AS examples
+FROM pair_top p WHERE rank <= 80
+UNION ALL SELECT 'documents', topic, 'ngrams_by_topic', CAST(rank - 1 AS INTEGER), ngram, NULL,
+  CAST(n AS INTEGER), count, NULL FROM gram_top WHERE rank <= 200""",
     ),
     "dictionary_merge": _with(
         *CURATION,

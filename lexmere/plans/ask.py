@@ -15,7 +15,7 @@ from lexmere.operators.context import (
     prompts,
     with_payload,
 )
-from lexmere.operators.index import LexicalIndex
+from lexmere.operators.index import LexicalIndex, public_id
 from lexmere.operators.rerank import by_name
 from lexmere.operators.search import search
 from lexmere.session import written
@@ -42,7 +42,9 @@ def retrieve(
 
     Questions x top_k rows, written: several columns of the output are made from them.
     """
-    pool = search(index, questions, retriever=retriever, top_k_=pool_k, dictionary=dictionary)
+    found = search(index, questions, retriever=retriever, top_k_=pool_k, dictionary=dictionary)
+    # rerankers know chunks by one column, so the unique key stands in for the id until the end
+    pool = found.select("qid", "rank", "score", F.col("doc_key").alias("chunk_id"))
     reranker = by_name(rerank)
     if rerank == "none":
         results = with_payload(reranker(pool, questions, top_k), index.chunks)
@@ -50,7 +52,7 @@ def retrieve(
         full = written(with_payload(pool, index.chunks), "pool")
         chosen = reranker(full, questions, top_k)
         results = chosen.join(full.drop("rank", "score"), ["qid", "chunk_id"])
-    return written(results, "results")
+    return written(results.withColumn("chunk_id", public_id()), "results")
 
 
 def make_prompts(

@@ -7,21 +7,22 @@ pages, abbreviations, citations) is derived from every document by an expression
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmere.functions.fixed import DEFAULT_EXPANSIONS
 from lexmere.functions.text import paragraphs, topic_list, units
 from lexmere.operators import chunking, context, dictionary, evaluate, mining, rerank
 from lexmere.operators.expansion import dictionary_table, expand_questions
-from lexmere.operators.index import LexicalIndex, build_index
+from lexmere.operators.index import LexicalIndex, build_index, load_index, save_index
 from lexmere.operators.search import search
 from lexmere.operators.terms import TermOptions, bm25_idf, smooth_idf, term_rows
 from lexmere.plans.ask import fill_answers, make_prompts, run_report
-from lexmere.session import spread, written
-from lexmere.sources.readers import parsed_records
+from lexmere.session import shared_folder, spread, written
+from lexmere.sources.readers import SUGGESTION_SCHEMA, parsed_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -172,6 +173,37 @@ def bm25_topk_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(search(doc_index(spark, sf_dir), questions(spark, sf_dir, by_topic=True)))
 
 
+def _saved(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    """The index written once and opened again, as a service would use it."""
+    path = f"{shared_folder(spark)}/saved-index-{uuid.uuid4().hex}"
+    save_index(doc_index(spark, sf_dir), path)
+    return load_index(spark, path)
+
+
+def bm25_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(search(_saved(spark, sf_dir), questions(spark, sf_dir)))
+
+
+def tfidf_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(search(_saved(spark, sf_dir), questions(spark, sf_dir), retriever="tfidf"))
+
+
+def bm25_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two documents each share a chunk id, as files of one name in two folders do."""
+    shared = F.concat(F.lit("doc"), F.floor(F.col("doc_id") / 2), F.lit("::p1::c0"))
+    page = (F.col("doc_id") % 30 + 1).cast("int")
+    chunks = table(spark, sf_dir, "documents").select(
+        shared.alias("chunk_id"),
+        "text",
+        F.array("source").alias("topic"),
+        F.concat(F.lit("Notes in "), "lang").alias("title"),
+        page.alias("page"),
+    )
+    index = build_index(chunks)
+    found = context.with_payload(search(index, questions(spark, sf_dir)), index.chunks)
+    return found.select("qid", "rank", "chunk_id", "page", F.round("score", 6).alias("score"))
+
+
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search(doc_index(spark, sf_dir), questions(spark, sf_dir), retriever="tfidf")
     return _ranked(found)
@@ -457,8 +489,29 @@ def suggestion_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suggestions_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested suggestions document, read back into one row per entry."""
     per_topic = mining.suggestions(abbreviated_records(spark, sf_dir))
-    return mining.suggestions_document(per_topic, "documents")
+    document = written(mining.suggestions_document(per_topic, "documents"), "suggestions-document")
+    held = document.select(F.from_json("value", SUGGESTION_SCHEMA).alias("d")).select("d.*")
+
+    def entries(column: str, name: str, target: Column, n: Column, examples: Column) -> DataFrame:
+        topics = held.select("source_chunks", F.explode(column).alias("topic", "items"))
+        return topics.select("source_chunks", "topic", F.posexplode("items").alias("position", "x")).select(
+            "source_chunks",
+            "topic",
+            F.lit(column).alias("part"),
+            "position",
+            F.col(f"x.{name}").alias("name"),
+            target.alias("target"),
+            n.alias("n"),
+            F.col("x.count").alias("count"),
+            examples.alias("examples"),
+        )
+
+    nothing = F.lit(None).cast("string")
+    pairs = entries("abbrev_pairs_by_topic", "abbr", F.col("x.long"), F.lit(None).cast("int"), F.array_join("x.examples", "|"))
+    grams = entries("ngrams_by_topic", "ngram", nothing, F.col("x.n"), nothing)
+    return pairs.unionByName(grams)
 
 
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -518,6 +571,9 @@ QUERIES: dict[str, Query] = {
         chunk_lengths,
         bm25_topk,
         bm25_topk_by_topic,
+        bm25_saved_index,
+        tfidf_saved_index,
+        bm25_repeated_ids,
         tfidf_topk,
         tfidf_topk_by_topic,
         query_expansion,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexmere.operators import index as index_module
 from lexmere.operators import terms as terms_module
+from lexmere.operators.context import with_payload
 from lexmere.operators.index import build_index, load_index, save_index
 from lexmere.operators.search import search
 from lexmere.operators.terms import TermOptions
@@ -100,7 +101,7 @@ def test_saved_index_gives_the_same_answers(spark, tmp_path):
     texts = corpus(5)
     index = build_index(frame(spark, texts))
     save_index(index, str(tmp_path), buckets=8)
-    opened = load_index(spark, str(tmp_path), buckets=8)
+    opened = load_index(spark, str(tmp_path))
     questions = asked(spark, ("strict exogeneity", None), ("alpha gamma", "all"))
     for name in ("bm25", "tfidf"):
         want = results(search(index, questions, retriever=name))
@@ -175,3 +176,19 @@ def test_top_k_beyond_the_group_limit(spark):
     for g in (0, 1):
         want = sorted((r["s"] for r in rows if r["g"] == g), reverse=True)[:1500]
         assert [r["s"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["rank"])] == want
+
+
+def test_repeated_ids_are_separate_chunks(spark):
+    rows = [("a::p1::c0", "alpha beta gamma", ["t1"]), ("a::p1::c0", "alpha delta alpha", ["t2"])]
+    rows += [(f"b{i}::p1::c0", "beta gamma delta words", ["t1"]) for i in range(5)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, topic array<string>")
+    chunks = chunks.withColumn("title", F.lit("")).withColumn("page", F.lit(1))
+    index = build_index(chunks)
+    found = with_payload(search(index, asked(spark, ("alpha", None))), index.chunks)
+    got = {r.text: (r.chunk_id, r.score) for r in found.collect()}
+    assert {t: c for t, (c, _) in got.items()} == {"alpha beta gamma": "a::p1::c0", "alpha delta alpha": "a::p1::c0"}
+    unique = chunks.withColumn("chunk_id", F.concat("chunk_id", F.col("topic")[0]))
+    plain = search(build_index(unique), asked(spark, ("alpha", None))).collect()
+    assert sorted(round(r.score, 9) for r in plain) == sorted(round(s, 9) for _, s in got.values())
+    with pytest.raises(ValueError, match="repeat"):
+        build_index(spark.createDataFrame([("x", "one"), ("x", "two")], "chunk_id string, text string"))

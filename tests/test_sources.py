@@ -39,6 +39,23 @@ def test_tolerant_reader(spark, tmp_path):
     assert [r["topics"] for r in rows][:3] == [["x", "y"], ["solo"], ["__unknown__"]]
 
 
+def test_records_of_any_shape_are_kept(spark, tmp_path):
+    lines = [
+        {"text": "a", "meta": {"topic": "t", "page": "12"}},
+        {"text": "b", "meta": {"topic": ["t", 7], "page": 3.5}},
+        {"text": "c", "meta": {"topic": 5, "skip": "no"}},
+        {"text": "d", "meta": {"topic": {"k": 1}}},
+        {"text": "e", "meta": [1]},
+        {"text": 7, "content": "f", "meta": None},
+        {"content": None, "chunk_text": "g", "meta": {"topic": []}},
+        "not json",
+    ]
+    rows = readers.read_records(spark, put(tmp_path / "v.jsonl", lines)).orderBy("pos").collect()
+    assert [r["text"] for r in rows] == list("abcdefg")
+    unknown = ["__unknown__"]
+    assert [r["topics"] for r in rows] == [["t"], ["t", "7"], unknown, unknown, unknown, unknown, unknown]
+
+
 def test_questions_keep_extra_keys(spark, tmp_path):
     rows = [{"id": "q1", "question": "why", "note": 5}, {"id": "q2", "question": "how", "topic": "t", "gold_chunk_ids": ["g"]}]
     got = readers.read_questions(spark, put(tmp_path / "q.jsonl", [rows[0], "", rows[1]]), extra="note int")
