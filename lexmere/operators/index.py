@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmere.operators.terms import TermOptions, smooth_idf, term_arrays, term_rows, term_stats
-from lexmere.session import BROADCAST_ROWS, small, spread, written
+from lexmere.session import BROADCAST_ROWS, join_probe, small, spread, written
 
 POSTING_BUCKETS = 256
-FORMAT = 2
+CHUNK_FOLDERS = 64
+PUSHED = 2000
+FORMAT = 3
 KEY_END = "\x1f"  # ends the chunk id inside an internal key
 
 
@@ -66,9 +68,29 @@ class LexicalIndex:
         return term_rows(self.chunks, "text", self.options, ["chunk_id", "topic"])
 
     def stored_rows(self, wanted: DataFrame, fits: bool) -> DataFrame:
-        """Saved postings of the wanted terms; only their folders are read."""
+        """Saved postings of the wanted terms.
+
+        Up to PUSHED terms go into the scan as a list, with their folders, so that only
+        matching row groups are read. More are broadcast with their folder. A probe too
+        large for that asks for all folders anyway and is joined salted by chunk.
+        """
+        if not fits:
+            return join_probe(self.postings.drop("bucket"), wanted.select("term"), "term", False, "chunk_id")
         keyed = wanted.withColumn("bucket", _bucket(self.buckets))
-        return self.postings.join(small(keyed, fits), ["bucket", "term"])
+        listed = keyed.select("bucket", "term").limit(PUSHED + 1).collect()
+        postings = self.postings
+        if len(listed) <= PUSHED:
+            postings = postings.filter(
+                F.col("bucket").isin(sorted({r["bucket"] for r in listed})) & F.col("term").isin([r["term"] for r in listed])
+            )
+        return postings.join(F.broadcast(keyed), ["bucket", "term"])
+
+    def _tail_rows(self, above: float) -> DataFrame:
+        """Term rows without the terms of a document frequency over `above` and the head's:
+        fewer than BROADCAST_ROWS terms, taken out before anything is shuffled by term."""
+        floor = max(above, self.n_postings / BROADCAST_ROWS)
+        head = self.stats.filter(F.col("df") > floor).select("term")
+        return self.term_rows().join(F.broadcast(head), "term", "left_anti")
 
     def dropped_tokens(self) -> DataFrame:
         """(chunk_id, lost): tokens of each chunk whose term is not in the vocabulary.
@@ -78,20 +100,19 @@ class LexicalIndex:
         there are any, go through the term rows.
         """
         low = self.df_bounds[0]
+        row_lost = F.col("tf").cast("long").alias("lost")
         once = (F.col("df") == 1) & (F.lit(1) < low)
         lost = self.stats.filter(once).select(
             F.col("only_doc").alias("chunk_id"), F.col("cf").alias("lost")
         )
-        through_rows = []
         if low > 2:
-            rare = self.stats.filter((F.col("df") > 1) & (F.col("df") < low))
-            through_rows.append(rare.select("term").hint("merge"))
+            rare = self.stats.filter((F.col("df") > 1) & (F.col("df") < low)).select("term")
+            more = self._tail_rows(low).join(rare.hint("merge"), "term")
+            lost = lost.unionByName(more.select("chunk_id", row_lost))
         if self.n_too_common:
-            common = self.too_common().filter((F.col("df") > 1) | (F.lit(1) >= low))
-            through_rows.append(small(common.select("term"), self.n_too_common <= BROADCAST_ROWS))
-        for terms in through_rows:
-            more = self.term_rows().join(terms, "term")
-            lost = lost.unionByName(more.select("chunk_id", F.col("tf").cast("long").alias("lost")))
+            common = self.too_common().filter((F.col("df") > 1) | (F.lit(1) >= low)).select("term")
+            more = self.term_rows().join(small(common, self.n_too_common <= BROADCAST_ROWS), "term")
+            lost = lost.unionByName(more.select("chunk_id", row_lost))
         return lost.groupBy("chunk_id").agg(F.sum("lost").alias("lost"))
 
     def chunk_lengths(self) -> DataFrame:
@@ -120,7 +141,7 @@ class LexicalIndex:
         if floor > 0:
             tail = self.vocabulary().filter(F.col("df") <= floor).select("term", "df")
             # exploded rows look small to the planner, so the join is named: by sorting
-            more = self.term_rows().join(tail.hint("merge"), "term")
+            more = self._tail_rows(floor).join(tail.hint("merge"), "term")
             squares = squares.unionByName(
                 more.groupBy("chunk_id").agg(F.sum(weight * weight).alias("square"))
             )
@@ -189,6 +210,26 @@ def _bucket(buckets: int):
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
+def _folder(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(CHUNK_FOLDERS)).cast("int")
+
+
+def chunks_of(chunks: DataFrame, ranked: DataFrame, key: str) -> DataFrame:
+    """Chunks narrowed to the ranked ones before their text is read.
+
+    Chunks of a saved index lie in folders by key. Up to PUSHED keys go into the scan with
+    their folders; more prune by folder only where the join sees to it.
+    """
+    if "folder" not in chunks.columns:
+        return chunks
+    wanted = ranked.select(key, _folder(key).alias("folder")).distinct().limit(PUSHED + 1).collect()
+    if len(wanted) > PUSHED:
+        return chunks
+    return chunks.filter(
+        F.col("folder").isin(sorted({r["folder"] for r in wanted})) & F.col("chunk_id").isin([r[key] for r in wanted])
+    )
+
+
 def save_index(index: LexicalIndex, path: str, buckets: int = POSTING_BUCKETS) -> None:
     """Write postings and statistics so that later searches read only what they need.
 
@@ -213,7 +254,14 @@ def save_index(index: LexicalIndex, path: str, buckets: int = POSTING_BUCKETS) -
         .parquet(f"{path}/postings")
     )
     index.stats.write.mode("overwrite").parquet(f"{path}/term_stats")
-    index.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    foldered = index.chunks.withColumn("folder", _folder("chunk_id"))
+    (
+        foldered.hint("rebalance", "folder")
+        .sortWithinPartitions("folder", "chunk_id")
+        .write.mode("overwrite")
+        .partitionBy("folder")
+        .parquet(f"{path}/chunks")
+    )
     about = {"format": FORMAT, "options": asdict(index.options), "buckets": buckets, "n_docs": index.n_docs}
     row = index.stats.sparkSession.createDataFrame([(json.dumps(about),)], "value string")
     row.coalesce(1).write.mode("overwrite").text(f"{path}/about")

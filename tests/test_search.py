@@ -192,3 +192,31 @@ def test_repeated_ids_are_separate_chunks(spark):
     assert sorted(round(r.score, 9) for r in plain) == sorted(round(s, 9) for _, s in got.values())
     with pytest.raises(ValueError, match="repeat"):
         build_index(spark.createDataFrame([("x", "one"), ("x", "two")], "chunk_id string, text string"))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_saved_index_reads_only_what_is_asked(spark, tmp_path):
+    texts = corpus(5)
+    index = build_index(frame(spark, texts).withColumn("title", F.lit("")).withColumn("page", F.lit(1)))
+    save_index(index, str(tmp_path), buckets=8)
+    opened = load_index(spark, str(tmp_path))
+    wanted = opened.vocabulary().select("term").filter("term IN ('alpha', 'beta')")
+    read = plan(opened.stored_rows(wanted, True))
+    assert "bucket" in read.split("PartitionFilters:")[1].split("]")[0]
+    assert "In(term" in read
+    found = search(opened, asked(spark, ("alpha gamma", None)), top_k_=3)
+    payload = with_payload(found, opened.chunks)
+    assert "folder" in plan(payload).split("PartitionFilters:")[1].split("]")[0]
+    assert {r.chunk_id: r.text for r in payload.collect()} == {r.chunk_id: texts[r.chunk_id] for r in found.collect()}
+    large = {(r.chunk_id, r.term) for r in opened.stored_rows(wanted, False).collect()}
+    assert large == {(r.chunk_id, r.term) for r in opened.stored_rows(wanted, True).collect()} and large
+
+
+def test_head_terms_stay_out_of_the_tail_shuffle(spark, monkeypatch):
+    index = build_index(frame(spark, corpus(11, 60)))
+    monkeypatch.setattr(index_module, "BROADCAST_ROWS", 20)
+    shown = plan(index.chunk_norms())
+    assert "LeftAnti" in shown and "SortMergeJoin" in shown
