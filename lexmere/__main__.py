@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmere.functions.fixed import DEFAULT_EXPANSIONS
+from lexmere.functions.fixed import DEFAULT_EXPANSIONS, DEMO_QUESTIONS
 from lexmere.operators import chunking, dictionary, mining
 from lexmere.operators.context import MODES
 from lexmere.operators.expansion import DICTIONARY_SCHEMA, dictionary_table
@@ -20,12 +20,6 @@ from lexmere.plans.ingest import DEFAULT_TOPICS, ingest
 from lexmere.session import build_session
 from lexmere.sources import readers, writers
 
-DEMO_QUESTIONS = (
-    ("Why does strict exogeneity matter for FE?", "econometrics"),
-    ("Explain PPO objective with KL.", "reinforcement_learning"),
-)
-
-
 def _index(spark: SparkSession, args: argparse.Namespace) -> LexicalIndex:
     if args.saved:
         return load_index(spark, args.index)

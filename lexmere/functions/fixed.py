@@ -178,3 +178,9 @@ SUGGESTION_NOTES = (
     "Abbrev extraction looks for patterns like 'Long Form (ABBR)' and 'ABBR (Long Form)'.",
     "N-grams are simple frequency counts; expect noise—treat as a candidate list.",
 )
+
+# The questions a run without any asks.
+DEMO_QUESTIONS = (
+    ("Why does strict exogeneity matter for FE?", "econometrics"),
+    ("Explain PPO objective with KL.", "reinforcement_learning"),
+)
