@@ -45,11 +45,11 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
     units = df.selectExpr(*keep, rf"array_remove(split({spaced}, r'[\x20\x09-\x0D]+', -1), '') AS _u")
     hashed = units.selectExpr(*keep, "transform(_u, u -> xxhash64(u)) AS _h")
     inner = hashed.selectExpr(*keep, "_h", f"{_windows('_h', s)} AS _i")
-    mers = ", ".join(f"w.w{j}" for j in range(s))
+    mers = ", ".join(f"w.`{j}`" for j in range(s))
     inner = inner.selectExpr(*keep, "_h", f"transform(_i, w -> xxhash64({mers})) AS _s")
     width = k - s + 1
     outer = inner.selectExpr(*keep, "_h", f"{_windows('_s', width)} AS _w")
-    parts = [f"w.w{j}" for j in range(width)]
+    parts = [f"w.`{j}`" for j in range(width)]
     anchors = f"""transform(filter(_w, w -> least({', '.join(parts)}) IN ({parts[0]}, {parts[-1]})),
                             w -> cast(xxhash64({', '.join(parts)}) & 2147483647L AS int))"""
     few = "transform(_h, h -> cast(h & 2147483647L AS int))"
@@ -57,11 +57,9 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
 
 
 def _windows(array: str, width: int) -> str:
-    """All windows of an array as structs w0, w1, ..., walked in step."""
+    """All windows of an array as structs with fields 0, 1, ..., walked in step."""
     n = f"greatest(size({array}) - {width - 1}, 0)"
-    slices = ", ".join(f"slice({array}, {j + 1}, {n})" for j in range(width))
-    names = ", ".join(f"w{j}: bigint" for j in range(width))
-    return f"cast(arrays_zip({slices}) AS array<struct<{names}>>)"
+    return f"arrays_zip({', '.join(f'slice({array}, {j + 1}, {n})' for j in range(width))})"
 
 
 def fingerprint(anchors: str) -> Column:
