@@ -135,9 +135,13 @@ def keep_good(docs: DataFrame, rules: HostRules = HostRules(), *, text: str = "t
         F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(host).alias("host"), F.col(text).alias("text")
     )
     figures = word_figures(whole, keep=("row", "host"))
-    joined = _with_verdicts(figures, rejected_hosts(host_rates(figures, rules), rules))
+    rejected = rejected_hosts(host_rates(figures, rules), rules)
     failed = _failed(rules)
-    good = joined.filter(~F.expr(f"({failed['short']}) OR ({failed['repeated']})") & F.col("_rejected").isNull())
+    base = F.expr(f"({failed['short']}) OR ({failed['repeated']})")
+    # an outer generator stops the optimizer from copying the figures into the filter,
+    # where every element of an array would compute the whole array again
+    judged = figures.select("row", "host", F.explode_outer(F.array(base)).alias("_base"))
+    good = _with_verdicts(judged, rejected).filter(~F.col("_base") & F.col("_rejected").isNull())
     return good.select("row.*")
 
 
