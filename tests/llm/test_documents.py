@@ -219,8 +219,12 @@ def test_backoff_equals_brute_force(spark, order, monkeypatch):
 # ---- pipeline ----
 
 
-def test_pipeline_equals_brute_force(spark):
-    sf = "/root/testdata/sf0.001"
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    sf = str(tmp_path)
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    words = [f"w{i}x{i * i % 97}" for i in range(150)]
+    near = [(1000 + k, " ".join([*words[:20], f"edit{k}", *words[21:]]), "en", "src1", 1) for k in range(4)]
+    given.union(spark.createDataFrame(near, given.schema)).repartition(3).write.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     rows = [r for r, (base, host) in zip(rows, brute_quality(rows)) if not base and not host]
     key = lambda line: k if len(k := lower(line.strip(" \t\n\x0b\x0c\r"))) >= 10 else None
