@@ -57,7 +57,7 @@ def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"), fill=True)
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

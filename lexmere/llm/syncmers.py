@@ -1,17 +1,19 @@
 """Document fingerprints from closed syncmers, in SQL expressions only.
 
 A text's units are its words; a character of a script written without spaces is a unit of
-its own. Of all windows of K units (k-mers) those are anchors whose smallest hashed inner
+its own, and so is each character of a run of more than LONG_UNIT characters. Of all windows of K units (k-mers) those are anchors whose smallest hashed inner
 window of S units (s-mer) is the first or the last. Whether a k-mer is an anchor depends
 on nothing outside it, so the same passage yields the same anchors in any text, and at
-least one anchor starts in any K - S + 1 successive places.
+least one anchor starts in any K - S + 1 successive places. A text with fewer places may
+have none: with `fill`, as in the query, every unit is then an anchor, so that only a text
+without units has none at all; without it such a text counts as an empty one.
 
 The fingerprint lists the anchors' 31-bit hashes in text order, as eight hexadecimal digits.
 The likeness of two fingerprints is the Dice coefficient of their anchor sets.
 
 Defined cases: a null text counts as empty; an empty text has an empty fingerprint, and
 two empty ones are alike (1.0); a text of fewer than K units has every unit as an anchor;
-other columns are ignored. Rows of equal doc_id share their neighbours in doc_id order; as
+white space alone counts as empty; other columns are ignored. Rows of equal doc_id share their neighbours in doc_id order; as
 somebody's next document, the one with the smallest head counts. A null doc_id sorts last.
 """
 
@@ -25,6 +27,7 @@ from lexmere.session import written
 
 K = 5
 S = 2
+LONG_UNIT = 4096  # characters; a longer run is no word, and an edit would change all of it
 # Thai, Lao, Myanmar, Khmer, kana and Han by code ranges; script properties cost far more.
 SPACELESS = (
     r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF"
@@ -33,7 +36,7 @@ SPACELESS = (
 BEYOND = r"[\u0E00-\x{10FFFF}]"  # one comparison per character finds texts that may hold some
 
 
-def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
+def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S, fill: bool = False) -> DataFrame:
     """Add array<int> column `out`: the anchors of `text`, in order. No shuffle.
 
     Every stage is a projection of its own, so that nothing is computed once per element.
@@ -43,6 +46,9 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
     keep = [f"`{c}`" for c in df.columns]
     spaced = f"IF({text} rlike r'{BEYOND}', regexp_replace({text}, r'({SPACELESS})', ' $1 '), {text})"
     units = df.selectExpr(*keep, rf"array_remove(split({spaced}, r'[\x20\x09-\x0D]+', -1), '') AS _u")
+    single = f"flatten(transform(_u, u -> IF(char_length(u) > {LONG_UNIT}, split(u, ''), array(u))))"
+    runs = f"octet_length({text}) > {LONG_UNIT} AND exists(_u, u -> char_length(u) > {LONG_UNIT})"
+    units = units.selectExpr(*keep, f"IF({runs}, {single}, _u) AS _u")
     hashed = units.selectExpr(*keep, "transform(_u, u -> xxhash64(u)) AS _h")
     inner = hashed.selectExpr(*keep, "_h", f"{_windows('_h', s)} AS _i")
     mers = ", ".join(f"w.`{j}`" for j in range(s))
@@ -53,7 +59,9 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
     anchors = f"""transform(filter(_w, w -> least({', '.join(parts)}) IN ({parts[0]}, {parts[-1]})),
                             w -> cast(xxhash64({', '.join(parts)}) & 2147483647L AS int))"""
     few = "transform(_h, h -> cast(h & 2147483647L AS int))"
-    return outer.selectExpr(*keep, f"IF(size(_h) < {k}, {few}, {anchors}) AS {out}")
+    found = outer.selectExpr(*keep, "_h", f"{anchors} AS _a")
+    none = "size(_a) = 0" if fill else f"size(_h) < {k}"
+    return found.selectExpr(*keep, f"IF({none}, {few}, _a) AS {out}")
 
 
 def _windows(array: str, width: int) -> str:
@@ -92,7 +100,7 @@ def followers(sizes: DataFrame) -> DataFrame:
     )
 
 
-def edited_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def edited_fingerprints(docs: DataFrame, *, fill: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's fingerprint beside that of an edited text and the next document's.
 
     The edited text has its last quarter replaced by as many characters from the start of
@@ -102,7 +110,7 @@ def edited_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     sizes = texts.groupBy("doc_id").agg(F.max(F.char_length("text")).cast("long").alias("n_chars"))
     order = written(followers(written(sizes, "document-sizes")), "document-followers")
     sent = texts.join(order.hint("merge"), "doc_id")
-    sent = with_anchors(sent, "text", "next_anchors").select(
+    sent = with_anchors(sent, "text", "next_anchors", fill=fill).select(
         F.col("prev_id").alias("doc_id"),
         F.expr("substring(text, 1, cast(floor(prev_chars / 4) AS int))").alias("head"),
         "next_anchors",
@@ -118,7 +126,7 @@ def edited_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
                   substring(next.head, 1, cast(floor(n_chars / 4) AS int))) AS edited""",
         "next.next_anchors AS next_anchors",
     )
-    both = with_anchors(with_anchors(both, "text", "anchors"), "edited", "edited_anchors")
+    both = with_anchors(with_anchors(both, "text", "anchors", fill=fill), "edited", "edited_anchors", fill=fill)
     return both.select(
         outer_id("doc_id"),
         "n_chars",

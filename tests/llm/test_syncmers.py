@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
 
 import xxhash
 from pyspark.sql import functions as F
 
+from lexmere.llm.queries import op5_syncmers
 from lexmere.llm.syncmers import edited_fingerprints
 
 SPACELESS = re.compile("[一-鿿぀-ヿ฀-๿]")
@@ -84,3 +86,28 @@ def test_edges(spark):
     assert len(got) == 4
     assert len({r.fingerprint for r in got if r.doc_id == 1}) == 1
     assert {r.doc_id for r in got} == {1, 2, None}
+
+
+def test_short_texts_have_fingerprints_of_their_own(spark, tmp_path):
+    texts = [" ".join(f"w{n}x{i}y{j}" for j in range(n)) for n in (5, 6, 7) for i in range(40)]
+    assert any(not anchors(t) for t in texts)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, " \n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op5_syncmers(spark, str(tmp_path)).collect()}
+    prints = [got[i].fingerprint for i in range(len(texts))]
+    assert all(prints) and len(set(prints)) == len(texts)
+    assert all(got[i].near_next == 0.0 for i in range(len(texts)))
+    assert got[900].fingerprint == got[901].fingerprint == ""
+    for i, t in enumerate(texts):
+        if not anchors(t):
+            assert prints[i] == "".join(f"{h(w) & 0x7FFFFFFF:08X}" for w in t.split())
+
+
+def test_a_long_run_without_white_space_resembles_its_edit(spark):
+    rng = random.Random(3)
+    run_ = "".join(rng.choice("abcdefghij\u00e9") for _ in range(6000))
+    rows = [(1, run_), (2, "other words " * 2000), (3, "before " + run_ + " after")]
+    got = run(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got[1][2] == "".join(f"{x:08X}" for x in anchors(" ".join(run_)))
+    assert got[3][2] == "".join(f"{x:08X}" for x in anchors(f"before {' '.join(run_)} after"))
+    assert got[1][4] > 0.6 and got[3][5] > 0.9
