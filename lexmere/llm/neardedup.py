@@ -15,8 +15,9 @@ is high. Candidates that the sketch leaves are confirmed on full sets.
    need no comparison, so a large group of copies is not expanded into pairs.
 4. Components of all links.
 
-At 32 bands of 6 a pair at the threshold of 0.85 shares no bucket with probability 3e-7;
-the sketch's own margin (5 standard deviations) is of the same order.
+Unless given, bands and rows follow from the threshold, so that a pair exactly there shares
+no bucket with probability LOST at most: 32 bands of 6 at 85 percent (3e-7), of 5 at 80
+(3e-6), of 3 at 70. The sketch's own margin (5 standard deviations) is of the order 3e-7.
 
 Defined cases: a null or empty text has no shingles and is its own component; fewer than
 five words make one shingle; rows of equal doc_id are one document; a null doc_id sorts
@@ -39,16 +40,39 @@ from lexmere.llm.shingles import mix, shingle_sets
 from lexmere.session import written
 
 
+LOST = 4e-6
+BANDS = 32
+
+
 @dataclass(frozen=True)
 class NearOptions:
     percent: int = 85
     samples: int = 512
-    bands: int = 32
-    rows: int = 6
+    bands: int | None = None
+    rows: int | None = None
     words: int = 32  # 64-bit words of a sketch
     margin: float = 5.0
     block: int = 1024
 
+    def __post_init__(self) -> None:
+        if not 1 <= self.percent <= 100:
+            raise ValueError("the threshold is a percentage from 1 to 100")
+        bands, rows = self.bands or BANDS, self.rows
+        if rows is None:
+            most = max(self.samples // bands, 1)
+            rows = next((r for r in range(most, 1, -1) if self.missed(bands, r) <= LOST), 1)
+        if self.bands is None:
+            while self.missed(bands, rows) > LOST and bands * rows <= self.samples:
+                bands += 1
+        if bands * rows > self.samples:
+            raise ValueError("too few samples for this threshold")
+        object.__setattr__(self, "bands", bands)
+        object.__setattr__(self, "rows", rows)
+
+    def missed(self, bands: int, rows: int) -> float:
+        """Probability that a pair at the threshold shares no bucket."""
+        return (1 - (self.percent / 100) ** rows) ** bands
+
     @property
     def most_bits(self) -> int:
         """Population count that a pair at the threshold passes only beyond the margin."""

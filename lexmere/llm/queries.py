@@ -49,7 +49,7 @@ def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardedup.near_components(table(spark, sf_dir, "documents"))
+    return neardedup.near_components(table(spark, sf_dir, "documents"), neardedup.NearOptions(percent=85))
 
 
 def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,6 +142,32 @@ def test_near_components_equal_brute_force(spark, block):
     assert got == brute_near(docs)
 
 
+def test_bands_follow_the_threshold():
+    bands = {p: (o.bands, o.rows) for p in (100, 85, 80, 70, 50, 30, 10) for o in [NearOptions(percent=p)]}
+    assert bands[85] == (32, 6) and bands[80] == (32, 5) and bands[70] == (32, 3)
+    for p, (b, r) in bands.items():
+        assert (1 - (p / 100) ** r) ** b <= 4e-6 and b * r <= 512
+    assert (NearOptions(bands=8, rows=4).bands, NearOptions(bands=8, rows=4).rows) == (8, 4)
+    for p in (0, 1, 101):
+        with pytest.raises(ValueError):
+            NearOptions(percent=p)
+
+
+def test_near_components_at_half_equal_brute_force(spark):
+    rng = random.Random(5)
+    docs = []
+    for group in range(40):
+        words = [f"g{group}w{j}" for j in range(60)]
+        for k in range(2):
+            own = list(words)
+            for j in rng.sample(range(60), 2 * k):
+                own[j] = f"x{rng.randrange(10**6)}"
+            docs.append((2 * group + k, " ".join(own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_components(df, NearOptions(percent=55)).collect()}
+    assert got == brute_near(docs, 55) != brute_near(docs)
+
+
 def test_near_edges(spark):
     assert near_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, "z")]
@@ -251,6 +277,22 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert 0 < len(docs) < 200 and sum(k[2] for k in kept.values()) < len(docs)
 
 
+def test_pipeline_joins_near_copies_from_80_percent(spark, tmp_path):
+    schema = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").schema
+    docs = []
+    for group in range(3):
+        words = [f"g{group}w{j}" for j in range(106)]
+        for k in range(2):
+            own = [*words[:20], f"edit{k}", *words[21:60], f"more{k}", *words[61:]]
+            docs.append((10 * group + k, " ".join(own)))
+    for group in range(3):
+        a, b = (shingles(t) for i, t in docs if i // 10 == group)
+        assert 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b)
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], schema)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {0, 10, 20}
+
+
 def test_pipeline_stages_take_odd_tables(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     text = "\n".join(" ".join(f"w{i}x{j}" for j in range(20)) for i in range(4))
