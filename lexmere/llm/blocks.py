@@ -13,7 +13,7 @@ BLOCK_TAGS = frozenset(
     textarea tfoot th thead tr ul""".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED_TAGS = frozenset("script style noscript template svg math object title iframe noembed noframes".split())
+SKIPPED_TAGS = frozenset("script style noscript template svg title iframe noembed noframes".split())
 FEATURE_TAGS = (
     "article main section div nav header footer aside form button select option label textarea fieldset ul ol li dl dd dt table"
     " td th tr p pre blockquote figure figcaption h1 h2 h3 h4 h5 h6 details address dialog"
@@ -33,14 +33,12 @@ FAMILIES = {
     "content": "article content post entry story main body text prose longform",
 }
 _FAMILY_OF = {word: family for family, words in FAMILIES.items() for word in words.split()}
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z) | <[!?][^>]*(?:>|\Z)
-      | <(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,4000}+"|'[^']{0,4000}+')*+)>
-      | <(/?)([a-zA-Z][^\s/>]*)([^>]*)>
-      | [^<]+ | <""",
-    re.S | re.X,
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z) | <[!?][^>]*(?:>|\Z) | <(/?)([a-zA-Z][^\s/>]*) | [^<]+ | <""", re.S | re.X)
+_STOP = re.compile("[>\"']")
+# Other attributes' quoted values are passed over whole.
+_ATTRIBUTE = re.compile(
+    r""""[^"]*"|'[^']*'|(class|id|role|aria-label|style|hidden|itemprop)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|style|hidden|itemprop)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -83,6 +81,35 @@ _CLOSES = {
 _SCOPE = frozenset("article aside section div body table td th blockquote form nav header footer main ul ol dl".split())
 
 
+class _Ends:
+    """Where the tags of a page end: at the first > outside quotes, whatever their length.
+
+    Without one (a quote is never closed) a tag ends at its first >. Quotes from which no end
+    was found are remembered, so the work is linear in the page.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = page.rfind(">")
+        self.lost: set[int] = set()
+
+    def after(self, at: int) -> int:
+        """Place of the > that ends the tag whose name ends at `at`; -1 if there is none."""
+        if at > self.last:
+            return -1
+        page, opened, pos = self.page, [], at
+        while (stop := _STOP.search(page, pos)) and stop.start() not in self.lost:
+            pos = stop.start()
+            if page[pos] == ">":
+                return pos
+            opened.append(pos)
+            pos = page.find(page[pos], pos + 1) + 1
+            if not pos:
+                break
+        self.lost.update(opened)
+        return page.find(">", at)
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks in page order, without scripts, styles, titles and comments.
 
@@ -95,6 +122,7 @@ def leaf_blocks(page: str) -> list[Block]:
     links = [0]
     open_links = 0
     at, size = 0, len(page)
+    ends_of = _Ends(page)
     lower = page.lower() if "<" in page else ""
     if len(lower) != size:  # a character whose lower case is longer; tags are ASCII
         lower = re.sub("[A-Z]+", lambda m: m[0].lower(), page)
@@ -117,19 +145,21 @@ def leaf_blocks(page: str) -> list[Block]:
 
     while at < size:
         found = _TOKEN.match(page, at)
-        at = found.end()
-        tag = found[2] or found[5]
-        if not tag:
-            text = found[0]
+        tag = found[2]
+        stop = ends_of.after(found.end()) if tag else -1
+        if stop < 0:
+            text = "<" if tag else found[0]
+            at += len(text)
             if text[0] != "<" or len(text) == 1:
                 text = html.unescape(text) if "&" in text else text
                 pieces.append(text)
                 if open_links:
                     links[0] += len(text)
             continue
+        attributes = page[found.end() : stop]
+        at = stop + 1
         tag = tag.lower()
-        ends = found[1] or found[4]
-        if ends:
+        if found[1]:
             barrier = BLOCK_TAGS if tag not in BLOCK_TAGS else ()
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == tag:
@@ -138,7 +168,6 @@ def leaf_blocks(page: str) -> list[Block]:
                 if stack[depth][0] in barrier:
                     break
             continue
-        attributes = found[3] or found[6] or ""
         if tag in SKIPPED_TAGS and not attributes.endswith("/"):
             end = lower.find(f"</{tag}", at)
             end = size if end < 0 else lower.find(">", end)

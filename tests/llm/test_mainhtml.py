@@ -28,6 +28,27 @@ def test_blocks():
     assert block.link_chars == 2 and {"in:aside", "is:side"} <= block.above
 
 
+def test_long_attribute_values():
+    for n in (10, 5_000, 300_000):
+        data = "{'a': '<p class=nav>b > c</p>'}" + "x" * n
+        block, after = leaf_blocks(f'<div data-props="{data}" class="sidebar">in</div><p>out')
+        assert (block.text, after.text) == ("in", "out")
+        assert "is:side" in block.above and "is:nav" not in block.above and not after.above & {"is:side", "is:nav"}
+        assert texts(f"<p onclick='{'>' * n}'>one</p>") == ["one"]
+    assert texts('<p title="never closed>one</p><p>two</p>') == ["one", "two"]
+    assert texts("<p>a <b") == ["a <b"]
+
+
+def test_formulas_and_fallbacks_are_text():
+    assert texts("<p>where <math><mi>x</mi><mo>=</mo><mn>5</mn></math> holds</p>") == ["where x=5 holds"]
+    assert texts("<object data=x><param name=y><p>fallback</p></object><p>more") == ["fallback", "more"]
+
+
+def test_tags_that_never_end_are_quick():
+    for part in ('<a ">" ', "<a '>' \"", "<a b='\"' ", '<a href="x>'):
+        assert len(leaf_blocks(part * 60_000)) <= 1
+
+
 def test_long_broken_markup_is_quick():
     assert len(leaf_blocks('<a href="' * 20_000)) <= 1
     assert texts("<div>" * 50_000 + "x") == ["x"]
