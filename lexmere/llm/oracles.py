@@ -123,9 +123,23 @@ SELECT w.doc_id, count(s) AS n_words, count(*) FILTER (found) AS n_found,
 FROM words w LEFT JOIN scored USING (doc_id) GROUP BY w.doc_id
 """
 
+TOPK = r"""
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op4_stupid_backoff": BACKOFF,
     "op3_near_dedup": NEAR,
     "op2_line_dedup": LINES,
     "op8_host_quality": QUALITY,
+    "op13_exact_topk": TOPK,
 }
