@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmere.llm import backoff, linededup, mainhtml, neardedup, packing, quality, suffixes, syncmers, tokencounts, tokenfiles, topsearch, turnrepair
+from lexmere.llm import backoff, linededup, mainhtml, neardedup, packing, phrases, quality, suffixes, syncmers, tokencounts, tokenfiles, topsearch, turnrepair
 from lexmere.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,10 @@ def op11_target_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turnrepair.repaired_summaries(table(spark, sf_dir, "conversations"))
 
 
+def op12_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topsearch.exact_top_k(table(spark, sf_dir, "embeddings"), 10, F.col("vec_id") % 100 == 0)
 
@@ -110,5 +114,6 @@ QUERIES: dict[str, Query] = {
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
     "op11_target_alignment": op11_target_alignment,
+    "op12_toivonen_phrases": op12_toivonen_phrases,
     "op13_exact_topk": op13_exact_topk,
 }
