@@ -36,7 +36,7 @@ from lexmere.llm.common import join_counted
 from lexmere.operators.ranking import top_k
 from lexmere.session import written
 
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 BUCKET_BITS = 32_768  # of Spark's bitmap functions
 COUNTS = "lang string, k int, phrase string, hash long, f long"
 PIECE_END = re.compile(rb"[.,;:!?\n-\r]")
@@ -168,15 +168,16 @@ def _cut(text: bytes) -> Iterator[bytes]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[Chunk]:
-    """Texts collected by language; about CHUNK bytes each, four times that in all."""
+    """Texts collected by language; about CHUNK bytes each, twice that in all."""
     held: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
-    for batch in batches:
+    some = (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256))
+    for batch in some:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
             for part in _cut(text):
                 held.setdefault(lang, []).append(part)
                 sizes[lang] = sizes.get(lang, 0) + len(part) + 64
-                full = [lang] if sizes[lang] >= CHUNK else list(held) if sum(sizes.values()) >= 4 * CHUNK else []
+                full = [lang] if sizes[lang] >= CHUNK else list(held) if sum(sizes.values()) >= 2 * CHUNK else []
                 for name in full:
                     sizes.pop(name)
                     yield Chunk(name, held.pop(name), longest)
