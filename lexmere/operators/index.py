@@ -1,20 +1,27 @@
-"""The lexical index: corpus statistics built once, used by every search."""
+"""The lexical index: texts become terms once, and every search uses that.
+
+Building writes a forward index, one row of counted terms per chunk, and the corpus
+statistics over it. Searches, vector lengths and the saved index read the forward index;
+no text is split a second time. The saved index holds postings in blocks: all postings of
+one term in one range of chunks, with the largest count and smallest length among them.
+"""
 
 from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmere.operators.terms import TermOptions, smooth_idf, term_arrays, term_rows, term_stats
-from lexmere.session import BROADCAST_ROWS, join_probe, small, spread, written
+from lexmere.operators.terms import TermOptions, array_rows, smooth_idf, term_arrays, term_stats
+from lexmere.session import BROADCAST_ROWS, at_most, join_probe, small, spread, written
 
 POSTING_BUCKETS = 256
 CHUNK_FOLDERS = 64
 PUSHED = 2000
-FORMAT = 3
+RANGE_CHUNKS = 128  # chunks of a range, on average
+FORMAT = 4
 KEY_END = "\x1f"  # ends the chunk id inside an internal key
 
 
@@ -25,6 +32,8 @@ class LexicalIndex:
     chunks: (chunk_id, text, topic array<string>, ...), skipped chunks already out.
     stats: (term, df, cf, only_doc) for every term, a written table.
     The scalars come from one aggregate over `stats`.
+    forward: (chunk_id, topic, n_terms, counts), a written table; a saved index has
+    `postings` in its place.
     """
 
     chunks: DataFrame
@@ -35,8 +44,10 @@ class LexicalIndex:
     n_vocabulary: int
     n_postings: int
     n_too_common: int
+    forward: DataFrame | None = None
     postings: DataFrame | None = None
     buckets: int = 0
+    ranges: int = 0
 
     @property
     def avgdl(self) -> float:
@@ -63,27 +74,37 @@ class LexicalIndex:
             return 0.0
         return self.n_postings / BROADCAST_ROWS
 
+    def term_arrays(self) -> DataFrame:
+        """(chunk_id, topic, n_terms, counts) for every chunk."""
+        if self.forward is not None:
+            return self.forward
+        return term_arrays(self.chunks, "text", self.options, ["chunk_id", "topic"])
+
     def term_rows(self) -> DataFrame:
         """(chunk_id, topic, n_terms, term, tf) for every chunk."""
-        return term_rows(self.chunks, "text", self.options, ["chunk_id", "topic"])
+        return array_rows(self.term_arrays())
 
-    def stored_rows(self, wanted: DataFrame, fits: bool) -> DataFrame:
-        """Saved postings of the wanted terms.
+    def stored_blocks(self, wanted: DataFrame, fits: bool) -> DataFrame:
+        """Saved blocks of the wanted terms.
 
         Up to PUSHED terms go into the scan as a list, with their folders, so that only
         matching row groups are read. More are broadcast with their folder. A probe too
-        large for that asks for all folders anyway and is joined salted by chunk.
+        large for that asks for all folders anyway and is joined salted by range.
         """
         if not fits:
-            return join_probe(self.postings.drop("bucket"), wanted.select("term"), "term", False, "chunk_id")
-        keyed = wanted.withColumn("bucket", _bucket(self.buckets))
-        listed = keyed.select("bucket", "term").limit(PUSHED + 1).collect()
+            return join_probe(self.postings.drop("bucket"), wanted.select("term"), "term", False, "range")
+        keyed = wanted.select("term", _bucket(self.buckets).alias("bucket"))
+        listed = keyed.limit(PUSHED + 1).collect()
         postings = self.postings
         if len(listed) <= PUSHED:
             postings = postings.filter(
                 F.col("bucket").isin(sorted({r["bucket"] for r in listed})) & F.col("term").isin([r["term"] for r in listed])
             )
-        return postings.join(F.broadcast(keyed), ["bucket", "term"])
+        return postings.join(F.broadcast(keyed), ["bucket", "term"]).drop("bucket")
+
+    def stored_rows(self, wanted: DataFrame, fits: bool) -> DataFrame:
+        """(term, chunk_id, topic, dl, norm, tf): saved postings of the wanted terms."""
+        return self.stored_blocks(wanted, fits).select("term", F.inline("docs"))
 
     def _tail_rows(self, above: float) -> DataFrame:
         """Term rows without the terms of a document frequency over `above` and the head's:
@@ -117,9 +138,9 @@ class LexicalIndex:
 
     def chunk_lengths(self) -> DataFrame:
         """(chunk_id, dl): vocabulary tokens of every chunk, 0 included."""
-        sizes = term_arrays(self.chunks, "text", self.options, ["chunk_id"])
         return (
-            sizes.select("chunk_id", "n_terms")
+            self.term_arrays()
+            .select("chunk_id", "n_terms")
             .join(self.dropped_tokens(), "chunk_id", "left")
             .select(
                 "chunk_id",
@@ -127,25 +148,44 @@ class LexicalIndex:
             )
         )
 
-    def chunk_norms(self) -> DataFrame:
-        """(chunk_id, norm): L2 length of each chunk's tf * idf vector.
+    def chunk_facts(self) -> DataFrame:
+        """(chunk_id, dl, norm) of every chunk with a vocabulary term: its tokens, and the
+        L2 length of its tf * idf vector. One reading of the forward index.
 
-        Terms frequent enough to be few are broadcast; the long tail, where no
-        term is frequent, is joined by term.
+        Terms frequent enough to be few are broadcast and summed up per chunk where they
+        are read. A posting of the tail goes to its term, where the length of the list is
+        the document frequency and gives the square; the tail's lists are at most
+        `head_floor` long. Both kinds share one shuffle.
         """
-        weight = F.col("tf") * smooth_idf(F.col("df"), self.n_docs)
+        low, high = self.df_bounds
         floor = self.head_floor()
-        head = self.vocabulary().filter(F.col("df") > floor)
-        squares = self.term_rows().join(F.broadcast(head.select("term", "df")), "term")
-        squares = squares.groupBy("chunk_id").agg(F.sum(weight * weight).alias("square"))
+        kept = (F.col("df") >= low) & (F.col("df") <= high)
+        head = self.stats.select("term", "df").filter(F.col("df") > floor)
+        if floor == 0:
+            head = head.filter(kept)
+        rows = self.term_rows().select("chunk_id", "term", "tf").join(F.broadcast(head), "term", "left")
+        square = F.pow(F.col("tf") * smooth_idf(F.col("df"), self.n_docs), 2)
+        sums = [F.sum(F.when(kept, square)).alias("square"), F.sum(F.when(kept, F.col("tf"))).cast("long").alias("dl")]
         if floor > 0:
-            tail = self.vocabulary().filter(F.col("df") <= floor).select("term", "df")
-            # exploded rows look small to the planner, so the join is named: by sorting
-            more = self._tail_rows(floor).join(tail.hint("merge"), "term")
-            squares = squares.unionByName(
-                more.groupBy("chunk_id").agg(F.sum(weight * weight).alias("square"))
+            tail = F.col("df").isNull()
+            key = F.when(tail, F.concat(F.lit("t"), "term")).otherwise(F.concat(F.lit("c"), "chunk_id"))
+            posting = F.when(tail, F.struct("chunk_id", "tf"))
+            met = rows.groupBy(key.alias("key")).agg(*sums, F.collect_list(posting).alias("tail"))
+            df = F.size("tail")
+            squares = F.transform(
+                "tail",
+                lambda p: F.struct(
+                    p["chunk_id"].alias("chunk_id"),
+                    F.pow(p["tf"] * smooth_idf(df, self.n_docs), 2).alias("square"),
+                    p["tf"].cast("long").alias("dl"),
+                ),
             )
-        return squares.groupBy("chunk_id").agg(F.sqrt(F.sum("square")).alias("norm"))
+            summed = F.array(F.struct(F.expr("substring(key, 2)").alias("chunk_id"), "square", "dl"))
+            out = F.when(F.col("key").startswith("c"), summed).when((df >= low) & (df <= high), squares)
+            rows = met.select(F.inline(out))
+            sums = [F.sum("square").alias("square"), F.sum("dl").alias("dl")]
+        facts = rows.groupBy("chunk_id").agg(*sums).filter(F.col("square").isNotNull())
+        return facts.select("chunk_id", "dl", F.sqrt("square").alias("norm"))
 
 
 def public_id(key: str = "chunk_id") -> Column:
@@ -153,34 +193,51 @@ def public_id(key: str = "chunk_id") -> Column:
     return F.substring_index(F.col(key), KEY_END, 1)
 
 
-def _keyed(chunks: DataFrame) -> DataFrame:
-    """Chunks whose chunk_id is a key: where ids repeat, every id is lengthened by what
-    else describes the row. Rows that nothing tells apart are an error."""
+def _repeated(chunks: DataFrame) -> DataFrame | None:
+    """The chunk ids that occur more than once, a written table; None if there are none."""
+    ids = written(chunks.groupBy("chunk_id").count().filter("count > 1").select(F.col("chunk_id").alias("_id")), "repeated-ids")
+    return None if ids.isEmpty() else ids
 
-    def repeats(df: DataFrame) -> bool:
-        return not df.groupBy("chunk_id").count().filter("count > 1").isEmpty()
 
-    if not repeats(chunks.select("chunk_id")):
+def _lengthened(chunks: DataFrame, ids: DataFrame, by: Column) -> DataFrame:
+    """`chunks` with KEY_END and `by` behind every chunk_id in `ids`."""
+    marked = chunks.join(small(ids, at_most(ids)), F.col("chunk_id") == F.col("_id"), "left")
+    longer = F.when(F.col("_id").isNotNull(), F.concat("chunk_id", F.lit(KEY_END), by)).otherwise(F.col("chunk_id"))
+    return marked.select(*(longer.alias(c) if c == "chunk_id" else F.col(c) for c in chunks.columns))
+
+
+def _keyed(chunks: DataFrame) -> DataFrame:
+    """Chunks whose chunk_id is a key: a repeated id is lengthened by what else describes
+    its row, and, where that repeats too, by its text's hash and a number among equal rows."""
+    ids = _repeated(chunks)
+    if ids is None:
         return chunks
     others = [c for c in chunks.columns if c not in ("chunk_id", "text")]
-    described = F.to_json(F.struct(*others)) if others else F.lit("")
-    keyed = chunks.withColumn("chunk_id", F.concat("chunk_id", F.lit(KEY_END), described))
-    if repeats(keyed.select("chunk_id")):
-        raise ValueError("chunk ids repeat, and no other column tells the rows apart")
-    return keyed
+    keyed = _lengthened(chunks, ids, F.to_json(F.struct(*others)) if others else F.lit(""))
+    ids = _repeated(keyed)
+    if ids is None:
+        return keyed
+    # rows of one key and text are equal in all columns: any order gives the same numbers
+    numbered = keyed.join(small(ids, at_most(ids)), F.col("chunk_id") == F.col("_id"), "left_semi").withColumn(
+        "_n", F.row_number().over(Window.partitionBy("chunk_id", "text").orderBy(F.lit(0)))
+    )
+    longer = F.concat("chunk_id", F.lit(KEY_END), F.hex(F.xxhash64("text")), F.lit("#"), "_n")
+    rest = keyed.join(small(ids, at_most(ids)), F.col("chunk_id") == F.col("_id"), "left_anti")
+    return rest.unionByName(numbered.select(*(longer.alias(c) if c == "chunk_id" else F.col(c) for c in keyed.columns)))
 
 
 def build_index(chunks: DataFrame, options: TermOptions = TermOptions()) -> LexicalIndex:
-    """Index `chunks` (chunk_id, text, topic, ...): one pass and one shuffle over it.
+    """Index `chunks` (chunk_id, text, topic, ...): texts are split once, statistics take one shuffle.
 
-    `chunks` is read again by every search, so it should be a stored table. Chunk ids may
+    `chunks` is read again for payload, so it should be a stored table. Chunk ids may
     repeat (files of one name in two folders): chunks are told apart by an internal key.
     """
     n_docs = chunks.count()
     chunks = spread(_keyed(chunks), "chunk_id")
-    rows = term_rows(chunks, "text", options, ["chunk_id"])
-    stats = written(term_stats(rows, "chunk_id"), "term-stats")
-    return _measure(chunks, n_docs, options, stats)
+    keep = [c for c in ("chunk_id", "topic") if c in chunks.columns]
+    forward = written(term_arrays(chunks, "text", options, keep), "forward-index")
+    stats = written(term_stats(array_rows(forward), "chunk_id"), "term-stats")
+    return replace(_measure(chunks, n_docs, options, stats), forward=forward)
 
 
 def _measure(
@@ -230,25 +287,34 @@ def chunks_of(chunks: DataFrame, ranked: DataFrame, key: str) -> DataFrame:
     )
 
 
-def save_index(index: LexicalIndex, path: str, buckets: int = POSTING_BUCKETS) -> None:
+def range_of(ranges: int) -> Column:
+    """The range of a chunk."""
+    return F.pmod(F.xxhash64("chunk_id"), F.lit(ranges)).cast("int")
+
+
+def save_index(index: LexicalIndex, path: str, buckets: int = POSTING_BUCKETS, range_chunks: int = RANGE_CHUNKS) -> None:
     """Write postings and statistics so that later searches read only what they need.
 
     A posting carries its chunk's length and norm, so a search touches nothing but
-    postings. They lie in folders by a hash of the term, and a search prunes to the
-    folders of its own terms. Files are sorted by term, which packs them well; the
-    rebalance splits a folder that frequent terms make large over several tasks.
+    postings. The postings of one term in one range of chunks form a block, about
+    `range_chunks` at most. Blocks lie in folders by a hash of the term, and a search
+    prunes to the folders of its own terms. Files are sorted by term, which packs them
+    well; the rebalance splits a folder that frequent terms make large over several tasks.
     """
-    arrays = term_arrays(index.chunks, "text", index.options, ["chunk_id", "topic"])
+    ranges = max(1, -(-index.n_docs // range_chunks))
     rows = (
-        arrays.join(index.chunk_lengths(), "chunk_id")
-        .join(index.chunk_norms(), "chunk_id")
-        .select("chunk_id", "topic", "dl", "norm", F.inline_outer("counts"))
+        index.term_arrays()
+        .join(index.chunk_facts(), "chunk_id")
+        .select("chunk_id", "topic", "dl", "norm", range_of(ranges).alias("range"), F.inline_outer("counts"))
         .filter(F.col("term").isNotNull())
-        .withColumn("bucket", _bucket(buckets))
+    )
+    posting = F.struct("chunk_id", "topic", "dl", "norm", "tf")
+    blocks = rows.groupBy(_bucket(buckets).alias("bucket"), "term", "range").agg(
+        F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count("*").alias("n"), F.collect_list(posting).alias("docs")
     )
     (
-        rows.hint("rebalance", "bucket")
-        .sortWithinPartitions("bucket", "term")
+        blocks.hint("rebalance", "bucket")
+        .sortWithinPartitions("bucket", "term", "range")
         .write.mode("overwrite")
         .partitionBy("bucket")
         .parquet(f"{path}/postings")
@@ -262,7 +328,7 @@ def save_index(index: LexicalIndex, path: str, buckets: int = POSTING_BUCKETS) -
         .partitionBy("folder")
         .parquet(f"{path}/chunks")
     )
-    about = {"format": FORMAT, "options": asdict(index.options), "buckets": buckets, "n_docs": index.n_docs}
+    about = {"format": FORMAT, "options": asdict(index.options), "buckets": buckets, "ranges": ranges, "n_docs": index.n_docs}
     row = index.stats.sparkSession.createDataFrame([(json.dumps(about),)], "value string")
     row.coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
@@ -277,4 +343,4 @@ def load_index(spark: SparkSession, path: str) -> LexicalIndex:
     chunks = spark.read.parquet(f"{path}/chunks")
     postings = spark.read.parquet(f"{path}/postings")
     index = _measure(chunks, about["n_docs"], TermOptions(**kept), stats)
-    return replace(index, postings=postings, buckets=about["buckets"])
+    return replace(index, postings=postings, buckets=about["buckets"], ranges=about["ranges"])

@@ -67,15 +67,21 @@ def _bm25_hits(index: LexicalIndex, wanted: DataFrame, fits: bool) -> DataFrame:
     )
 
 
-def bm25_scores(
-    index: LexicalIndex, questions: DataFrame, *, k1: float = 1.5, b: float = 0.75
-) -> DataFrame:
-    """(chunk_id, qid, score) for every chunk that shares a vocabulary term."""
+def bm25_weights(index: LexicalIndex, questions: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """(qid, q_topic, term, idf) of the questions' vocabulary terms, those terms, and
+    whether they fit a broadcast."""
     terms = question_terms(questions, index)
     fits = at_most(terms)
     idf = bm25_idf(F.col("df"), index.n_docs)
     wanted = _wanted(index, terms, fits).select("term", idf.alias("idf"))
-    weighted = terms.join(small(wanted, fits), "term").select("qid", "q_topic", "term", "idf")
+    return terms.join(small(wanted, fits), "term").select("qid", "q_topic", "term", "idf"), wanted, fits
+
+
+def bm25_scores(
+    index: LexicalIndex, questions: DataFrame, *, k1: float = 1.5, b: float = 0.75
+) -> DataFrame:
+    """(chunk_id, qid, score) for every chunk that shares a vocabulary term."""
+    weighted, wanted, fits = bm25_weights(index, questions)
     norm = k1 * (1.0 - b + b * F.col("dl") / F.lit(index.avgdl + 1e-12))
     value = F.col("idf") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + norm + 1e-12)
     return _pair_scores(_bm25_hits(index, wanted, fits), weighted, fits, value)
@@ -86,7 +92,7 @@ def _tfidf_hits(index: LexicalIndex, wanted: DataFrame, fits: bool) -> DataFrame
     if index.postings is not None:
         return index.stored_rows(wanted.select("term"), fits)
     found = join_probe(index.term_rows(), wanted.select("term"), "term", fits, by="chunk_id")
-    return found.join(index.chunk_norms(), "chunk_id").select(
+    return found.join(index.chunk_facts(), "chunk_id").select(
         "chunk_id", "topic", "norm", "term", "tf"
     )
 

@@ -99,12 +99,15 @@ def term_arrays(docs: DataFrame, text: str, options: TermOptions, keep: list[str
     )
 
 
+def array_rows(arrays: DataFrame) -> DataFrame:
+    """(..., n_terms, term, tf): one row per distinct term of a document."""
+    keep = [c for c in arrays.columns if c != "counts"]
+    return arrays.select(*keep, F.inline_outer("counts")).filter(F.col("term").isNotNull())
+
+
 def term_rows(docs: DataFrame, text: str, options: TermOptions, keep: list[str]) -> DataFrame:
     """(keep..., n_terms, term, tf): one row per distinct term of a document."""
-    arrays = term_arrays(docs, text, options, keep)
-    return arrays.select(*keep, "n_terms", F.inline_outer("counts")).filter(
-        F.col("term").isNotNull()
-    )
+    return array_rows(term_arrays(docs, text, options, keep))
 
 
 def term_stats(rows: DataFrame, doc_id: str) -> DataFrame:

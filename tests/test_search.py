@@ -159,7 +159,9 @@ def plan(df):
 
 def test_plans_stay_narrow(spark):
     index = build_index(frame(spark, corpus()))
-    rows = plan(index.term_rows())
+    rows = plan(index.term_rows())  # no text is split again
+    assert rows.count("split(") == 0 and "Exchange" not in rows
+    rows = plan(terms_module.term_rows(index.chunks, "text", TermOptions(), ["chunk_id"]))
     assert rows.count("split(") == 1 and "Exchange" not in rows
     found = plan(search(index, asked(spark, ("alpha", "all"))))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin"):
@@ -190,8 +192,21 @@ def test_repeated_ids_are_separate_chunks(spark):
     unique = chunks.withColumn("chunk_id", F.concat("chunk_id", F.col("topic")[0]))
     plain = search(build_index(unique), asked(spark, ("alpha", None))).collect()
     assert sorted(round(r.score, 9) for r in plain) == sorted(round(s, 9) for _, s in got.values())
-    with pytest.raises(ValueError, match="repeat"):
-        build_index(spark.createDataFrame([("x", "one"), ("x", "two")], "chunk_id string, text string"))
+
+
+def test_chunks_that_nothing_tells_apart_are_all_indexed(spark):
+    rows = [("x", "alpha beta", "t"), ("x", "alpha beta", "t"), ("x", "alpha gamma gamma", "t"), ("y", "gamma beta delta", "t"), ("z", "delta alpha", "u")]
+    chunks = spark.createDataFrame([(c, t, [k]) for c, t, k in rows], "chunk_id string, text string, topic array<string>")
+    index = build_index(chunks)
+    keys = [r.chunk_id for r in index.chunks.collect()]
+    assert len(set(keys)) == 5 and {"y", "z"} < set(keys)  # only repeated ids are lengthened
+    assert {r.chunk_id for r in index.forward.collect()} == set(keys)
+    unique = chunks.withColumn("chunk_id", F.concat("chunk_id", F.monotonically_increasing_id()))
+    ask = asked(spark, ("alpha gamma", None))
+    want = sorted(round(r.score, 9) for r in search(build_index(unique), ask).collect())
+    found = search(index, ask).collect()
+    assert sorted(round(r.score, 9) for r in found) == want
+    assert {r.chunk_id for r in found} == {"x", "y", "z"}
 
 
 def plan(df):
@@ -215,8 +230,19 @@ def test_saved_index_reads_only_what_is_asked(spark, tmp_path):
     assert large == {(r.chunk_id, r.term) for r in opened.stored_rows(wanted, True).collect()} and large
 
 
-def test_head_terms_stay_out_of_the_tail_shuffle(spark, monkeypatch):
-    index = build_index(frame(spark, corpus(11, 60)))
+def test_norms_take_one_reading_and_one_shuffle_by_term(spark, monkeypatch):
+    texts = corpus(11, 60)
+    index = build_index(frame(spark, texts))
+    want = {r.chunk_id: (r.dl, r.norm) for r in index.chunk_facts().collect()}
+    whole = plan(index.chunk_facts())
+    assert "split(" not in whole and whole.count("FileScan") == 2  # forward index and statistics
     monkeypatch.setattr(index_module, "BROADCAST_ROWS", 20)
-    shown = plan(index.chunk_norms())
-    assert "LeftAnti" in shown and "SortMergeJoin" in shown
+    shown = plan(index.chunk_facts())
+    assert "split(" not in shown and shown.count("FileScan") == 2
+    assert shown.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in shown  # by term, then by chunk
+    got = {r.chunk_id: (r.dl, r.norm) for r in index.chunk_facts().collect()}
+    assert got.keys() == want.keys()
+    for key, (dl, norm) in want.items():
+        assert got[key][0] == dl and got[key][1] == pytest.approx(norm)
+    plain = Corpus(texts)
+    assert {k: v[0] for k, v in want.items()} == {k: v for k, v in plain.dl.items() if v}
