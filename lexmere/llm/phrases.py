@@ -3,16 +3,18 @@
 Words are what lies between spaces and tabs inside a piece, pieces what lies between
 `[.,;:!?\\x0A-\\x0D]`. A phrase of k words can only be frequent if its first and its last
 k - 1 words are. A sample of the documents proposes phrases at a lowered threshold. The
-full pass counts, exactly, all words and all phrases whose two parts are proposed: the
-proposals and their negative border. Border phrases found frequent are failures; they admit
-phrases nobody has counted yet, and passes over those alone follow until none fails. Each
-pass settles at least one more length, so there are at most `longest` of them, and the
-sample never changes the result.
-
-Proposed sets are bitmaps of a fixed size by phrase hash, the only thing that is broadcast
-or collected. A false hit only adds a phrase to the exact count. Each task counts its texts
-in chunks of about CHUNK bytes by whole numbers per phrase, and Spark adds up the counts by
-(lang, phrase) with map-side combining, so that frequent phrases arrive as one row a task.
+full pass counts all words and all phrases whose two parts are proposed: the proposals and
+their negative border. Border phrases found frequent are failures; they admit phrases
+nobody has counted yet, and passes over those alone follow until none fails. Each pass
+settles at least one more length, so there are at most `longest` of them, and the sample
+never changes the result.
+
+These passes count by a phrase's 64-bit hash. Phrases that share a hash count as one there,
+which can only let a rare phrase through: a last pass counts what came through by its text,
+exactly. Sets of phrases are bitmaps of a fixed size by hash, the only thing that is
+broadcast or collected; a false hit there, too, only adds to what is counted. Each task
+counts its texts in chunks of about CHUNK bytes, and Spark adds up the counts with map-side
+combining, so that frequent phrases arrive as one row a task.
 
 Defined cases: a null text is empty, a null lang is `und`; repeated rows count again; an
 empty table gives no rows; a text over CHUNK is cut at piece ends. Other columns are left
@@ -36,9 +38,9 @@ from lexmere.llm.common import join_counted
 from lexmere.operators.ranking import top_k
 from lexmere.session import written
 
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 BUCKET_BITS = 32_768  # of Spark's bitmap functions
-COUNTS = "lang string, k int, phrase string, hash long, f long"
+COUNTS = "lang string, k int, phrase string, f long"
 PIECE_END = re.compile(rb"[.,;:!?\n-\r]")
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -86,8 +88,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Chunk:
     """Phrases of some texts of one language: for each length, by position of the first word.
 
-    `hashes[k - 1][i]` is the hash of the k words from word i, `whole[k - 1][i]` whether they
-    lie in one piece.
+    `hashes[k - 1][i]` is the hash of the k words from word i, odd for the longest phrases
+    alone, `whole[k - 1][i]` whether they lie in one piece.
     """
 
     def __init__(self, lang: str, texts: list[bytes], longest: int) -> None:
@@ -106,6 +108,7 @@ class Chunk:
             m = max(0, self.n - k + 1)
             self.hashes.append(_mixed(self.hashes[-1][:m] * np.uint64(0x9E3779B97F4A7C15) + word[k - 1 :][:m]))
             self.whole.append(piece[:m] == piece[k - 1 :][:m])
+        self.hashes = [(h & ~np.uint64(1)) | np.uint64(k == longest) for k, h in enumerate(self.hashes, 1)]
 
     def admitted(self, k: int, bitmap: np.ndarray) -> np.ndarray:
         """Which k-word phrases have both parts of k - 1 words in the bitmap."""
@@ -143,10 +146,9 @@ class Chunk:
                     pa.array([self.lang]).take(pa.array(np.zeros(size, np.int32))),
                     pa.array(np.full(size, k, np.int32)),
                     phrase,
-                    pa.array(self.hashes[k - 1][at].view(np.int64)),
                     pa.array(f.astype(np.int64)),
                 ],
-                names=["lang", "k", "phrase", "hash", "f"],
+                names=["lang", "k", "phrase", "f"],
             )
 
 
@@ -203,58 +205,63 @@ def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def proposals(texts: DataFrame, options: PhraseOptions) -> np.ndarray:
-    """Bitmap of the phrases, all but the longest, that the sample finds frequent."""
-    shorter = options.longest - 1
+SHORTER = np.uint8(0x55)  # the even places: all phrases but the longest
+
+
+def hash_counts(texts: DataFrame, proposed: np.ndarray | None, counted: np.ndarray | None, longest: int) -> DataFrame:
+    """(hash, f) of all phrases that `proposed` admits and `counted` did not.
+
+    Without `proposed` all phrases count, without `counted` all words do.
+    """
+    context = texts.sparkSession.sparkContext
+    new = None if proposed is None else context.broadcast(proposed)
+    old = None if counted is None else context.broadcast(counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, max(1, shorter)):
-            for hashes, whole in zip(chunk.hashes, chunk.whole):
-                h, f = np.unique(hashes[whole], return_counts=True)
+        for chunk in _chunks(batches, longest):
+            for k in range(1, longest + 1):
+                chosen = chunk.whole[k - 1] if new is None else chunk.admitted(k, new.value)
+                if old is not None:
+                    chosen = chosen & ~chunk.admitted(k, old.value)
+                h, f = np.unique(chunk.hashes[k - 1][chosen], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(f.astype(np.int64))], ["hash", "f"])
 
-    sampled = texts.sample(options.share, seed=7).mapInArrow(run, "hash long, f long")
-    return _bitmap(sampled.groupBy("hash").agg(F.sum("f").alias("f")).filter(F.col("f") >= options.sample_count()), options.bits)
+    return texts.mapInArrow(run, "hash long, f long").groupBy("hash").agg(F.sum("f").alias("f"))
+
+
+def candidates(texts: DataFrame, options: PhraseOptions) -> np.ndarray:
+    """Bitmap with the hashes of all frequent phrases, and few others."""
+    sampled = hash_counts(texts.sample(options.share, seed=7), None, None, options.longest)
+    proposed = _bitmap(sampled.filter(F.col("f") >= options.sample_count()), options.bits) & SHORTER
+    counted: np.ndarray | None = None
+    frequent = np.zeros_like(proposed)
+    while True:
+        passed = hash_counts(texts, proposed, counted, options.longest)
+        bits = _bitmap(passed.filter(F.col("f") >= options.min_count), options.bits)
+        frequent |= bits
+        failed = bits & ~proposed & SHORTER
+        if not failed.any():
+            return frequent
+        proposed, counted = proposed | failed, proposed
 
 
-def count_pass(texts: DataFrame, proposed: np.ndarray, counted: np.ndarray | None, options: PhraseOptions) -> DataFrame:
-    """COUNTS of all frequent phrases that `proposed` admits and `counted` did not.
+def frequent_phrases(docs: DataFrame, options: PhraseOptions = PhraseOptions(), *, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, k, phrase, f) of all frequent phrases of up to `longest` words, exactly.
 
-    The first pass (counted None) has every word, and each lang's number of words as the
-    row of length 0.
+    A row of length 0 holds the number of words of its lang.
     """
-    spark = texts.sparkSession
-    new = spark.sparkContext.broadcast(proposed)
-    old = None if counted is None else spark.sparkContext.broadcast(counted)
+    texts = _texts(docs, text, lang)
+    frequent = texts.sparkSession.sparkContext.broadcast(candidates(texts, options))
     longest = options.longest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, longest):
-            chosen = [chunk.admitted(k, new.value) for k in range(1, longest + 1)]
-            if old is not None:
-                chosen = [c & ~chunk.admitted(k, old.value) for k, c in enumerate(chosen, 1)]
-            else:
-                total = [[chunk.lang], [0], [""], [0], [chunk.n]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(total, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["lang", "k", "phrase", "hash", "f"])
-            yield from chunk.counted(chosen)
-
-    summed = texts.mapInArrow(run, COUNTS).groupBy("lang", "k", "phrase").agg(F.min("hash").alias("hash"), F.sum("f").alias("f"))
-    kept = summed.filter((F.col("f") >= options.min_count) | (F.col("k") == 0))
-    return written(kept.select("lang", "k", "phrase", "hash", "f"), "phrase-counts")
+            total = zip([[chunk.lang], [0], [""], [chunk.n]], (pa.string(), pa.int32(), pa.string(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in total], ["lang", "k", "phrase", "f"])
+            yield from chunk.counted([w & in_bitmap(frequent.value, h) for w, h in zip(chunk.whole, chunk.hashes)])
 
-
-def frequent_phrases(docs: DataFrame, options: PhraseOptions = PhraseOptions(), *, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, k, phrase, hash, f) of all frequent phrases of up to `longest` words, exactly."""
-    texts = _texts(docs, text, lang)
-    proposed, counted = proposals(texts, options), None
-    found: DataFrame | None = None
-    while True:
-        passed = count_pass(texts, proposed, counted, options)
-        found = passed if found is None else found.unionByName(passed)
-        bits = _bitmap(passed.filter((F.col("k") > 0) & (F.col("k") < options.longest)), options.bits)
-        if not (bits & ~proposed).any():  # no border phrase failed
-            return found
-        proposed, counted = proposed | bits, proposed
+    summed = texts.mapInArrow(run, COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
+    return written(summed.filter((F.col("f") >= options.min_count) | (F.col("k") == 0)), "phrase-counts")
 
 
 # ---- collocations ----
@@ -270,8 +277,8 @@ def collocations(docs: DataFrame, options: PhraseOptions = PhraseOptions(), *, t
     found = frequent_phrases(docs, options, text=text, lang=lang)
     table = found.filter("k > 0").select("lang", "phrase", F.col("k").cast("int").alias("k"), "f")
     total = table.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
-    candidates = table.filter("k > 1").withColumnRenamed("f", "a")
-    cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut")).select(
+    several = table.filter("k > 1").withColumnRenamed("f", "a")
+    cuts = several.select("*", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut")).select(
         "*",
         F.expr("substring_index(phrase, ' ', cut)").alias("left"),
         F.expr("substring_index(phrase, ' ', cut - k)").alias("right"),
@@ -287,7 +294,7 @@ def collocations(docs: DataFrame, options: PhraseOptions = PhraseOptions(), *, t
         """array_distinct(flatten(transform(sequence(2, k - 1), m -> transform(sequence(1, k - m + 1),
              i -> array_join(slice(split(phrase, ' '), i, m), ' ')))))"""
     )
-    covers = candidates.filter("k > 2").select("lang", F.col("a").alias("cover"), F.explode(inner).alias("phrase"))
+    covers = several.filter("k > 2").select("lang", F.col("a").alias("cover"), F.explode(inner).alias("phrase"))
     covers = covers.groupBy("lang", "phrase").agg(F.max("cover").alias("cover"))
     share = F.expr(f"CAST(100 AS DECIMAL(3, 0)) * CAST(cover AS DECIMAL(19, 0)) >= CAST({options.covered_percent} AS DECIMAL(3, 0)) * CAST(a AS DECIMAL(19, 0))")
     kept = scored.join(covers, ["lang", "phrase"], "left").filter(~F.coalesce(share, F.lit(False))).drop("cover")

@@ -78,24 +78,34 @@ def test_full_bitmap_and_small_chunks(spark, monkeypatch):
 
 def test_border_failures_lead_to_further_passes(spark, monkeypatch):
     passes = []
-    counted = phrases.count_pass
+    plain = phrases.hash_counts
 
-    def watched(texts, proposed, old, options):
-        out = counted(texts, proposed, old, options)
-        passes.append({(r["lang"], r["phrase"]) for r in out.filter("k > 0").collect()})
+    def watched(texts, proposed, counted, longest):
+        out = plain(texts, proposed, counted, longest)
+        if proposed is not None:
+            passes.append({r["hash"]: r["f"] for r in out.collect()})
         return out
 
-    monkeypatch.setattr(phrases, "count_pass", watched)
+    monkeypatch.setattr(phrases, "hash_counts", watched)
     rows = [("one two three four", "en")] * 9 + [("two three", "en")] * 3
     df = spark.createDataFrame(rows, "text string, lang string")
-    options = PhraseOptions(min_count=5, share=0.0, bits=20)
-    found = {tuple(r["phrase"].split()): r["f"] for r in frequent_phrases(df, options).filter("k > 0").collect()}
-    assert found == {p: f for p, f in brute_counts(rows)[0]["en"].items() if f >= 5}
+    want = {p: f for p, f in brute_counts(rows)[0]["en"].items() if f >= 5}
+
+    def found(share):
+        passes.clear()
+        options = PhraseOptions(min_count=5, share=share, bits=20)
+        return {tuple(r["phrase"].split()): r["f"] for r in frequent_phrases(df, options).filter("k > 0").collect()}
+
+    assert found(0.0) == want
     # nothing is proposed: every pass settles one more length and counts nothing twice
-    assert [{p.count(" ") + 1 for _, p in x} for x in passes] == [{1}, {2}, {3}, {4}]
-    passes.clear()
-    frequent_phrases(df, PhraseOptions(min_count=5, share=1.0, bits=20))
-    assert len(passes) == 1
+    assert [sorted(p.values()) for p in passes] == [[9, 9, 12, 12], [9, 9, 12], [9, 9], [9]]
+    assert found(1.0) == want and len(passes) == 1
+
+
+def test_phrases_of_one_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "_mixed", lambda h: h & np.uint64(6))  # nearly all collide
+    rows = made(3)
+    assert run(spark, rows, min_count=6, bits=20) == brute(rows, 6)
 
 
 def test_defined_cases(spark):
