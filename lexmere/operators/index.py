@@ -45,6 +45,7 @@ class LexicalIndex:
     n_postings: int
     n_too_common: int
     forward: DataFrame | None = None
+    once: DataFrame | None = None  # (chunk_id, lost) where `stats` has no only_doc
     postings: DataFrame | None = None
     buckets: int = 0
     ranges: int = 0
@@ -122,10 +123,13 @@ class LexicalIndex:
         """
         low = self.df_bounds[0]
         row_lost = F.col("tf").cast("long").alias("lost")
-        once = (F.col("df") == 1) & (F.lit(1) < low)
-        lost = self.stats.filter(once).select(
-            F.col("only_doc").alias("chunk_id"), F.col("cf").alias("lost")
-        )
+        if self.once is not None:
+            lost = self.once.filter(F.lit(1) < low)
+        else:
+            once = (F.col("df") == 1) & (F.lit(1) < low)
+            lost = self.stats.filter(once).select(
+                F.col("only_doc").alias("chunk_id"), F.col("cf").alias("lost")
+            )
         if low > 2:
             rare = self.stats.filter((F.col("df") > 1) & (F.col("df") < low)).select("term")
             more = self._tail_rows(low).join(rare.hint("merge"), "term")
@@ -237,12 +241,13 @@ def build_index(chunks: DataFrame, options: TermOptions = TermOptions()) -> Lexi
     keep = [c for c in ("chunk_id", "topic") if c in chunks.columns]
     forward = written(term_arrays(chunks, "text", options, keep), "forward-index")
     stats = written(term_stats(array_rows(forward), "chunk_id"), "term-stats")
-    return replace(_measure(chunks, n_docs, options, stats), forward=forward)
+    return replace(measured(chunks, n_docs, options, stats), forward=forward)
 
 
-def _measure(
+def measured(
     chunks: DataFrame, n_docs: int, options: TermOptions, stats: DataFrame
 ) -> LexicalIndex:
+    """An index with the scalars that follow from its statistics."""
     low, high = options.df_bounds(n_docs)
     kept = (F.col("df") >= low) & (F.col("df") <= high)
     row = stats.agg(
@@ -342,5 +347,5 @@ def load_index(spark: SparkSession, path: str) -> LexicalIndex:
     stats = spark.read.parquet(f"{path}/term_stats")
     chunks = spark.read.parquet(f"{path}/chunks")
     postings = spark.read.parquet(f"{path}/postings")
-    index = _measure(chunks, about["n_docs"], TermOptions(**kept), stats)
+    index = measured(chunks, about["n_docs"], TermOptions(**kept), stats)
     return replace(index, postings=postings, buckets=about["buckets"], ranges=about["ranges"])

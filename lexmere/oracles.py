@@ -493,6 +493,22 @@ ORACLES: dict[str, str] = {
     ),
     "bm25_topk": _with(*RESULTS, select=TOP),
     "bm25_saved_index": _with(*RESULTS, select=TOP),
+    "bm25_topk_bounded": _with(
+        DOCS,
+        """asked AS (
+  SELECT 'all-' || item_id AS qid, text AS question, CAST(NULL AS VARCHAR) AS topic FROM benchmark
+  UNION ALL SELECT 'topic-' || item_id, text, 'src' || (item_id % 20) FROM benchmark)""",
+        PLAIN,
+        STATS,
+        BM25_SCORES,
+        _ranked(8),
+        select=TOP,
+    ),
+    "bm25_after_appends": _with(
+        DOCS.replace("FROM documents)", "FROM documents WHERE NOT (doc_id % 4 < 2 AND doc_id % 7 = 3))"),
+        *RESULTS[1:],
+        select=TOP,
+    ),
     "tfidf_saved_index": _with(DOCS, ASKED, PLAIN, STATS, TFIDF_SCORES, _ranked(8), select=TOP),
     "bm25_repeated_ids": _with(
         REPEATED_DOCS,

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from lexmere.functions.fixed import DEFAULT_EXPANSIONS
 from lexmere.functions.text import paragraphs, topic_list, units
 from lexmere.operators import chunking, context, dictionary, evaluate, mining, rerank
+from lexmere.operators.bounded import bounded_search
 from lexmere.operators.expansion import dictionary_table, expand_questions
 from lexmere.operators.index import LexicalIndex, build_index, load_index, save_index
 from lexmere.operators.search import search
+from lexmere.operators.segments import GrowingIndex
 from lexmere.operators.terms import TermOptions, bm25_idf, smooth_idf, term_rows
 from lexmere.plans.ask import fill_answers, make_prompts, run_report
 from lexmere.session import shared_folder, spread, written
@@ -188,6 +190,30 @@ def tfidf_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(search(_saved(spark, sf_dir), questions(spark, sf_dir), retriever="tfidf"))
 
 
+def bm25_topk_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounded search of the saved index, every question with and without a topic."""
+    parts = [
+        questions(spark, sf_dir, by_topic).select(F.concat(F.lit(kind), "qid").alias("qid"), "question", "topic")
+        for kind, by_topic in (("all-", False), ("topic-", True))
+    ]
+    return _ranked(bounded_search(_saved(spark, sf_dir), parts[0].unionByName(parts[1])))
+
+
+def bm25_after_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in four batches, every seventh of the first two deleted before the others,
+    one compaction on the way."""
+    growing = GrowingIndex.create(spark, f"{shared_folder(spark)}/growing-index-{uuid.uuid4().hex}")
+    number = F.regexp_extract("chunk_id", r"^doc(\d+)::", 1).cast("long")
+    docs = doc_chunks(spark, sf_dir)
+    for part in range(4):
+        growing.append(docs.filter(number % 4 == part))
+        if part == 1:
+            growing.delete(docs.filter(number % 7 == 3).select("chunk_id"))
+        if part == 2:
+            growing.compact()
+    return _ranked(search(growing.open(), questions(spark, sf_dir)))
+
+
 def bm25_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two documents each share a chunk id, as files of one name in two folders do."""
     shared = F.concat(F.lit("doc"), F.floor(F.col("doc_id") / 2), F.lit("::p1::c0"))
@@ -573,6 +599,8 @@ QUERIES: dict[str, Query] = {
         bm25_topk_by_topic,
         bm25_saved_index,
         tfidf_saved_index,
+        bm25_topk_bounded,
+        bm25_after_appends,
         bm25_repeated_ids,
         tfidf_topk,
         tfidf_topk_by_topic,
