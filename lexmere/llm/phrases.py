@@ -9,7 +9,7 @@ nobody has counted yet, and passes over those alone follow until none fails. Eac
 settles at least one more length, so there are at most `longest` of them, and the sample
 never changes the result.
 
-These passes count by a phrase's 64-bit hash. Phrases that share a hash count as one there,
+These passes count by a phrase's hash of `hash_bits`. Phrases that share a hash count as one there,
 which can only let a rare phrase through: a last pass counts what came through by its text,
 exactly. Sets of phrases are bitmaps of a fixed size by hash, the only thing that is
 broadcast or collected; a false hit there, too, only adds to what is counted. Each task
@@ -54,14 +54,19 @@ KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
 class PhraseOptions:
     longest: int = 4
     min_count: int = 30
-    share: float = 0.125  # of the documents, for the sample
+    share: float = 0.0625  # of the documents, for the sample
     bits: int = 27  # a bitmap has 2 ** bits
+    hash_bits: int = 40
     covered_percent: int = 80
     top: int = 2000
 
     def sample_count(self) -> int:
-        """Threshold of the sample: half of what a phrase of `min_count` is expected to show."""
-        return max(1, round(self.min_count * self.share / 2))
+        """Threshold of the sample: what a phrase of `min_count` is expected to show, 2 at least.
+
+        Half of such phrases fail at the border. That costs passes over what they admit,
+        which is little; a lower threshold would make the border of the full pass longer.
+        """
+        return max(2, round(self.min_count * self.share))
 
 
 # ---- one chunk of one language ----
@@ -92,7 +97,7 @@ class Chunk:
     alone, `whole[k - 1][i]` whether they lie in one piece.
     """
 
-    def __init__(self, lang: str, texts: list[bytes], longest: int) -> None:
+    def __init__(self, lang: str, texts: list[bytes], longest: int, hash_bits: int = 40) -> None:
         self.lang = lang
         # a piece end between two texts
         self.words, piece = _words(LOWER[np.frombuffer(b"\n".join(texts), np.uint8)])
@@ -108,7 +113,8 @@ class Chunk:
             m = max(0, self.n - k + 1)
             self.hashes.append(_mixed(self.hashes[-1][:m] * np.uint64(0x9E3779B97F4A7C15) + word[k - 1 :][:m]))
             self.whole.append(piece[:m] == piece[k - 1 :][:m])
-        self.hashes = [(h & ~np.uint64(1)) | np.uint64(k == longest) for k, h in enumerate(self.hashes, 1)]
+        cut = np.uint64(64 - hash_bits)
+        self.hashes = [(h >> cut) & ~np.uint64(1) | np.uint64(k == longest) for k, h in enumerate(self.hashes, 1)]
 
     def admitted(self, k: int, bitmap: np.ndarray) -> np.ndarray:
         """Which k-word phrases have both parts of k - 1 words in the bitmap."""
@@ -169,7 +175,7 @@ def _cut(text: bytes) -> Iterator[bytes]:
     yield text[start:]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[Chunk]:
+def _chunks(batches: Iterator[pa.RecordBatch], options: PhraseOptions) -> Iterator[Chunk]:
     """Texts collected by language; about CHUNK bytes each, twice that in all."""
     held: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
@@ -182,9 +188,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[Chunk]:
                 full = [lang] if sizes[lang] >= CHUNK else list(held) if sum(sizes.values()) >= 2 * CHUNK else []
                 for name in full:
                     sizes.pop(name)
-                    yield Chunk(name, held.pop(name), longest)
+                    yield Chunk(name, held.pop(name), options.longest, options.hash_bits)
     for name, texts in held.items():
-        yield Chunk(name, texts, longest)
+        yield Chunk(name, texts, options.longest, options.hash_bits)
 
 
 # ---- passes ----
@@ -208,18 +214,19 @@ def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
 SHORTER = np.uint8(0x55)  # the even places: all phrases but the longest
 
 
-def hash_counts(texts: DataFrame, proposed: np.ndarray | None, counted: np.ndarray | None, longest: int) -> DataFrame:
+def hash_counts(texts: DataFrame, proposed: np.ndarray | None, counted: np.ndarray | None, options: PhraseOptions) -> DataFrame:
     """(hash, f) of all phrases that `proposed` admits and `counted` did not.
 
-    Without `proposed` all phrases count, without `counted` all words do.
+    Without `proposed` all phrases but the longest count, without `counted` all words do.
     """
+    lengths = options.longest + (proposed is not None)
     context = texts.sparkSession.sparkContext
     new = None if proposed is None else context.broadcast(proposed)
     old = None if counted is None else context.broadcast(counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, longest):
-            for k in range(1, longest + 1):
+        for chunk in _chunks(batches, options):
+            for k in range(1, lengths):
                 chosen = chunk.whole[k - 1] if new is None else chunk.admitted(k, new.value)
                 if old is not None:
                     chosen = chosen & ~chunk.admitted(k, old.value)
@@ -231,12 +238,12 @@ def hash_counts(texts: DataFrame, proposed: np.ndarray | None, counted: np.ndarr
 
 def candidates(texts: DataFrame, options: PhraseOptions) -> np.ndarray:
     """Bitmap with the hashes of all frequent phrases, and few others."""
-    sampled = hash_counts(texts.sample(options.share, seed=7), None, None, options.longest)
+    sampled = hash_counts(texts.sample(options.share, seed=7), None, None, options)
     proposed = _bitmap(sampled.filter(F.col("f") >= options.sample_count()), options.bits) & SHORTER
     counted: np.ndarray | None = None
     frequent = np.zeros_like(proposed)
     while True:
-        passed = hash_counts(texts, proposed, counted, options.longest)
+        passed = hash_counts(texts, proposed, counted, options)
         bits = _bitmap(passed.filter(F.col("f") >= options.min_count), options.bits)
         frequent |= bits
         failed = bits & ~proposed & SHORTER
@@ -252,10 +259,9 @@ def frequent_phrases(docs: DataFrame, options: PhraseOptions = PhraseOptions(),
     """
     texts = _texts(docs, text, lang)
     frequent = texts.sparkSession.sparkContext.broadcast(candidates(texts, options))
-    longest = options.longest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, longest):
+        for chunk in _chunks(batches, options):
             total = zip([[chunk.lang], [0], [""], [chunk.n]], (pa.string(), pa.int32(), pa.string(), pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in total], ["lang", "k", "phrase", "f"])
             yield from chunk.counted([w & in_bitmap(frequent.value, h) for w, h in zip(chunk.whole, chunk.hashes)])
