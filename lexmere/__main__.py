@@ -168,7 +168,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             pool_k=args.pool_k,
             dictionary=_dictionary(spark, args.dictionary),
         )
-        writers.write_jsonl(rows.drop("qid"), args.out, order_by=["id"])
+        writers.write_jsonl(rows, args.out, order_by=["qid"], leave=["qid"])
     elif command == "fill-answers":
         rows = fill_answers(
             _index(spark, args),
@@ -177,7 +177,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             top_k=args.top_k,
             dictionary=_dictionary(spark, args.dictionary),
         )
-        writers.write_jsonl(rows.drop("qid"), args.out, order_by=["id"])
+        writers.write_jsonl(rows, args.out, order_by=["qid"], leave=["qid"])
     elif command == "suggest":
         records = readers.read_records(spark, args.chunks)
         found = mining.suggestions(

@@ -103,6 +103,39 @@ def python_list(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
 
+def printed(value: Column, digits: int) -> Column:
+    """A double with a fixed number of decimals, rounded half to even on its exact value.
+
+    The part after the point is m / 2**s with whole m and s, so it is compared with the
+    places between decimals in whole numbers. For values below 2**63; a part after the
+    point below 1e-12 counts as none.
+    """
+    x = F.abs(value)
+    whole = F.floor(x)
+    part = x - whole.cast("double")  # exact
+    tiny = part < 1e-12
+    # m below 2**54, so that it is whole; powers of two scale a double exactly
+    s = F.lit(53) - F.floor(F.log2(F.when(tiny, F.lit(0.5)).otherwise(part))).cast("int")
+    m = (part * F.pow(F.lit(2.0), s.cast("double"))).try_cast("long").cast("decimal(19,0)")
+    one = F.lit(1).cast("long")
+    low, high = (F.call_function("shiftleft", one, n).cast("decimal(15,0)") for n in (F.least(s, F.lit(47)), F.greatest(s - 47, F.lit(0))))
+    scale = low * high  # 2 ** s
+    top = m * F.lit(10**digits).cast(f"decimal({digits + 1},0)")
+    kept = F.call_function("div", top, scale)
+    twice = 2 * (top % scale)
+    up = (twice > scale) | ((twice == scale) & (kept % 2 == 1))
+    number = F.when(tiny, F.lit(0)).otherwise(kept + up.cast("int"))
+    carry = (number == 10**digits).cast("long")
+    text = F.concat(
+        F.when(value < 0, F.lit("-")).otherwise(F.lit("")),
+        (whole + carry).cast("string"),
+        F.lit("."),
+        F.lpad((number % 10**digits).cast("string"), digits, "0"),
+    )
+    endless = F.when(F.isnan(value), F.lit("nan")).when(x == float("inf"), F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+    return F.when(F.isnan(value) | (x == float("inf")), endless).otherwise(text)
+
+
 def long_words(words: str, drop: tuple[str, ...], also: str = "true") -> Column:
     """Words of two characters or more that are not in `drop` and pass the SQL test `also`.
 

@@ -17,7 +17,7 @@ from lexmere.functions.fixed import (
     PROMPTS,
     SUPPORT_HEADING,
 )
-from lexmere.functions.text import page_of, python_list, strip
+from lexmere.functions.text import page_of, printed, python_list, strip
 from lexmere.operators.index import chunks_of
 from lexmere.session import at_most, small, written
 
@@ -84,10 +84,10 @@ def context_blocks(
     best = max(0, int(evidence_k))
     cap = F.when(F.col("rank") <= best, max_chars).otherwise(support_cap(max_chars, tail_frac))
     header = F.format_string(
-        "[#%d | w=%.2f | score=%.4f | %s | p%s | %s | topic=%s]",
+        "[#%d | w=%s | score=%s | %s | p%s | %s | topic=%s]",
         "rank",
-        "w",
-        "score",
+        printed(F.col("w"), 2),
+        printed(F.col("score"), 4),
         "chunk_id",
         _page(),
         F.coalesce("title", F.lit("")),
@@ -119,12 +119,12 @@ def contexts(results: DataFrame, *, evidence_k: int = 3, **layout) -> DataFrame:
 def flat_contexts(results: DataFrame, *, max_chars: int = 1400) -> DataFrame:
     """(qid, context): the older layout, one list, score last in the header."""
     header = F.format_string(
-        "[%s | p%s | %s | topic=%s | score=%.4f]",
+        "[%s | p%s | %s | topic=%s | score=%s]",
         "chunk_id",
         _page(),
         F.coalesce("title", F.lit("")),
         python_list(F.coalesce("topic", F.array().cast("array<string>"))),
-        "score",
+        printed(F.col("score"), 4),
     )
     body = F.substring(_one_line(), 1, max_chars)
     blocks = results.select("qid", "rank", F.concat(header, F.lit("\n"), body).alias("block"))
@@ -202,6 +202,6 @@ def drafts(
 def evidence_lists(results: DataFrame) -> DataFrame:
     """(qid, evidence): one line per result, as a run report shows it."""
     line = F.format_string(
-        "- %.4f %s (p%s, title=%s)", "score", "chunk_id", _page(), F.coalesce("title", F.lit(""))
+        "- %s %s (p%s, title=%s)", printed(F.col("score"), 4), "chunk_id", _page(), F.coalesce("title", F.lit(""))
     )
     return _ordered(results.select("qid", "rank", line.alias("line")), "line", "\n", "evidence")

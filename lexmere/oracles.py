@@ -126,6 +126,13 @@ TOP = "SELECT qid, rank, chunk_id, round(score, 6) AS score FROM ranked"
 BM25 = [DOCS, ASKED, PLAIN, STATS, BM25_SCORES]
 RESULTS = [*BM25, _ranked(8)]
 
+def _fixed(whole: str, parts: int, digits: int) -> str:
+    """whole / parts with `digits` decimals, half to even, in whole numbers."""
+    top = f"({whole} * {10**digits})"
+    n = f"({top} // {parts} + CASE WHEN 2 * ({top} % {parts}) > {parts} OR (2 * ({top} % {parts}) = {parts} AND {top} // {parts} % 2 = 1) THEN 1 ELSE 0 END)"
+    return f"({n} // {10**digits} || '.' || lpad(CAST({n} % {10**digits} AS VARCHAR), {digits}, '0'))"
+
+
 # ---- expansion ----
 
 _ENTRIES = ", ".join(
@@ -559,6 +566,24 @@ FROM chunks ORDER BY chunk_id LIMIT 10""",
         select=TOP,
         recursive=True,
     ),
+    "bm25_equal_question_ids": _with(
+        *RESULTS,
+        select="""SELECT qid AS item_id, CASE WHEN qid % 5 <> 4 THEN 'q' || (qid // 3) END AS id, rank, chunk_id,
+  round(score, 6) AS score FROM ranked""",
+    ),
+    "chunk_variants": """
+SELECT 'c' || doc_id AS chunk_id, text,
+       CASE doc_id % 6 WHEN 0 THEN source || ',x' WHEN 1 THEN source ELSE '' END AS topic,
+       CASE doc_id % 6 WHEN 2 THEN source WHEN 3 THEN '7' END AS title,
+       CASE doc_id % 6 WHEN 0 THEN '12' WHEN 1 THEN '12' WHEN 2 THEN '3.5' END AS page,
+       CASE doc_id % 6 WHEN 3 THEN source END AS path, doc_id % 6 IN (1, 3) AS skip
+FROM documents""",
+    "header_numbers": f"""
+WITH parts AS (
+  SELECT doc_id, {_fixed("n_chars", 8, 2)} AS eighths, {_fixed("n_chars", 16, 2)} AS sixteenths,
+         '-' || {_fixed("n_chars", 32, 4)} AS fourths, printf('%.2f', n_chars / 1000) AS thousandths
+  FROM documents)
+SELECT * FROM parts""",
     "record_variants": """
 SELECT doc_id, text,
        CASE doc_id % 7 WHEN 0 THEN source WHEN 1 THEN source || ',x' ELSE '__unknown__' END AS topics

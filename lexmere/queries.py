@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmere.functions.fixed import DEFAULT_EXPANSIONS
-from lexmere.functions.text import paragraphs, topic_list, units
+from lexmere.functions.text import paragraphs, printed, topic_list, units
 from lexmere.operators import chunking, context, dictionary, evaluate, mining, rerank
 from lexmere.operators.bounded import bounded_search
 from lexmere.operators.expansion import dictionary_table, expand_questions
@@ -24,7 +24,7 @@ from lexmere.operators.segments import GrowingIndex
 from lexmere.operators.terms import TermOptions, bm25_idf, smooth_idf, term_rows
 from lexmere.plans.ask import fill_answers, make_prompts, run_report
 from lexmere.session import shared_folder, spread, written
-from lexmere.sources.readers import SUGGESTION_SCHEMA, parsed_records
+from lexmere.sources.readers import SUGGESTION_SCHEMA, parsed_chunks, parsed_records, read_questions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -214,6 +214,19 @@ def bm25_after_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(search(growing.open(), questions(spark, sf_dir)))
 
 
+def bm25_equal_question_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three questions share an id, a fifth has none; each gets its own results."""
+    item = F.col("item_id")
+    shared = F.when(item % 5 != 4, F.concat(F.lit("q"), F.floor(item / 3)))
+    path = f"{shared_folder(spark)}/questions-{uuid.uuid4().hex}"
+    asked = table(spark, sf_dir, "benchmark").select(shared.alias("id"), F.col("text").alias("question"), item)
+    asked.write.json(path)
+    asked = read_questions(spark, path, extra="item_id long")
+    found = search(doc_index(spark, sf_dir), asked)
+    both = found.join(asked.select("qid", "id", "item_id"), "qid")
+    return both.select("item_id", "id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
 def bm25_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two documents each share a chunk id, as files of one name in two folders do."""
     shared = F.concat(F.lit("doc"), F.floor(F.col("doc_id") / 2), F.lit("::p1::c0"))
@@ -341,6 +354,26 @@ def record_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("pos").alias("doc_id"), "text", F.array_join("topics", ",").alias("topics"))
 
 
+def chunk_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk lines whose meta holds values of any type, one per document."""
+    docs = table(spark, sf_dir, "documents")
+    quoted = F.expr("substring(_json, 6, length(_json) - 6)")
+    shapes = (
+        '''{"chunk_id":"c%d","text":%s,"meta":{"topic":["%s","x"],"page":12,"skip":false}}''',
+        '''{"chunk_id":"c%d","text":%s,"meta":{"topic":"%s","page":"12","skip":"no"}}''',
+        '''{"chunk_id":"c%d","text":%s,"meta":{"title":"%s","page":3.5,"skip":0}}''',
+        '''{"chunk_id":"c%d","text":%s,"meta":{"topic":[],"title":7,"path":"%s","skip":[1]}}''',
+        '''{"chunk_id":"c%d","text":%s,"y":"%s"}''',
+        '''{"chunk_id":"c%d","text":%s,"meta":{"topic":null,"page":null,"skip":null,"z":"%s"}}''',
+    )
+    made = docs.withColumn("_json", F.to_json(F.struct(F.col("text").alias("t")))).withColumn("_text", quoted)
+    line = F.lit(None).cast("string")
+    for k, shape in enumerate(shapes):
+        line = F.when(F.col("doc_id") % len(shapes) == k, F.format_string(shape, "doc_id", "_text", "source")).otherwise(line)
+    chunks = parsed_chunks(made.select(line.alias("value")))
+    return chunks.select("chunk_id", "text", F.array_join("meta.topic", ",").alias("topic"), "meta.title", "meta.page", "meta.path", "meta.skip")
+
+
 # ---- results to prompts -------------------------------------------------------
 
 
@@ -357,6 +390,18 @@ def result_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def header_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as a header prints them: many eighths and sixteenths lie between two."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        "doc_id",
+        printed(F.col("n_chars") / 8, 2).alias("eighths"),
+        printed(F.col("n_chars") / 16, 2).alias("sixteenths"),
+        printed(-F.col("n_chars") / 32, 4).alias("fourths"),
+        printed(F.col("n_chars") / 1000, 2).alias("thousandths"),
+    )
+
+
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.context_blocks(_results(spark, sf_dir))
 
@@ -602,6 +647,7 @@ QUERIES: dict[str, Query] = {
         bm25_topk_bounded,
         bm25_after_appends,
         bm25_repeated_ids,
+        bm25_equal_question_ids,
         tfidf_topk,
         tfidf_topk_by_topic,
         query_expansion,
@@ -616,6 +662,8 @@ QUERIES: dict[str, Query] = {
         bm25_over_chunks,
         topic_normalise,
         record_variants,
+        chunk_variants,
+        header_numbers,
         result_weights,
         context_blocks,
         contexts,

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 
 def write_jsonl(df: DataFrame, path: str, order_by: list[str] | None = None,
-                keep_nulls: bool = False) -> None:
-    """Overwrite `path` with JSON Lines; with `order_by`, part files follow that order."""
+                keep_nulls: bool = False, leave: list[str] | None = None) -> None:
+    """Overwrite `path` with JSON Lines; with `order_by`, part files follow that order.
+    Columns in `leave` are not written."""
     if order_by:
         df = df.orderBy(*order_by)
-    df.write.mode("overwrite").option("ignoreNullFields", str(not keep_nulls).lower()).json(path)
+    df.drop(*(leave or [])).write.mode("overwrite").option("ignoreNullFields", str(not keep_nulls).lower()).json(path)
 
 
 def write_document(one_row: DataFrame, path: str) -> None:

@@ -32,6 +32,38 @@ def test_strict_reader_and_skip_rule(spark, tmp_path):
         readers.read_chunks(spark, bad).collect()
 
 
+def test_chunks_with_meta_of_any_type(spark, tmp_path):
+    metas = [
+        {"topic": "t", "page": "12", "skip": "no"}, {"topic": ["a", 7], "page": 3.5, "skip": 0}, {"page": 2, "skip": []},
+        {"skip": {"x": 1}, "title": 5}, {"skip": "", "topic": None}, {"skip": True}, None, [1], {"skip": False, "page": None},
+    ]
+    lines = [{"chunk_id": f"c{i}", "text": "x", "meta": m} for i, m in enumerate(metas)]
+    rows = readers.read_chunks(spark, put(tmp_path / "m.jsonl", [*lines, ""])).orderBy("chunk_id").collect()
+    got = [(r["meta"]["topic"], r["meta"]["page"], r["meta"]["skip"]) for r in rows]
+    skips = [bool((m or {}).get("skip")) if isinstance(m, dict) else False for m in metas]
+    assert [g[2] for g in got] == skips
+    assert [g[1] for g in got] == ["12", "3.5", "2", None, None, None, None, None, None]
+    assert [g[0] for g in got][:3] == [["t"], ["a", "7"], []] and rows[3]["meta"]["title"] == "5"
+    for bad in ('{"chunk_id":"a"}', '{"text":"a"}', '{"chunk_id":1,"text":"a"}', '["a"]', "oops"):
+        with pytest.raises(Exception, match="no chunk record"):
+            readers.read_chunks(spark, put(tmp_path / "b.jsonl", [lines[0], bad])).collect()
+
+
+def test_questions_of_one_id_keep_their_own_results(spark, tmp_path):
+    from lexmere.operators.index import build_index
+    from lexmere.plans.ask import fill_answers
+    from tests.test_search import corpus, frame
+
+    rows = [{"id": "q1", "question": "alpha"}, {"id": "q1", "question": "beta gamma"}, {"question": "strict"}, {"id": "row0", "question": "panel"}]
+    asked = readers.read_questions(spark, put(tmp_path / "q.jsonl", rows))
+    assert [r["question"] for r in asked.orderBy("qid").collect()] == [r["question"] for r in rows]
+    index = build_index(frame(spark, corpus()))
+    got = {r["question"]: r["answer"] for r in fill_answers(index, asked).collect()}
+    for row in rows:
+        single = spark.createDataFrame([("only", row["question"], None)], "qid string, question string, topic string")
+        assert got[row["question"]] == fill_answers(index, single).first()["answer"] != ""
+
+
 def test_tolerant_reader(spark, tmp_path):
     lines = [*CHUNKS, "", "{oops", {"content": "alt", "chunk_text": "no"}, {"text": "", "content": "no"}]
     rows = readers.read_records(spark, put(tmp_path / "r.jsonl", lines)).orderBy("pos").collect()

@@ -57,3 +57,22 @@ def test_python_list_quotes(spark):
     for items in (["a"], [], ["it's", 'say "x"'], ["a", "b"]):
         df = spark.createDataFrame([(items,)], "v array<string>")
         assert df.select(text.python_list(F.col("v"))).first()[0] == str(items)
+
+
+def test_printed_numbers_follow_the_exact_value(spark):
+    import random
+
+    from lexmere.functions.text import printed
+
+    rng = random.Random(2)
+    values = [0.125, 0.285, 0.295, 0.375, 1.005, 2.5, 0.0, -0.125, -0.001, 1e-13, 4e-12, 123456789.125, 1e15 + 0.5, 2.0**53, 0.99999, 0.5, 1.0]
+    values += [rng.uniform(0, 1) for _ in range(500)] + [rng.uniform(-1e6, 1e6) for _ in range(300)] + [k / 1000 for k in range(300)]
+    values += [2.0**k for k in range(-30, 40)] + [rng.randrange(10**6) / 2 ** rng.randrange(20) for _ in range(500)]
+    values += [float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = df.select("v", printed(F.col("v"), 2).alias("two"), printed(F.col("v"), 4).alias("four")).collect()
+    for r in rows:
+        if r["v"] is None:
+            assert r["two"] is None
+        else:
+            assert (r["two"], r["four"]) == (f"{r['v']:.2f}", f"{r['v']:.4f}")
