@@ -62,7 +62,7 @@ def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
-    both = suffixes.decode(suffixes.encode(table(spark, sf_dir, "documents"), path), path)
+    both = suffixes.round_trip(table(spark, sf_dir, "documents"), path)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -9,6 +9,10 @@ tokens may follow each other if undoing their merges, latest first, never shows
 across their border that BPE would have made earlier. So the path found is BPE's own.
 
 Characters without a piece become one token per UTF-8 byte, as in the model.
+
+Defined cases: a null text is empty and has no ids; rows are encoded one by one, so repeated
+rows and null ids come out as often as they go in; an empty table gives no rows. Other
+columns are left behind.
 """
 
 from __future__ import annotations
@@ -23,15 +27,32 @@ from pyspark.sql import functions as F
 
 from lexmere.llm.units import MARK, UnitEncoder
 
-INDEX_CHARS = 400_000
+INDEX_CHARS = 200_000
 SEPARATOR = 0x110000  # beyond every character
 NEVER = np.float64(np.inf)
+SLICE_ROWS = 1_000
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
+@lru_cache(maxsize=1)
+def decoded_pieces(path: str) -> list[bytes]:
+    """What each id stands for in a text."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def plain(i: int) -> bytes:
+        piece = model.id_to_piece(i)
+        if model.is_byte(i):
+            return bytes([int(piece[3:5], 16)])
+        return b"" if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) else piece.replace(MARK, " ").encode()
+
+    return [plain(i) for i in range(model.get_piece_size())]
+
+
 class Pieces:
     """What the matcher needs of a BPE model: pieces, merge order, and each piece's own split."""
 
@@ -41,18 +62,14 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         self.bytes = {}
-        self.decoded: list[bytes] = []
+        self.decoded = decoded_pieces(path)
         strings: dict[str, int] = {}
         for i in range(size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
-                self.decoded.append(bytes([int(piece[3:5], 16)]))
-            elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
-                self.decoded.append(b"")
-            else:
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 strings[piece] = i
-                self.decoded.append(piece.replace(MARK, " ").encode())
         self.ids = strings
         order = sorted({-model.get_score(i) for p, i in strings.items() if len(p) > 1})
         place = {s: k for k, s in enumerate(order)}
@@ -259,17 +276,37 @@ def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
     return picked.mapInArrow(run, "doc_id long, text string, ids binary")
 
 
+def _decoded(ids: bytes | None, known: list[bytes]) -> str:
+    """Marks become spaces, the first one goes."""
+    data = b"".join(map(known.__getitem__, memoryview(ids or b"").cast("I")))
+    return data.removeprefix(b" ").decode("utf-8", "replace")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Add `decoded`: the text of the ids; marks become spaces, the first one goes."""
+    """Add `decoded`: the text of the ids."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces(path).decoded.__getitem__
+        known = decoded_pieces(path)
         for batch in batches:
-            texts = []
-            for ids in batch.column("ids").to_pylist():
-                data = b"".join(map(known, memoryview(ids or b"").cast("I")))
-                texts.append(data.removeprefix(b" ").decode("utf-8", "replace"))
+            texts = [_decoded(ids, known) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, f"{schema}, decoded string")
+
+
+def round_trip(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, ids, decoded): `encode` and `decode` in one worker, a slice of rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = suffix_encoder(path)
+        known = encoder.model.decoded
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                ids = list(encoder.encode(part.column(1).cast(pa.binary()).to_pylist()))
+                decoded = pa.array([_decoded(i, known) for i in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), decoded], ["doc_id", "text", "ids", "decoded"])
+
+    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return picked.mapInArrow(run, "doc_id long, text string, ids binary, decoded string")
