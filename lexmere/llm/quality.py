@@ -92,10 +92,11 @@ def host_rates(figures: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
     Counts are combined before the shuffle, so a host with a third of all rows costs one
     row per task. The prior needs one row of moments over the host table.
     """
+    stored = "tests" in figures.columns
     counted = figures.filter("host IS NOT NULL").groupBy("host")
     hosts = counted.agg(
         F.count(F.lit(1)).alias("n"),
-        *(F.count_if(F.expr(test)).alias(rule) for rule, test in _failed(rules).items()),
+        *(F.count_if(F.col(f"tests.{rule}") if stored else F.expr(test)).alias(rule) for rule, test in _failed(rules).items()),
     )
     moments = hosts.agg(
         *(F.avg(F.expr(f"{r} / n")).alias(f"{r}_mean") for r in RULES),
@@ -134,14 +135,12 @@ def keep_good(docs: DataFrame, rules: HostRules = HostRules(), *, text: str = "t
     whole = docs.select(
         F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(host).alias("host"), F.col(text).alias("text")
     )
-    figures = word_figures(whole, keep=("row", "host"))
+    # the rows are stored with their tests, as both the host counts and the filter ask for them
+    tests = F.struct(*(F.expr(test).alias(rule) for rule, test in _failed(rules).items()))
+    figures = written(word_figures(whole, keep=("row", "host")).select("row", "host", tests.alias("tests")), "quality-tests")
     rejected = rejected_hosts(host_rates(figures, rules), rules)
-    failed = _failed(rules)
-    base = F.expr(f"({failed['short']}) OR ({failed['repeated']})")
-    # an outer generator stops the optimizer from copying the figures into the filter,
-    # where every element of an array would compute the whole array again
-    judged = figures.select("row", "host", F.explode_outer(F.array(base)).alias("_base"))
-    good = _with_verdicts(judged, rejected).filter(~F.col("_base") & F.col("_rejected").isNull())
+    base = F.col("tests.short") | F.col("tests.repeated")
+    good = _with_verdicts(figures.select("row", "host", base.alias("_base")), rejected).filter(~F.col("_base") & F.col("_rejected").isNull())
     return good.select("row.*")
 
 
