@@ -18,8 +18,8 @@ from lexmere.functions.fixed import (
     SUPPORT_HEADING,
 )
 from lexmere.functions.text import page_of, printed, python_list, strip
-from lexmere.operators.index import chunks_of
-from lexmere.session import at_most, small, written
+from lexmere.operators.index import with_chunks
+from lexmere.session import written
 
 MODES = ("explore", "cite_strict")
 
@@ -33,13 +33,12 @@ def with_payload(results: DataFrame, chunks: DataFrame) -> DataFrame:
     """Join text and metadata back, after the cut: text of other chunks never moves.
 
     The ranked ids (questions x k rows) are written first, so the search runs once; the
-    chunk table is then read once, against a broadcast of them while they are few. In a
-    saved index only the folders and row groups of the ranked ids are read.
+    chunk table is then read once against them. In a saved index only the folders and row
+    groups of the ranked ids are read.
     """
     ranked = written(results, "ranked")
     key = "doc_key" if "doc_key" in ranked.columns else "chunk_id"
-    payload = chunks_of(chunks, ranked, key).select(F.col("chunk_id").alias(key), "text", "topic", "title", "page")
-    return payload.join(small(ranked, at_most(ranked)), key)
+    return with_chunks(chunks, ranked, key, ["text", "topic", "title", "page"])
 
 
 def weights(results: DataFrame, mode: str = "ratio", tau: float = 1.0) -> DataFrame:

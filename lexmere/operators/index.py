@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -276,20 +277,32 @@ def _folder(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(CHUNK_FOLDERS)).cast("int")
 
 
-def chunks_of(chunks: DataFrame, ranked: DataFrame, key: str) -> DataFrame:
-    """Chunks narrowed to the ranked ones before their text is read.
+def with_chunks(chunks: DataFrame, ranked: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """`ranked`, a written table, with `columns` of the chunks that `key` names.
 
-    Chunks of a saved index lie in folders by key. Up to PUSHED keys go into the scan with
-    their folders; more prune by folder only where the join sees to it.
+    The ids are broadcast and no text is shuffled. Chunks of a saved index lie in folders by
+    key: up to PUSHED ids go into the scan with their folders; more are joined on folder and
+    key, which prunes the folders at run time. Ids too many for one broadcast are joined in
+    groups of folders, each group against its own ids.
     """
+    n = ranked.count()
+    payload = chunks.select(F.col("chunk_id").alias(key), *columns)
     if "folder" not in chunks.columns:
-        return chunks
-    wanted = ranked.select(key, _folder(key).alias("folder")).distinct().limit(PUSHED + 1).collect()
-    if len(wanted) > PUSHED:
-        return chunks
-    return chunks.filter(
-        F.col("folder").isin(sorted({r["folder"] for r in wanted})) & F.col("chunk_id").isin([r[key] for r in wanted])
-    )
+        return payload.join(small(ranked, n <= BROADCAST_ROWS), key)
+    payload = chunks.select(F.col("chunk_id").alias(key), "folder", *columns)
+    # the test of the rank holds for all rows; the planner prunes folders only by a filtered side
+    asked = ranked.filter(F.col("rank") > 0).withColumn("folder", _folder(key))
+    if n <= PUSHED:
+        wanted = asked.select(key, "folder").distinct().collect()
+        listed = F.col("folder").isin(sorted({r["folder"] for r in wanted})) & F.col(key).isin([r[key] for r in wanted])
+        return payload.filter(listed).join(F.broadcast(asked), ["folder", key]).drop("folder")
+    groups = min(CHUNK_FOLDERS, -(-n * 2 // BROADCAST_ROWS))  # hashed: half full on average
+    parts = []
+    for group in range(groups):
+        mine = F.pmod("folder", F.lit(groups)) == group
+        ids = asked.filter(mine)
+        parts.append(payload.filter(mine).join(small(ids, groups == 1 or at_most(ids, BROADCAST_ROWS)), ["folder", key]))
+    return reduce(DataFrame.unionByName, parts).drop("folder")
 
 
 def range_of(ranges: int) -> Column:
@@ -330,6 +343,7 @@ def save_index(index: LexicalIndex, path: str, buckets: int = POSTING_BUCKETS, r
         foldered.hint("rebalance", "folder")
         .sortWithinPartitions("folder", "chunk_id")
         .write.mode("overwrite")
+        .option("parquet.bloom.filter.enabled#chunk_id", "true")
         .partitionBy("folder")
         .parquet(f"{path}/chunks")
     )

@@ -230,6 +230,23 @@ def test_saved_index_reads_only_what_is_asked(spark, tmp_path):
     assert large == {(r.chunk_id, r.term) for r in opened.stored_rows(wanted, True).collect()} and large
 
 
+def test_payload_of_many_ids_prunes_folders_and_shuffles_no_text(spark, tmp_path, monkeypatch):
+    texts = {f"d{i:04d}": f"alpha beta word{i % 7}" for i in range(3000)}
+    index = build_index(frame(spark, texts).withColumn("title", F.lit("")).withColumn("page", F.lit(1)))
+    save_index(index, str(tmp_path), buckets=4)
+    opened = load_index(spark, str(tmp_path))
+    ids = spark.createDataFrame([(q, r + 1, 1.0, f"d{(q * 17 + r) % 3000:04d}") for q in range(50) for r in range(100)], "qid int, rank int, score double, chunk_id string")
+    want = {(r.qid, r.chunk_id): texts[r.chunk_id] for r in ids.collect()}
+    many = with_payload(ids, opened.chunks)
+    assert "dynamicpruning" in plan(many).lower()
+    for bound in (1_000_000, 3000, 10):  # one broadcast, groups of folders, plain join
+        monkeypatch.setattr(index_module, "BROADCAST_ROWS", bound)
+        found = with_payload(ids, opened.chunks)
+        if bound > 10:
+            assert "hashpartitioning" not in plan(found)
+        assert {(r.qid, r.chunk_id): r.text for r in found.collect()} == want and found.count() == 5000
+
+
 def test_norms_take_one_reading_and_one_shuffle_by_term(spark, monkeypatch):
     texts = corpus(11, 60)
     index = build_index(frame(spark, texts))
