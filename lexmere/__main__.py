@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmere.functions.fixed import DEFAULT_EXPANSIONS, DEMO_QUESTIONS
@@ -12,6 +12,7 @@ from lexmere.operators import chunking, dictionary, mining
 from lexmere.operators.context import MODES
 from lexmere.operators.expansion import DICTIONARY_SCHEMA, dictionary_table
 from lexmere.operators.index import LexicalIndex, build_index, load_index, save_index
+from lexmere.operators.ranking import numbered
 from lexmere.operators.rerank import RERANKERS
 from lexmere.operators.search import RETRIEVERS, search
 from lexmere.plans.ask import fill_answers, make_prompts, run_report
@@ -191,11 +192,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             limit_abbr=args.limit_abbr,
             limit_ngram=args.limit_ngram,
         )
-        # a list for a person to read: topics x (limit_abbr + limit_ngram) rows
-        order = Window.orderBy("kind", "topic", "rank")
-        blank = shown.select(
-            F.row_number().over(order).alias("seq"),
-            "*",
+        numbers = numbered(shown, "_n", [F.col("kind"), F.col("topic"), F.col("rank")])
+        blank = numbers.select(
+            (F.col("_n") + 1).alias("seq"),
+            *shown.columns,
             F.lit(False).alias("accept"),
             F.array().cast("array<string>").alias("extra"),
         )
@@ -209,9 +209,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         after = dictionary.merge(before, decisions)
         writers.write_jsonl(after, args.out, order_by=["key_pos", "val_pos"])
         print(
-            writers.dictionary_diff(
-                dictionary.rendered(before), dictionary.rendered(after), "dictionary"
-            )
+            writers.dictionary_diff(before, after, "dictionary")
         )
     elif command == "preview":
         chunks = readers.read_chunks(spark, args.chunks)

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+GRAM = 4
 DICTIONARY_SCHEMA = "key_pos long, key string, val_pos long, value string"
 
 
@@ -20,42 +21,52 @@ def dictionary_table(spark: SparkSession, entries: Mapping[str, Sequence[str]])
     return spark.createDataFrame(rows, DICTIONARY_SCHEMA)
 
 
-def expand_questions(questions: DataFrame, dictionary: DataFrame | None) -> DataFrame:
-    """Add `expanded`: the question followed by the matching phrases.
+def _rare_grams(keys: DataFrame) -> DataFrame:
+    """(key, gram): of each key's GRAM-character substrings the one fewest keys hold; a
+    shorter key is its own gram."""
+    size = F.length("key")
+    grams = F.when(size < GRAM, F.array("key")).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - GRAM + 1, F.lit(1))), lambda at: F.substring("key", at, GRAM)))
+    )
+    held = keys.select("key", F.explode(grams).alias("gram"))
+    counted = held.withColumn("n", F.count("*").over(Window.partitionBy("gram")))
+    return counted.groupBy("key").agg(F.min(F.struct("n", "gram")).alias("g")).select("key", "g.gram")
+
+
+def matched_keys(questions: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(qid, key): the keys that are substrings of the lower-cased question.
 
-    A key matches when it is a substring of the lower-cased question. That is run as
-    an equi-join: the question yields its substrings of the lengths keys have. A
-    phrase is appended once, ignoring case, at its first position.
+    Questions and keys meet on one rare gram of the key, so that a dictionary of any size is
+    one equi-join of short rows; then the whole key is looked for.
     """
-    if dictionary is None:
-        return questions.withColumn("expanded", F.col("question"))
-    # one small int per distinct key length
-    lengths = sorted(r[0] for r in dictionary.select(F.length("key")).distinct().collect())
     lowered = questions.select("qid", F.lower("question").alias("_q"))
-    if not lengths:
-        return questions.withColumn("expanded", F.col("question"))
-    windows = F.array(*[F.lit(n) for n in lengths])
-    pieces = lowered.select(
-        "qid",
-        F.explode_outer(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        windows,
-                        lambda n: F.transform(
-                            F.sequence(
-                                F.lit(1), F.greatest(F.length("_q") - n + 1, F.lit(1))
-                            ),
-                            lambda at: F.substring(F.col("_q"), at, n),
-                        ),
-                    )
-                )
+    # every substring of up to GRAM characters, the empty one included
+    grams = F.array_distinct(
+        F.flatten(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(GRAM)),
+                lambda n: F.transform(
+                    F.sequence(F.lit(1), F.greatest(F.length("_q") - n + 1, F.lit(1))), lambda at: F.substring(F.col("_q"), at, n)
+                ),
             )
-        ).alias("key"),
+        )
     )
+    pieces = lowered.select("qid", "_q", F.explode_outer(grams).alias("gram"))
+    keys = _rare_grams(dictionary.select("key").distinct())
+    return pieces.join(keys, "gram").filter(F.contains("_q", "key")).select("qid", "key")
+
+
+def expand_questions(questions: DataFrame, dictionary: DataFrame | None) -> DataFrame:
+    """Add `expanded`: the question followed by the phrases of the keys it contains.
+
+    A phrase is appended once, ignoring case, at its first position.
+    """
+    if dictionary is None:
+        return questions.withColumn("expanded", F.col("question"))
     first = Window.partitionBy("qid", F.lower("value")).orderBy("key_pos", "val_pos")
     phrases = (
-        pieces.join(dictionary, "key")
+        matched_keys(questions, dictionary)
+        .join(dictionary, "key")
         .withColumn("_n", F.row_number().over(first))
         .filter("_n = 1")
         .groupBy("qid")

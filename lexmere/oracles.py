@@ -533,6 +533,38 @@ ORACLES: dict[str, str] = {
     "query_expansion": _with(
         DOCS, ASKED, STATS, EXPANSION, select="SELECT qid, text AS expanded FROM expanded"
     ),
+    "query_expansion_large": _with(
+        DOCS,
+        ASKED,
+        STATS,
+        """pairs AS (SELECT term, row_number() OVER (ORDER BY term) AS pos FROM vocab WHERE contains(term, ' ')),
+extra AS (
+  SELECT qid, string_agg(replace(term, ' ', '_'), ' ' ORDER BY pos) AS words
+  FROM asked JOIN pairs ON contains(lower(question), term) GROUP BY qid)""",
+        select="SELECT qid, concat_ws(' ', question, words) AS expanded FROM asked LEFT JOIN extra USING (qid)",
+    ),
+    "bm25_other_settings": r"""
+WITH docs AS (SELECT 'doc' || doc_id || '::p' || (doc_id % 30 + 1) || '::c0' AS chunk_id, text FROM documents),
+tf AS (
+  SELECT chunk_id, term, count(*) AS tf
+  FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM docs) GROUP BY ALL),
+total AS (SELECT count(*) AS n FROM docs),
+vocab AS (
+  SELECT term, count(*) AS df FROM tf GROUP BY term
+  HAVING count(*) >= 3 AND count(*) <= 0.95 * (SELECT n FROM total)),
+held AS (SELECT tf.*, df FROM tf JOIN vocab USING (term)),
+lengths AS (SELECT chunk_id, coalesce(sum(held.tf), 0) AS dl FROM docs LEFT JOIN held USING (chunk_id) GROUP BY chunk_id),
+mean AS (SELECT avg(dl) AS avgdl FROM lengths),
+qtf AS (SELECT DISTINCT qid, term FROM (
+  SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM benchmark)),
+scores AS (
+  SELECT qid, chunk_id,
+         sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 1.9
+             / (tf + 0.9 * (0.6 + 0.4 * dl / (avgdl + 1e-12)) + 1e-12)) AS score
+  FROM qtf JOIN held USING (term) JOIN lengths USING (chunk_id), total, mean GROUP BY qid, chunk_id)
+SELECT qid, rank, chunk_id, round(score, 6) AS score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM scores)
+WHERE rank <= 8""".replace("\\\\", "\\"),
     "bm25_expanded": _with(DOCS, ASKED, STATS, EXPANSION, BM25_SCORES, _ranked(8), select=TOP),
     "tfidf_expanded": _with(DOCS, ASKED, STATS, EXPANSION, TFIDF_SCORES, _ranked(8), select=TOP),
     "page_paragraphs": _with(PAGES, select="SELECT stem, page, pos, paragraph FROM paras"),
@@ -670,6 +702,11 @@ FROM recalled, faith WHERE unit = 'sentence'""",
     "ngram_top": _with(
         NGRAMS, select="SELECT topic, n, ngram, count, rank FROM gram_top WHERE rank <= 200"
     ),
+    "review_numbering": _with(
+        NGRAMS,
+        select="""SELECT row_number() OVER (ORDER BY topic, count DESC, n DESC, ngram DESC) - 1 AS seq, topic, n, ngram, count
+FROM gram_top""",
+    ),
     "abbrev_top": _with(
         ABBREVS, select="SELECT topic, rank, abbr, long, count FROM pair_top WHERE rank <= 80"
     ),
@@ -704,6 +741,20 @@ UNION ALL SELECT 'documents', topic, 'ngrams_by_topic', CAST(rank - 1 AS INTEGER
         *CURATION,
         select="SELECT CAST(sum(CASE kind WHEN 'abbr' THEN 2 ELSE 1 END) AS BIGINT) AS changes FROM taken",
     ),
+    "dictionary_diff": _with(
+        *CURATION,
+        """new AS (SELECT key, string_agg(value, '|' ORDER BY val_pos) AS vs FROM merged GROUP BY key),
+old AS (SELECT key, string_agg(value, '|' ORDER BY val_pos) AS vs FROM default_words GROUP BY key),
+lines AS (
+  SELECT *, o IS DISTINCT FROM n AS changed, row_number() OVER (ORDER BY starts_with(key, '__'), key) - 1 AS pos
+  FROM (SELECT coalesce(old.key, new.key) AS key, old.vs AS o, new.vs AS n FROM old FULL JOIN new ON old.key = new.key)),
+shown AS (
+  SELECT *, bool_or(changed) OVER (ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM lines)""",
+        select="""SELECT pos, mark, key, vs AS "values" FROM (
+  SELECT pos, '-' AS mark, key, o AS vs FROM shown WHERE changed AND o IS NOT NULL
+  UNION ALL SELECT pos, '+', key, n FROM shown WHERE changed AND n IS NOT NULL
+  UNION ALL SELECT pos, ' ', key, o FROM shown WHERE near AND NOT changed)""",
+    ),
     "dictionary_view": _with(
         *CURATION,
         select="""SELECT starts_with(key, '__') AS last, key, string_agg(value, '|' ORDER BY val_pos) AS "values"

@@ -19,6 +19,7 @@ from lexmere.operators import chunking, context, dictionary, evaluate, mining, r
 from lexmere.operators.bounded import bounded_search
 from lexmere.operators.expansion import dictionary_table, expand_questions
 from lexmere.operators.index import LexicalIndex, build_index, load_index, save_index
+from lexmere.operators.ranking import numbered
 from lexmere.operators.search import search
 from lexmere.operators.segments import GrowingIndex
 from lexmere.operators.terms import TermOptions, bm25_idf, smooth_idf, term_rows
@@ -258,6 +259,21 @@ def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand_questions(questions(spark, sf_dir), words).select("qid", "expanded")
 
 
+def query_expansion_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vocabulary bigram as a dictionary key."""
+    pairs = doc_index(spark, sf_dir).vocabulary().filter(F.col("term").contains(" ")).select("term")
+    words = numbered(pairs, "key_pos", [F.col("term")]).select(
+        "key_pos", F.col("term").alias("key"), F.lit(0).cast("long").alias("val_pos"), F.replace("term", F.lit(" "), F.lit("_")).alias("value")
+    )
+    return expand_questions(questions(spark, sf_dir), words).select("qid", "expanded")
+
+
+def bm25_other_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other weights, a higher least document frequency, no stop list, single words only."""
+    index = build_index(doc_chunks(spark, sf_dir), TermOptions(stop_words=None, ngram_range=(1, 1), min_df=3))
+    return _ranked(search(index, questions(spark, sf_dir), k1=0.9, b=0.4))
+
+
 def bm25_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = doc_index(spark, sf_dir)
     words = corpus_dictionary(index)
@@ -540,6 +556,13 @@ def ngram_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.top_ngrams(mining.ngram_counts(doc_records(spark, sf_dir)))
 
 
+def review_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All n-grams numbered through in review order."""
+    counts = mining.ngram_counts(doc_records(spark, sf_dir))
+    order = [F.col("topic"), F.col("count").desc(), F.col("n").desc(), F.col("ngram").desc()]
+    return numbered(counts, "seq", order).select("seq", "topic", F.col("n").cast("int").alias("n"), "ngram", "count")
+
+
 def abbrev_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     matches = mining.abbreviation_matches(abbreviated_records(spark, sf_dir), snippets=False)
     best = mining.top_abbreviations(mining.abbreviation_counts(matches))
@@ -628,6 +651,12 @@ def dictionary_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.change_count(_decisions(spark, sf_dir))
 
 
+def dictionary_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = dictionary_table(spark, DEFAULT_EXPANSIONS)
+    lines = dictionary.diff(old, dictionary.merge(old, _decisions(spark, sf_dir)))
+    return lines.select("pos", "mark", "key", F.array_join("values", "|").alias("values"))
+
+
 def dictionary_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = dictionary_table(spark, DEFAULT_EXPANSIONS)
     view = dictionary.rendered(dictionary.merge(old, _decisions(spark, sf_dir)))
@@ -651,6 +680,8 @@ QUERIES: dict[str, Query] = {
         tfidf_topk,
         tfidf_topk_by_topic,
         query_expansion,
+        query_expansion_large,
+        bm25_other_settings,
         bm25_expanded,
         tfidf_expanded,
         page_paragraphs,
@@ -681,6 +712,7 @@ QUERIES: dict[str, Query] = {
         evaluation_metrics,
         answer_units,
         ngram_top,
+        review_numbering,
         abbrev_top,
         abbrev_examples,
         suggestion_review,
@@ -688,5 +720,6 @@ QUERIES: dict[str, Query] = {
         dictionary_merge,
         dictionary_changes,
         dictionary_view,
+        dictionary_diff,
     )
 }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmere.operators.dictionary import diff
+
 
 def write_jsonl(df: DataFrame, path: str, order_by: list[str] | None = None,
                 keep_nulls: bool = False, leave: list[str] | None = None) -> None:
@@ -44,13 +45,18 @@ def complete(prompts: DataFrame, call: Callable[[str], str], keys: list[str]) ->
     return prompts.select(*keys, "prompt").mapInPandas(run, f"{fields}, response string")
 
 
-def dictionary_lines(rendered: DataFrame) -> list[str]:
-    """The dictionary as display lines, for review on the driver (a curated, small table)."""
-    rows = rendered.orderBy("last", "key").collect()
-    return ["{", *[f"    {r['key']!r}: {list(r['values'])!r}," for r in rows], "}"]
-
-
 def dictionary_diff(before: DataFrame, after: DataFrame, name: str) -> str:
-    """Unified diff of two rendered dictionaries, empty when nothing changed."""
-    old, new = dictionary_lines(before), dictionary_lines(after)
-    return "\n".join(difflib.unified_diff(old, new, name, name, n=3, lineterm=""))
+    """Two dictionaries as a diff for review, empty when nothing changed.
+
+    Only changed lines and their neighbours reach the driver.
+    """
+    out: list[str] = []
+    last = None
+    for r in diff(before, after).orderBy("pos", "part").toLocalIterator():
+        if last is None:
+            out += [f"--- {name}", f"+++ {name}"]
+        if last is None or r["pos"] > last + 1:
+            out.append(f"@@ {r['pos'] + 1} @@")
+        last = r["pos"]
+        out.append(f"{r['mark']}    {r['key']!r}: {list(r['values'])!r},")
+    return "\n".join(out)
