@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmere.functions.fixed import DEFAULT_EXPANSIONS, DEMO_QUESTIONS
 from lexmere.operators import chunking, dictionary, mining
-from lexmere.operators.context import MODES
+from lexmere.operators.context import MODES, OLDER_MODES
 from lexmere.operators.expansion import DICTIONARY_SCHEMA, dictionary_table
 from lexmere.operators.index import LexicalIndex, build_index, load_index, save_index
 from lexmere.operators.ranking import numbered
@@ -75,7 +75,7 @@ def parser() -> argparse.ArgumentParser:
     _options(
         p, "index", "saved", "retriever", "rerank", "top_k", "pool_k", "max_chars", "dictionary"
     )
-    p.add_argument("--mode", choices=MODES, default="explore")
+    p.add_argument("--mode", choices=MODES + OLDER_MODES, default="explore")
 
     p = commands.add_parser("eval", help="recall and citation metrics")
     p.add_argument("--k", type=int, default=8)
@@ -102,6 +102,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--topic", default=None)
     p.add_argument("--limit_abbr", type=int, default=60)
     p.add_argument("--limit_ngram", type=int, default=40)
+    p.add_argument("--ngrams", action="store_true", help="list n-grams too")
     _options(p, "out")
 
     p = commands.add_parser("curate", help="merge decisions into the dictionary")
@@ -190,7 +191,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             readers.read_suggestions(spark, args.suggest),
             topic=args.topic,
             limit_abbr=args.limit_abbr,
-            limit_ngram=args.limit_ngram,
+            limit_ngram=args.limit_ngram if args.ngrams else 0,
         )
         numbers = numbered(shown, "_n", [F.col("kind"), F.col("topic"), F.col("rank")])
         blank = numbers.select(

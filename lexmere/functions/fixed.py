@@ -149,6 +149,9 @@ Answer the QUESTION in Japanese using ONLY the CONTEXT.
 
 # ---- fixed values: fill-in outlines ({tail} is the citation reminder, empty in
 # the older layout) ----
+OLDER_OUTLINE_HEAD = "Answer (citation-per-sentence):"
+OLDER_OUTLINE_LINE = "Evidence #%d: This chunk is relevant to the question. (%s, p%s)"
+OLDER_OUTLINE_NOTE = "Note: Replace each 'Evidence' line with a true claim after running the prompt through an LLM."
 DRAFT_OUTLINE = """\
 Question:
 {question}

@@ -156,8 +156,15 @@ def skip_ratio(chunks: DataFrame) -> DataFrame:
     )
 
 
-def counts(chunks: DataFrame) -> DataFrame:
-    """One row: files and chunks."""
-    return chunks.agg(
-        F.count_distinct("meta.path").alias("n_files"), F.count("*").alias("n_chunks")
-    )
+def counts(chunks: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """One row: files and chunks.
+
+    `files` (path, ...) lists what was read, so that files without any chunk count too;
+    without it only files with chunks are known.
+    """
+    known = chunks.agg(F.count_distinct("meta.path").alias("n_files"), F.count("*").alias("n_chunks"))
+    if files is None:
+        return known
+    read = files.agg(F.count_distinct("path").alias("n_files"))
+    both = read.withColumn("_k", F.lit(1)).join(known.withColumn("_k", F.lit(1)).drop("n_files"), "_k")
+    return both.drop("_k")

@@ -14,6 +14,9 @@ from lexmere.functions.fixed import (
     DRAFT_OUTLINE,
     DRAFT_TAIL,
     EVIDENCE_HEADING,
+    OLDER_OUTLINE_HEAD,
+    OLDER_OUTLINE_LINE,
+    OLDER_OUTLINE_NOTE,
     PROMPTS,
     SUPPORT_HEADING,
 )
@@ -22,6 +25,14 @@ from lexmere.operators.index import with_chunks
 from lexmere.session import written
 
 MODES = ("explore", "cite_strict")
+OLDER_MODES = ("strict", "english")  # over the flat context
+
+
+def mode_name(mode: str | None, known: tuple[str, ...] = MODES) -> str:
+    name = (mode or "explore").lower()
+    if name not in known:
+        raise ValueError(f"unknown mode {mode!r}; use one of {known}")
+    return name
 
 
 def support_cap(max_chars: int, tail_frac: float = 0.35) -> int:
@@ -152,11 +163,8 @@ def prompt_text(question: str, context: str, mode: str | None = "explore") -> Co
 
     Modes: explore, cite_strict; strict and english are the older templates.
     """
-    name = (mode or "explore").lower()
-    if name not in PROMPTS:
-        raise ValueError(f"unknown mode {mode!r}; use one of {sorted(PROMPTS)}")
     return _filled(
-        PROMPTS[name],
+        PROMPTS[mode_name(mode, MODES + OLDER_MODES)],
         question=strip(F.col(question)),
         context=strip(F.coalesce(context, F.lit(""))),
     )
@@ -177,6 +185,15 @@ def outline_answers(results: DataFrame, limit: int = 8) -> DataFrame:
     return _ordered(lines, "line", "\n", "answer")
 
 
+def older_outlines(questions: DataFrame, results: DataFrame, limit: int = 6) -> DataFrame:
+    """Questions plus `answer`: the older outline, its page taken from the payload."""
+    line = F.format_string(OLDER_OUTLINE_LINE, "rank", "chunk_id", _page())
+    top = results.filter(F.col("rank") <= limit).select("qid", "rank", line.alias("line"))
+    joined = questions.join(_ordered(top, "line", "\n", "_lines"), "qid", "left")
+    answer = F.concat_ws("\n", F.lit(OLDER_OUTLINE_HEAD), F.lit(""), "_lines", F.lit(""), F.lit(OLDER_OUTLINE_NOTE))
+    return joined.withColumn("answer", answer).drop("_lines")
+
+
 def drafts(
     questions: DataFrame, results: DataFrame, *, bullets: int = 6, chars: int = 260,
     cited: bool = True,

@@ -17,6 +17,8 @@ from lexmere.functions.fixed import (
     GENERIC_WORDS,
     LONG_THEN_ABBR,
     MINING_STOP_WORDS,
+    OLDER_OUTLINE_HEAD,
+    OLDER_OUTLINE_NOTE,
     PROMPTS,
     SUPPORT_HEADING,
     english_stop_words,
@@ -667,6 +669,21 @@ FROM asked LEFT JOIN flat USING (qid)""",
         OUTLINES,
         select="SELECT qid, coalesce(answer, '') AS answer FROM asked LEFT JOIN outlines USING (qid)",
     ),
+    "older_outline_answers": _with(
+        *RESULTS,
+        f"""listed AS (
+  SELECT qid, string_agg(printf('Evidence #%d: This chunk is relevant to the question. (%s, p%d)', rank, chunk_id, page),
+                         chr(10) ORDER BY rank) AS lines
+  FROM ranked JOIN docs USING (chunk_id) WHERE rank <= 6 GROUP BY qid)""",
+        select=f"""SELECT qid, concat_ws(chr(10), {_q(OLDER_OUTLINE_HEAD)}, '', lines, '', {_q(OLDER_OUTLINE_NOTE)}) AS answer
+FROM asked LEFT JOIN listed USING (qid)""",
+    ),
+    "files_read": _with(
+        *PAGE_PARTS,
+        select="""SELECT (SELECT count(*) FROM documents) AS n_files, count(*) FILTER (
+  CAST(regexp_extract(chunk_id, '^doc(\\d+)', 1) AS BIGINT) % 3 <> 0) AS n_chunks FROM chunks""",
+        recursive=True,
+    ),
     "draft_outlines": _with(*RESULTS, _draft(), select="SELECT qid, draft FROM drafts"),
     "run_reports": _with(
         *RESULTS,

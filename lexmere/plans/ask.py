@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from lexmere.functions.fixed import DEFAULT_EXPANSIONS
 from lexmere.operators.context import (
     MODES,
+    OLDER_MODES,
     contexts,
     drafts,
     evidence_lists,
+    flat_contexts,
+    mode_name,
     outline_answers,
     prompts,
     with_payload,
@@ -21,13 +24,6 @@ from lexmere.operators.search import search
 from lexmere.session import written
 
 
-def _check_mode(mode: str | None) -> str:
-    name = (mode or "explore").lower()
-    if name not in MODES:
-        raise ValueError(f"unknown mode {mode!r}; use one of {MODES}")
-    return name
-
-
 def retrieve(
     index: LexicalIndex,
     questions: DataFrame,
@@ -68,7 +64,7 @@ def make_prompts(
     dictionary=DEFAULT_EXPANSIONS,
 ) -> DataFrame:
     """Questions plus `prompt` and the `prompt_meta` record of the settings used."""
-    mode = _check_mode(mode)
+    mode = mode_name(mode)
     results = retrieve(
         index,
         questions,
@@ -115,10 +111,14 @@ def run_report(
     outline: bool = True,
     **search_options,
 ) -> DataFrame:
-    """Questions plus `evidence`, `draft` (unless turned off) and `prompt`."""
-    mode = _check_mode(mode)
+    """Questions plus `evidence`, `draft` (unless turned off) and `prompt`.
+
+    The older modes print the flat context.
+    """
+    mode = mode_name(mode, MODES + OLDER_MODES)
     results = retrieve(index, questions, **search_options)
     out = questions.join(evidence_lists(results), "qid", "left")
     if outline:
         out = drafts(out, results)
-    return prompts(out, contexts(results, max_chars=max_chars), mode)
+    layout = flat_contexts if mode in OLDER_MODES else contexts
+    return prompts(out, layout(results, max_chars=max_chars), mode)

@@ -20,8 +20,9 @@ def ingest(
     topics: Sequence[str] = DEFAULT_TOPICS,
     extract: Extractor = pdf_text,
 ) -> DataFrame:
-    """Chunk every PDF under base/<topic> into JSON Lines at `out`; returns file/chunk counts."""
+    """Chunk every PDF under base/<topic> into JSON Lines at `out`; returns the numbers of
+    files read, those without text included, and of chunks."""
     files = list_pdfs(spark, base, topics)
     chunks = chunk_pages(extract_pages(files, extract))
     write_jsonl(chunks, out)
-    return counts(spark.read.schema(chunks.schema).json(out))
+    return counts(spark.read.schema(chunks.schema).json(out), files)

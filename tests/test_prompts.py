@@ -190,3 +190,16 @@ def test_plans_end_to_end(spark):
         make_prompts(index, asked, mode="strict")
     answers = complete(make_prompts(index, asked), lambda p: str(len(p)), ["qid"]).collect()
     assert all(int(r["response"]) > 100 for r in answers)
+
+
+def test_older_modes_and_outline(spark):
+    asked = spark.createDataFrame([("q", "why?", None), ("r", "none", None)], "qid string, question string, topic string")
+    lines = {r["qid"]: r["answer"].split("\n") for r in context.older_outlines(asked, results(spark, 8)).collect()}
+    assert len(lines["q"]) == 2 + 6 + 2 and lines["q"][0] == "Answer (citation-per-sentence):"
+    assert lines["q"][2].startswith("Evidence #1: This chunk is relevant to the question. (") and lines["r"][1:3] == ["", ""]
+    texts = {f"d{i}::p1::c0": f"alpha beta words{i % 2}" for i in range(6)}
+    rows = spark.createDataFrame([(k, t, ["x"], "T", 1) for k, t in texts.items()], "chunk_id string, text string, topic array<string>, title string, page int")
+    shown = run_report(build_index(rows), spark.createDataFrame([("q", "words1", None)], "qid string, question string, topic string"), mode="strict").first()
+    assert "score=" in shown["prompt"] and "w=" not in shown["prompt"]
+    with pytest.raises(ValueError, match="unknown mode"):
+        run_report(build_index(rows), asked, mode="other")

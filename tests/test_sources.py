@@ -157,7 +157,7 @@ def test_command_line(spark, tmp_path, capsys):
     go("fill-prompts", "--index", index, "--evalset", questions, "--out", tmp_path / "prompts", "--rerank", "mmr")
     assert any("cite_strict" in p.read_text() for p in (tmp_path / "prompts").glob("part-*"))
     go("suggest", "--chunks", index, "--out", tmp_path / "s")
-    go("review", "--suggest", tmp_path / "s", "--out", tmp_path / "r")
+    go("review", "--suggest", tmp_path / "s", "--out", tmp_path / "r", "--ngrams")
     decided = [json.loads(x) for p in sorted((tmp_path / "r").glob("part-*")) for x in p.read_text().splitlines()]
     pair = next(d for d in decided if d["kind"] == "abbr") | {"accept": True}
     diff = go("curate", "--decisions", put(tmp_path / "d.jsonl", [pair]), "--out", tmp_path / "dict")
