@@ -297,15 +297,20 @@ class UnitEncoder:
         bounds = np.concatenate(([0], np.cumsum(each)))[np.concatenate(([0], np.cumsum(later)[last]))]
         heads, head_each = self._gathered(self.first, parts.take(pa.array(begins)), True)
         firsts = _slices(heads, np.cumsum(head_each))
+        glued = self._glued_ids([run[k] for k in sorted(open_texts)])
         for k, (head, tail) in enumerate(zip(firsts, _slices(ids, bounds[1:]))):
-            yield self._glued_ids(run[k]) if k in open_texts else head + tail
-
-    def _glued_ids(self, text: bytes) -> bytes:
-        head, *tail = self._glue(text.split(b" "))
-        out = [self._gathered(self.first, pa.array([head], pa.binary()), True)[0]]
-        if tail:
-            out.append(self._gathered(self.later, pa.array(tail, pa.binary()), False)[0])
-        return np.concatenate(out).tobytes()
+            yield next(glued) if k in open_texts else head + tail
+
+    def _glued_ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Texts some of whose parts need gluing, all looked up at once."""
+        if not texts:
+            return
+        cut = [self._glue(t.split(b" ")) for t in texts]
+        heads, head_each = self._gathered(self.first, pa.array([c[0] for c in cut], pa.binary()), True)
+        tails, each = self._gathered(self.later, pa.array([p for c in cut for p in c[1:]], pa.binary()), False)
+        ends = np.concatenate(([0], np.cumsum(each)))[np.cumsum([len(c) - 1 for c in cut])]
+        for head, tail in zip(_slices(heads, np.cumsum(head_each)), _slices(tails, ends)):
+            yield head + tail
 
     def encode(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
         for run in slices(texts):
