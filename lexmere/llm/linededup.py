@@ -41,6 +41,7 @@ from lexmere.llm.cuckoo import CuckooFilter
 
 KEYS_PER_SHARD = 1 << 18
 MIN_SHARDS = 1024
+BATCHES = 2  # of a whole corpus; every batch but the first asks the filters
 WHITE = b" \t\n\x0b\x0c\r"
 
 
@@ -222,6 +223,16 @@ class LineIndex:
         self._write(self._by_shard(new, _change, self.FILTERS), "filters", batch, self.FILTERS)
         self._publish(batch, ["refs", "counts", "shared", "filters"])
 
+    def insert_corpus(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES) -> None:
+        """Add all documents in batches by a hash of their id; the result is that of one batch.
+
+        Rows of one document come together. Later batches look up only keys that the filters
+        may hold, so the exact counts are not joined with the keys a batch brings first.
+        """
+        part = F.pmod(F.xxhash64(F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID))), F.lit(batches))
+        for k in range(batches):
+            self.insert(docs.filter(part == k), doc_id, text)
+
     def delete(self, doc_ids: DataFrame, doc_id: str = "doc_id") -> None:
         """Take documents out again, with everything their lines have caused."""
         batch = self.batch + 1

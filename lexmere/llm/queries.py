@@ -30,7 +30,7 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = linededup.LineIndex(spark, scratch(spark, "line-index"))
-    index.insert(docs)
+    index.insert_corpus(docs)
     return index.apply(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 

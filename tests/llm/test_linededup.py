@@ -43,6 +43,23 @@ def result(index, spark, docs):
     return {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in rows}
 
 
+def test_a_corpus_comes_in_batches_that_ask_the_filters(spark, tmp_path):
+    docs = make(random.Random(8), 60)
+    rows = frame(spark, docs).unionByName(frame(spark, {3: docs[3], 4: docs[4]}))
+    rows = rows.unionByName(spark.createDataFrame([(None, "a line without an id", "x")] * 2, rows.schema))
+    index = LineIndex(spark, f"{tmp_path}/a", shards=4)
+    index.insert_corpus(rows, batches=3)
+    assert index.batch == 3 and result(index, spark, docs) == brute(docs)
+    assert spark.read.parquet(f"{tmp_path}/a/held").count() > 0
+    # with filters that deny known keys, lines of two batches are no longer found
+    blind = LineIndex(spark, f"{tmp_path}/b", shards=4)
+    blind.insert(frame(spark, {1: "one line that is shared"}))
+    shards = [(k, CuckooFilter().to_bytes()) for k in range(4)]
+    spark.createDataFrame(shards, blind.FILTERS).write.mode("overwrite").parquet(f"{tmp_path}/b/filters/batch=1")
+    blind.insert(frame(spark, {2: "one line that is shared"}))
+    assert blind.duplicate_keys().count() == 0
+
+
 def test_batches_and_deletions_equal_a_fresh_run(spark, tmp_path):
     rng = random.Random(5)
     docs = make(rng, 60)
