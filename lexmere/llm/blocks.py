@@ -1,4 +1,10 @@
-"""Leaf blocks of a page: runs of text no block element divides, with what stands above."""
+"""Leaf blocks of a page: runs of text no block element divides, with what stands above.
+
+Each block knows the marks of all elements above it, those of the nearest landmark (an element
+that names a part of a page), those of elements that span nearly the whole page, and how much
+of the page's text its container holds. A form or a division around everything is thereby told
+from one that is a part. Marks of html and body describe the page and do not count.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +19,10 @@ BLOCK_TAGS = frozenset(
     textarea tfoot th thead tr ul""".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED_TAGS = frozenset("script style noscript template svg title iframe noembed noframes".split())
+SKIPPED_TAGS = frozenset("script style noscript template title desc metadata iframe noembed noframes".split())
+LANDMARKS = frozenset("article main section nav header footer aside form button select fieldset figure details dialog".split())
+CONTAINERS = LANDMARKS | frozenset("html body div center td th dialog".split())
+SPANS = 0.8  # an element with this share of the page's text spans the page
 FEATURE_TAGS = (
     "article main section div nav header footer aside form button select option label textarea fieldset ul ol li dl dd dt table"
     " td th tr p pre blockquote figure figcaption h1 h2 h3 h4 h5 h6 details address dialog"
@@ -40,6 +49,8 @@ _ATTRIBUTE = re.compile(
     r""""[^"]*"|'[^']*'|(class|id|role|aria-label|style|hidden|itemprop)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I
 )
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+# Such names say what an element holds or lacks, not what it is.
+_ABOUT = re.compile(r"(?<![\w-])(?:has|no|with|without)[-_][\w-]*", re.I)
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -49,6 +60,45 @@ class Block:
     link_chars: int
     tag: str
     above: frozenset[str]
+    near: frozenset[str] = frozenset()
+    wide: frozenset[str] = frozenset()
+    share: float = 0.0
+
+
+class _Elements:
+    """Every element's parent, marks and place in the page's text, by number."""
+
+    def __init__(self) -> None:
+        self.tags, self.parents, self.marks = ["html"], [0], [frozenset()]
+        self.starts, self.ends = [0], [0]
+        self.above: list[frozenset[str]] = [frozenset()]
+        self.landmark, self.container = [0], [0]
+
+    def add(self, tag: str, parent: int, marks: frozenset[str], start: int) -> int:
+        n = len(self.tags)
+        self.tags.append(tag)
+        self.parents.append(parent)
+        self.marks.append(marks)
+        self.starts.append(start)
+        self.ends.append(start)
+        self.above.append(self.above[parent] | marks if marks else self.above[parent])
+        tells = tag in LANDMARKS or any(m.startswith("is:") for m in marks)
+        self.landmark.append(n if tells else self.landmark[parent])
+        self.container.append(n if tag in CONTAINERS else self.container[parent])
+        return n
+
+    def complete(self, blocks: list[Block], owners: list[int], total: int) -> None:
+        """What can only be told of blocks when the whole page has been read."""
+        wide = [frozenset()]
+        for n in range(1, len(self.tags)):
+            over = wide[self.parents[n]]
+            spans = self.marks[n] and self.ends[n] - self.starts[n] >= SPANS * total
+            wide.append(over | self.marks[n] if spans else over)
+        for block, n in zip(blocks, owners):
+            block.near = self.marks[self.landmark[n]]
+            block.wide = wide[n]
+            c = self.container[n]
+            block.share = (self.ends[c] - self.starts[c]) / total
 
 
 def _marks(tag: str, attributes: str) -> frozenset[str]:
@@ -60,7 +110,7 @@ def _marks(tag: str, attributes: str) -> frozenset[str]:
             if name == "hidden" or (name == "style" and _HIDES.search(value)):
                 marks.add("is:hidden")
             elif name != "style":
-                for word in _WORD.findall(value):
+                for word in _WORD.findall(_ABOUT.sub("", value)):
                     family = _FAMILY_OF.get(word.lower())
                     if family:
                         marks.add(f"is:{family}")
@@ -111,13 +161,16 @@ class _Ends:
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """Blocks in page order, without scripts, styles, titles and comments.
+    """Blocks in page order, without scripts, styles, titles and markup comments.
 
     Character references are decoded, white space becomes one space, ends are trimmed.
     Unclosed, crossed and stray tags are taken as browsers do in the common cases.
     """
-    stack: list[tuple[str, frozenset[str]]] = [("html", frozenset())]
+    elements = _Elements()
+    stack: list[tuple[str, int]] = [("html", 0)]
     blocks: list[Block] = []
+    owners: list[int] = []
+    told = 0  # characters of text so far
     pieces: list[str] = []
     links = [0]
     open_links = 0
@@ -128,11 +181,14 @@ def leaf_blocks(page: str) -> list[Block]:
         lower = re.sub("[A-Z]+", lambda m: m[0].lower(), page)
 
     def flush() -> None:
+        nonlocal told
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
                 tag = next((t for t, _ in reversed(stack) if t in BLOCK_TAGS), "html")
-                blocks.append(Block(text, links[0], tag, stack[-1][1]))
+                blocks.append(Block(text, links[0], tag, elements.above[stack[-1][1]]))
+                owners.append(stack[-1][1])
+                told += len(text)
             pieces.clear()
             links[0] = 0
 
@@ -141,6 +197,8 @@ def leaf_blocks(page: str) -> list[Block]:
         if any(t in BLOCK_TAGS for t, _ in stack[depth:]):
             flush()
         open_links -= sum(t == "a" for t, _ in stack[depth:])
+        for _, n in stack[depth:]:
+            elements.ends[n] = told
         del stack[depth:]
 
     while at < size:
@@ -173,9 +231,10 @@ def leaf_blocks(page: str) -> list[Block]:
             end = size if end < 0 else lower.find(">", end)
             at = size if end < 0 else min(end + 1, size)
             continue
-        if tag == "br":
+        if tag in ("br", "text"):  # text is a label of a drawing
             pieces.append(" ")
-            continue
+            if tag == "br":
+                continue
         if tag in BLOCK_TAGS:
             if tag == "body":
                 for depth, (name, _) in enumerate(stack):
@@ -209,6 +268,9 @@ def leaf_blocks(page: str) -> list[Block]:
                 if stack[depth][0] in BLOCK_TAGS:
                     break
             open_links += 1
-        stack.append((tag, stack[-1][1] | _marks(tag, attributes)))
+        marks = frozenset() if tag in ("html", "body") else _marks(tag, attributes)
+        stack.append((tag, elements.add(tag, stack[-1][1], marks, told)))
     flush()
+    close(0)
+    elements.complete(blocks, owners, told)
     return blocks

@@ -64,19 +64,20 @@ def train(pages: list[tuple[list[list[str]], list[int]]], *, rounds: int = 150,
     n, longest = len(pages), max(len(rows) for rows, _ in pages)
     lengths = np.array([len(rows) for rows, _ in pages])
     live = np.arange(longest)[None] < lengths[:, None]
-    seen = np.zeros((n, longest, len(names)), np.float32)
+    seen = np.zeros((n, longest, len(names)), bool)
     truth = np.zeros((n, longest), np.int64)
     for p, (rows, labels) in enumerate(pages):
         truth[p, : len(labels)] = labels
         for i, row in enumerate(rows):
             seen[p, i, [index[name] for name in row]] = 1
-    flat = seen.reshape(-1, len(names))
+    flat = seen[live].astype(float)  # padding has no features
+    del seen
     known = np.eye(LABELS)[truth] * live[..., None]
     last = lengths - 1
     every = np.arange(n)
     both = live[:, 1:, None, None]
     observed = [
-        flat.T @ known.reshape(-1, LABELS),
+        flat.T @ known[live],
         np.einsum("ptk,ptl->kl", known[:, :-1], known[:, 1:]),
         known[:, 0].sum(axis=0),
         known[every, last].sum(axis=0),
@@ -87,7 +88,8 @@ def train(pages: list[tuple[list[list[str]], list[int]]], *, rounds: int = 150,
     total = float(lengths.sum())
     for turn in range(1, rounds + 1):
         emit, step, start, end = weights
-        scores = (flat @ emit).reshape(n, longest, LABELS)
+        scores = np.zeros((n, longest, LABELS))
+        scores[live] = flat @ emit
         ahead = np.zeros((n, longest, LABELS))
         behind = np.zeros((n, longest, LABELS))
         ahead[:, 0] = start + scores[:, 0]
@@ -101,7 +103,7 @@ def train(pages: list[tuple[list[list[str]], list[int]]], *, rounds: int = 150,
         node = np.exp(ahead + behind - norm[:, None, None]) * live[..., None]
         edge = ahead[:, :-1, :, None] + step + (scores[:, 1:] + behind[:, 1:])[:, :, None, :]
         edge = np.where(both, np.exp(np.where(both, edge - norm[:, None, None, None], 0)), 0)
-        expected = [flat.T @ node.reshape(-1, LABELS), edge.sum(axis=(0, 1)), node[:, 0].sum(axis=0), node[every, last].sum(axis=0)]
+        expected = [flat.T @ node[live], edge.sum(axis=(0, 1)), node[:, 0].sum(axis=0), node[every, last].sum(axis=0)]
         for k, w in enumerate(weights):
             slope = (observed[k] - expected[k]) / total - decay * w
             first[k] = 0.9 * first[k] + 0.1 * slope

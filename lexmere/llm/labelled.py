@@ -2,7 +2,9 @@
 
 Words are made of syllables, since the features look at shapes and places, not at
 vocabulary. Layouts vary in semantic tags or plain divisions, telling, generic or missing
-class names, which parts a page has and in which order, and unclosed markup.
+class names, which parts a page has and in which order, forms and divisions around everything,
+articles in sections, with a header, with other parts inside, or of lines without paragraphs,
+and unclosed markup.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ class _Page:
         self.semantic = rng.random() < 0.6
         self.telling = rng.random() < 0.85
         self.open_tags = rng.random() < 0.15
+        self.bare = rng.random() < 0.08  # nothing but the article, maybe without an element for it
+        self.plain = rng.random() < 0.1  # divisions stand for paragraphs
 
     # ---- text ----
 
@@ -123,41 +127,86 @@ class _Page:
             text = f'{text[:cut]} <a href="/{self.word()}">{text[cut + 1 :]}</a>' if cut > 0 else text
         if self.r.random() < 0.2:
             text = f"<b>{text}</b>" if self.r.random() < 0.6 else f"<b>{text}<br>"
+        if self.plain:
+            return f"<div>{text}</div>"
         return f"<p>{text}" if self.open_tags and self.r.random() < 0.5 else f"<p>{text}</p>"
 
+    def lines(self) -> str:
+        """An article, or a part of one, whose lines are only broken."""
+        return MARK + self.r.choice(("<br>", "<br><br>", "<br/>\n<br/>")).join(
+            self.text(1, 4) if self.r.random() < 0.8 else self.words(1, 5) for _ in range(self.r.randint(1, 6))
+        )
+
+    def head(self) -> str:
+        title = f"<h1>{MARK}{self.words(2, 12).capitalize()}</h1>"
+        if self.r.random() < 0.25:
+            by = f"<p>{MARK}{self.sentence(2, 8)}</p>" if self.r.random() < 0.6 else ""
+            start = "<header>" if self.r.random() < 0.5 else f'<header class="{self.r.choice(("entry", "post", "article", "page"))}-header">'
+            return f"{start}{title}{by}</header>"
+        return title
+
+    def aside(self) -> str:
+        """A part of another kind inside the article, which goes on after it."""
+        part = self.r.choice((self.sidebar, self.sidebar, self.advert, self.advert, self.notice, self.form, self.share, self.menu))
+        return part() + "".join(self.paragraph() for _ in range(self.r.choice((0, 1, 1, 2, 3))))
+
     def article(self) -> str:
         parts = []
+        if self.r.random() < 0.12:
+            if self.r.random() < 0.5:
+                parts.append(self.head())
+            parts.append(self.lines())
+            if self.r.random() < 0.2:
+                parts.append(self.aside())
+            return self.framed("".join(parts))
         if self.r.random() < 0.85:
-            parts.append(f"<h1>{MARK}{self.words(2, 12).capitalize()}</h1>")
+            parts.append(self.head())
         for _ in range(self.r.choice((1, 2, 4, 8, 14))):
             kind = self.r.random()
-            if kind < 0.7:
+            if kind < 0.66:
                 parts.append(self.paragraph())
-            elif kind < 0.78:
+            elif kind < 0.74:
                 parts.append(f"<h{(k := self.r.randint(2, 4))}>{MARK}{self.words(2, 8)}</h{k}>")
-            elif kind < 0.84:
+            elif kind < 0.8:
                 parts.append("<ul>" + "".join(f"<li>{MARK}{self.words(1, 15)}</li>" for _ in range(self.r.randint(2, 5))) + "</ul>")
-            elif kind < 0.88:
+            elif kind < 0.84:
                 parts.append(f"<blockquote>{MARK}{self.text(1, 3)}</blockquote>")
-            elif kind < 0.91:
+            elif kind < 0.87:
                 cells = "".join(f"<td>{MARK}{self.words(1, 3)}</td>" for _ in range(3))
                 parts.append(f"<table><tr>{cells}</tr></table>")
-            elif kind < 0.94:
+            elif kind < 0.9:
                 parts.append(f"<figure><img src='x'><figcaption>{MARK}{self.sentence()}</figcaption></figure>")
-            elif kind < 0.96:
+            elif kind < 0.92:
                 parts.append(f"<pre>{MARK}{self.words(3, 20)}</pre>")
             elif kind < 0.98:
-                parts.append(self.advert())
+                parts.append(self.aside())
             else:
                 parts.append(f"<div>{MARK}{self.text(1, 3)}</div>")
+        if self.r.random() < 0.2 and len(parts) > 2:
+            cut = self.r.randint(1, len(parts) - 1)
+            tag = self.r.choice(("section", "section", "div"))
+            parts = [f"<{tag}>{''.join(p)}</{tag}>" for p in (parts[:cut], parts[cut:])]
         if self.r.random() < 0.15:
             parts.append(self.share())
+        if self.r.random() < 0.08:
+            parts.append(self.box("footer", "entry-footer tags post-footer", self.links(1, 4)))
         if self.r.random() < 0.12:
             parts.append(self.comments())
-        inner = "".join(parts)
+        return self.framed("".join(parts))
+
+    def framed(self, inner: str) -> str:
+        if self.bare and self.r.random() < 0.5:
+            return inner
         if self.semantic:
             return self.r.choice(("<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<article class="post">{}</article>')).format(inner)
-        return f"{self.named('div', 'content article post entry story main-text body-text page-content')}{inner}</div>"
+        return f"{self.named('div', 'content article post entry entry-content story main-text body-text page-content')}{inner}</div>"
+
+    def around(self, body: str) -> str:
+        """Everything inside one element, whose names may tell of any part."""
+        if self.r.random() < 0.4:
+            return f'<form method="post" action="/{self.word()}" id="{self.r.choice(("form1", "aspnetForm", "mainform", "f"))}">{body}</form>'
+        name = self.r.choice("wrap page site layout container sidebar-right two-columns has-sidebar with-ads ad-free header-fixed search-page comments-open popup-root footer-dark".split())
+        return f'<div class="{name}">{body}</div>'
 
     def build(self) -> str:
         chance = lambda p: self.r.random() < p
@@ -167,13 +216,15 @@ class _Page:
             self.r.shuffle(before)
         if chance(0.3):
             self.r.shuffle(after)
-        middle = [] if chance(0.02) else [self.article()]
-        tail = [self.footer()] if chance(0.85) else []
-        if chance(0.15):
+        if self.bare:
+            before, after = [], []
+        middle = [] if chance(0.02) and not self.bare else [self.article()]
+        tail = [self.footer()] if chance(0.85) and not self.bare else []
+        if chance(0.15) and not self.bare:
             tail.append(self.notice())
         body = "".join([*before, *middle, *after, *tail])
-        if chance(0.2):
-            body = f'<div id="wrap">{body}</div>'
+        if chance(0.3):
+            body = self.around(body)
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>p{{}}</style></head><body>{body}</body></html>"
 
 

@@ -1,7 +1,9 @@
 """Main text of pages: a linear-chain CRF over leaf blocks, decoded by Viterbi.
 
-Features of a block are the tags above it, what class and id words above it say, its own
-tag, and the shape of its text; the chain's transitions make article blocks stand together.
+Features of a block are the tags above it, what class and id words above it say (all of them,
+the nearest, and those of elements around the whole page), the share of the page's text that
+stands in its container, its own tag, and the shape of its text; the chain's transitions make
+article blocks stand together.
 The model is trained on TRAINING_PAGES labelled pages (see labelled.py), a bounded sample
 that does not grow with the input; pages are then decoded where they lie, without a shuffle.
 
@@ -33,6 +35,9 @@ def features(block: Block, place: int, count: int) -> list[str]:
     linked = block.link_chars / n if n else 0.0
     out = ["bias", f"tag:{block.tag}", f"words:{min(words, 128).bit_length()}", f"linked:{min(int(linked * 4), 4)}"]
     out.extend(block.above)
+    out.extend([f"near:{mark}" for mark in block.near] or ["near:none"])
+    out.extend([f"all:{mark}" for mark in block.wide])
+    out.append(f"share:{int(block.share * 5)}")
     if text[-1] in ".!?\"'…:;,":
         out.append("stops")
     if ". " in text or "? " in text or "! " in text:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexmere.llm.blocks import leaf_blocks
@@ -88,6 +89,41 @@ def test_held_out_accuracy():
     assert right / total > 0.98
 
 
+P = "Long enough text of a paragraph, with several words in it. And a second sentence follows here."
+Q = "Another paragraph of the same article stands here, and it ends the page's text."
+MENU = "<div class='nav'><a href='/'>Home</a> <a href='/a'>About us</a></div>"
+END = "<div class='footer'>&copy; 2020 Somebody</div>"
+SIDE = "<aside class='sidebar'><h3>Popular</h3><ul><li><a href='/z'>One two</a></li></ul></aside>"
+LAYOUTS = [
+    (f"<form method='post' action='./x.aspx' id='aspnetForm'>{MENU}<div class='content'><h1>The title</h1><p>{P}</p><p>{Q}</p></div>{END}</form>", f"The title {P} {Q}"),
+    (f"<form id='form1'>{MENU}<article><h1>The title</h1><p>{P}</p></article>{END}</form>", f"The title {P}"),
+    (f"<body class='single has-sidebar with-ads'>{MENU}<div class='entry-content'><p>{P}</p><p>{Q}</p></div>{SIDE}</body>", f"{P} {Q}"),
+    (f"<div class='layout sidebar-right'>{MENU}<div class='post'><p>{P}</p><p>{Q}</p></div>{SIDE}{END}</div>", f"{P} {Q}"),
+    ("<div id='story'>first<br><br>second</div>", "first second"),
+    (f"{MENU}<div id='story'>{P}<br><br>{Q}</div>{END}", f"{P} {Q}"),
+    (f"{MENU}<article><h1>The title</h1><p>{P}</p><aside class='related'><h3>Related</h3><ul><li><a href='/a'>One more story</a><li><a href='/b'>Other</a></ul></aside><p>{Q}</p></article>{END}", f"The title {P} {Q}"),
+    (f"<article><p>{P}</p><div class='ad'>Buy our stuff today. It is good.</div><p>{Q}</p></article><div class='comments'><p>Nice one. Thanks.</p></div>", f"{P} {Q}"),
+    (f"<header><div>Site</div></header><article><header><h1>The title here</h1><p>By someone</p></header><p>{P}</p></article><footer>&copy; x</footer>", f"The title here By someone {P}"),
+    (f"<nav><a href='/'>Home</a></nav><main><section><h2>Part one</h2><p>{P}</p></section><section><h2>Part two</h2><p>{Q}</p></section></main><footer>&copy; x</footer>", f"Part one {P} Part two {Q}"),
+    (f"<div><a href='/'>Home</a> <a href='/a'>About us</a></div><div><h1>Some title</h1><p>{P}</p><p>{Q}</p></div><div>&copy; 2020 x</div>", f"Some title {P} {Q}"),
+    (f"<p>{P}</p><p>{Q}</p>", f"{P} {Q}"),
+    (f"<article><p>{P}</p><svg><title>t</title><path d='x'/><text>Label</text></svg><p>{Q}</p></article>", f"{P} Label {Q}"),
+]
+
+
+@pytest.mark.parametrize("page, want", LAYOUTS)
+def test_layouts(page, want):
+    assert main_text(page, trained()) == want
+
+
+def test_elements_around_the_page():
+    first, last = leaf_blocks(f"<body class='ads'><form class='search-page'>{MENU}<article><p>{P}</p></article></form></body>")
+    assert "in:form" in first.wide <= last.wide and "in:article" not in first.above
+    assert not any("is:ad" in b.above for b in (first, last))
+    assert last.near == {"in:article"} and first.near >= {"is:nav"} and first.share < last.share
+    assert "is:side" not in leaf_blocks("<div class='has-sidebar x'>a</div>")[0].above
+
+
 def article(page):
     inner = page.split("<article>", 1)[1].split("</article>")[0]
     return " ".join(html.unescape(re.sub(r"<(p|h1|br|/p|/h1)>", " ", inner).replace("<b>", "").replace("</b>", "")).split())
