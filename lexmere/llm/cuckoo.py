@@ -38,7 +38,7 @@ class CuckooFilter:
     @staticmethod
     def _places(table: np.ndarray, h1: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mask = np.uint64(len(table) - 1)
-        first = h1 & mask
+        first = h1 >> np.uint64(32) & mask  # the low bits are those that keys of one shard share
         return first.astype(np.int64), (first ^ (_spread(prints) & mask)).astype(np.int64)
 
     def contains(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -72,7 +72,7 @@ class CuckooFilter:
                     return
             # one fingerprint per bucket is put out and moves to its other bucket
             _, first = np.unique(place, return_index=True)
-            slot = draw.integers(0, SLOTS, len(first))
+            slot = draw.integers(0, table.shape[1], len(first))
             out = table[place[first], slot]
             table[place[first], slot] = prints[first]
             here = place[first]
@@ -82,8 +82,8 @@ class CuckooFilter:
             place = np.concatenate([there, place[rest]])
             other = np.concatenate([here, other[rest]])
             prints = np.concatenate([out, prints[rest]])
-        grown = np.zeros((len(table), SLOTS * 2), np.uint16)
-        grown[:, :SLOTS] = table
+        grown = np.zeros((len(table), table.shape[1] * 2), np.uint16)
+        grown[:, : table.shape[1]] = table
         left = self._settle(grown, place, prints)
         while left.any():
             wider = np.zeros((len(grown), grown.shape[1] * 2), np.uint16)

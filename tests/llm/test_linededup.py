@@ -43,6 +43,30 @@ def result(index, spark, docs):
     return {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in rows}
 
 
+def test_keys_of_one_shard_fill_the_filter_evenly():
+    rng = np.random.default_rng(4)
+    h1, h2 = (rng.integers(0, 2**64, 3000, np.uint64) for _ in range(2))
+    h1 = h1 // np.uint64(1024) * np.uint64(1024) + np.uint64(7)
+    have = CuckooFilter(200)
+    for at in range(0, 3000, 150):
+        have.insert(h1[at : at + 150], h2[at : at + 150])
+        assert have.contains(h1[: at + 150], h2[: at + 150]).all()
+    assert all(t.shape[1] == 4 for t in have.tables)
+    assert sum(int(np.count_nonzero(t)) for t in have.tables) == 3000
+
+
+def test_a_widened_filter_takes_more_keys():
+    same = np.full(300, 5 << 32, np.uint64)
+    h2 = np.arange(300, dtype=np.uint64) * np.uint64(65535)  # one fingerprint for all: two buckets
+    have = CuckooFilter(2000)
+    for at in range(0, 300, 60):
+        have.insert(same[at : at + 60], h2[at : at + 60])
+        have = CuckooFilter.from_bytes(have.to_bytes())
+    assert have.contains(same, h2).all() and have.tables[0].shape[1] > 4
+    have.delete(same, h2)
+    assert not any(t.any() for t in have.tables)
+
+
 def test_a_corpus_comes_in_batches_that_ask_the_filters(spark, tmp_path):
     docs = make(random.Random(8), 60)
     rows = frame(spark, docs).unionByName(frame(spark, {3: docs[3], 4: docs[4]}))
