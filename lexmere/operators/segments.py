@@ -163,4 +163,4 @@ class GrowingIndex:
         once = written(forward.select("doc", "chunk_id").join(once, "doc").select("chunk_id", "lost"), "lost-tokens")
         chunks = self._live(manifest, "chunks").drop("doc")
         index = measured(chunks, manifest["n_docs"], self._options(manifest), merged.select("term", "df", "cf"))
-        return replace(index, forward=forward.drop("doc"), once=once)
+        return replace(index, forward=forward, once=once)

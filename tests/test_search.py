@@ -263,3 +263,42 @@ def test_norms_take_one_reading_and_one_shuffle_by_term(spark, monkeypatch):
         assert got[key][0] == dl and got[key][1] == pytest.approx(norm)
     plain = Corpus(texts)
     assert {k: v[0] for k, v in want.items()} == {k: v for k, v in plain.dl.items() if v}
+
+
+def test_a_saved_posting_is_a_number_and_a_count(spark, tmp_path, monkeypatch):
+    """What describes a chunk is kept once, not in each of its postings; folders of many
+    postings are dealt over several tasks, each with whole blocks."""
+    texts = corpus(5, 60)
+    index = build_index(frame(spark, texts))
+    questions = asked(spark, ("strict exogeneity", None), ("alpha gamma", "all"))
+    for name, bound in (("one", index_module.BUCKET_POSTINGS), ("more", 40)):
+        monkeypatch.setattr(index_module, "BUCKET_POSTINGS", bound)
+        save_index(index, str(tmp_path / name), buckets=4, range_chunks=8)
+        opened = load_index(spark, str(tmp_path / name))
+        assert opened.postings.schema["docs"].dataType.elementType.fieldNames() == ["doc", "tf"]
+        blocks = opened.postings.select("term", "range", "n", F.size("docs").alias("held"))
+        assert blocks.count() == blocks.select("term", "range").distinct().count()
+        assert blocks.filter("n <> held").isEmpty()
+        assert blocks.agg(F.sum("n")).first()[0] == index.n_postings
+        assert opened.chunk_lengths().orderBy("chunk_id").collect() == index.chunk_lengths().orderBy("chunk_id").collect()
+        for retriever in ("bm25", "tfidf"):
+            want = results(search(index, questions, retriever=retriever))
+            got = results(search(opened, questions, retriever=retriever))
+            for qid in want:
+                same(got[qid], want[qid])
+
+
+def test_statistics_are_hashed_not_sorted(spark):
+    index = build_index(frame(spark, corpus()))
+    shown = plan(terms_module.term_stats(terms_module.array_rows(index.forward), "doc"))
+    assert "HashAggregate" in shown and "SortAggregate" not in shown
+    assert dict(index.stats.dtypes)["only_doc"] == "bigint"
+
+
+def test_payload_reads_chunks_where_they_lie(spark):
+    """Neither spreading nor keying a small input is done again for payload."""
+    chunks = frame(spark, corpus()).coalesce(1)
+    assert "Exchange" not in plan(build_index(chunks).chunks)
+    twice = build_index(chunks.unionByName(chunks)).chunks
+    assert "Join" not in plan(twice) and "Window" not in plan(twice)
+    assert twice.select("chunk_id").distinct().count() == twice.count() == 80
