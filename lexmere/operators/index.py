@@ -54,6 +54,7 @@ class LexicalIndex:
     facts: DataFrame | None = None
     buckets: int = 0
     ranges: int = 0
+    narrow: bool = False  # `forward` holds some chunks only, see `narrowed`
 
     @property
     def avgdl(self) -> float:
@@ -201,6 +202,51 @@ class LexicalIndex:
         facts = rows.groupBy("chunk_id").agg(*sums).filter(F.col("square").isNotNull())
         return facts.select("chunk_id", "dl", F.sqrt("square").alias("norm"))
 
+    def norm_bounds(self) -> DataFrame:
+        """(doc, low, high): bounds of every chunk's L2 length, without moving a posting.
+
+        Frequent terms are broadcast, so their squares are exact. A tail term's document
+        frequency lies between the least one of the vocabulary and `head_floor`, which bounds
+        its idf on both sides. Terms of one document are taken out by the statistics, if those
+        name the document; otherwise the lower bound leaves the whole tail out.
+        """
+        low, high = self.df_bounds
+        floor = self.head_floor()
+        kept = (F.col("df") >= low) & (F.col("df") <= high)
+        head = self.stats.filter(F.col("df") > floor).select("term", "df")
+        rows = self.term_rows().select("doc", "term", "tf").join(F.broadcast(head), "term", "left")
+        square = F.pow(F.col("tf") * smooth_idf(F.col("df"), self.n_docs), 2)
+        own = F.pow("tf", 2)
+        sums = rows.groupBy("doc").agg(
+            F.coalesce(F.sum(F.when(kept, square)), F.lit(0.0)).alias("head"),
+            F.coalesce(F.sum(F.when(F.col("df").isNull(), own)), F.lit(0.0)).alias("tail"),
+        )
+        tail, sure = F.col("tail"), F.lit(0.0)
+        if low <= 1 and floor <= high:
+            sure = tail
+        elif low <= 2 and floor <= high and "only_doc" in self.stats.columns:
+            once = self.stats.filter("df = 1").groupBy(F.col("only_doc").alias("doc")).agg(F.sum(F.pow("cf", 2)).alias("lost"))
+            sums = sums.join(once, "doc", "left")
+            tail = sure = F.col("tail") - F.coalesce("lost", F.lit(0.0))
+        least = F.pow(smooth_idf(F.lit(float(floor)), self.n_docs), 2)
+        most = F.pow(smooth_idf(F.lit(float(max(low, 1))), self.n_docs), 2)
+        return sums.select("doc", F.sqrt(F.col("head") + sure * least).alias("low"), F.sqrt(F.col("head") + tail * most).alias("high"))
+
+    def narrowed(self, docs: DataFrame) -> LexicalIndex:
+        """The index with only the chunks that `docs` (doc), a written table, names; the
+        statistics are still those of all chunks."""
+        forward = self.forward.join(small(docs, at_most(docs)), "doc", "left_semi")
+        return replace(self, forward=written(forward, "narrowed-index", "zstd"), narrow=True)
+
+    def held_facts(self) -> DataFrame:
+        """`chunk_facts` of a narrowed index: its terms are looked up in the statistics."""
+        terms = written(self.term_rows().select("term").distinct(), "held-terms", "zstd")
+        vocabulary = self.vocabulary().select("term", "df").join(small(terms, at_most(terms)), "term", "left_semi")
+        df = written(vocabulary, "held-frequencies", "zstd")
+        rows = self.term_rows().select("chunk_id", "term", "tf").join(small(df, at_most(df)), "term")
+        square = F.pow(F.col("tf") * smooth_idf(F.col("df"), self.n_docs), 2)
+        return rows.groupBy("chunk_id").agg(F.sum("tf").cast("long").alias("dl"), F.sqrt(F.sum(square)).alias("norm"))
+
 
 def public_id(key: str = "chunk_id") -> Column:
     """The chunk id inside an internal key."""
@@ -255,7 +301,7 @@ def build_index(chunks: DataFrame, options: TermOptions = TermOptions()) -> Lexi
     # a written number: statistics name documents by it, since Spark sorts all rows to
     # aggregate a string and only hashes them for a number
     forward = written(arrays.withColumn("doc", F.monotonically_increasing_id()), "forward-index")
-    stats = written(term_stats(array_rows(forward), "doc"), "term-stats")
+    stats = written(term_stats(array_rows(forward), "doc"), "term-stats", "zstd")
     return replace(measured(chunks, n_docs, options, stats), forward=forward)
 
 

@@ -19,6 +19,7 @@ from lexmere.operators.index import LexicalIndex, public_id
 from lexmere.session import at_most, join_probe, small, written
 
 RETRIEVERS = ("bm25", "tfidf")
+BOUND_SLACK = 1e-8  # more than ranks tell apart and than sums of another order differ by
 
 
 def as_dictionary(spark, dictionary) -> DataFrame | None:
@@ -92,13 +93,39 @@ def _tfidf_hits(index: LexicalIndex, wanted: DataFrame, fits: bool) -> DataFrame
     if index.postings is not None:
         return index.stored_rows(wanted.select("term"), fits)
     found = join_probe(index.term_rows(), wanted.select("term"), "term", fits, by="chunk_id")
-    return found.join(index.chunk_facts(), "chunk_id").select(
-        "chunk_id", "topic", "norm", "term", "tf"
+    facts = index.held_facts() if index.narrow else index.chunk_facts()
+    return found.join(facts, "chunk_id").select("chunk_id", "topic", "norm", "term", "tf")
+
+
+def _contenders(index: LexicalIndex, wanted: DataFrame, weighted: DataFrame, fits: bool, k: int) -> DataFrame:
+    """(doc): every chunk that can be among the k best of a question, a written table.
+
+    A score lies between the dot product over the upper and over the lower bound of the
+    chunk's length; a chunk whose best case is below the k-th best worst case is out.
+    """
+    found = join_probe(index.term_rows(), wanted.select("term"), "term", fits, by="chunk_id")
+    met = join_probe(found, weighted, "term", fits, by="chunk_id").filter(
+        F.col("q_topic").isNull() | F.array_contains("topic", F.col("q_topic"))
+    )
+    dots = met.groupBy("doc", "qid").agg(F.sum(F.col("qw") * F.col("tf") * F.col("idf")).alias("dot"))
+    cases = dots.join(index.norm_bounds(), "doc").select(
+        "doc", "qid", (F.col("dot") / F.col("high")).alias("worst"), F.when(F.col("low") > 0, F.col("dot") / F.col("low")).alias("best")
+    )
+    cases = written(cases, "score-bounds", "zstd")
+    last = top_k(cases.select("qid", "worst"), ["qid"], [F.col("worst").desc()], k).filter(F.col("rank") == k)
+    last = written(last.select("qid", "worst"), "least-scores")
+    reached = cases.drop("worst").join(small(last, at_most(last)), "qid", "left").filter(
+        F.col("worst").isNull() | F.col("best").isNull() | (F.col("best") >= F.col("worst") - BOUND_SLACK)
     )
+    return written(reached.select("doc").distinct(), "contenders")
 
 
-def tfidf_scores(index: LexicalIndex, questions: DataFrame) -> DataFrame:
-    """(chunk_id, qid, score): cosine of L2-normalised tf * idf vectors."""
+def tfidf_scores(index: LexicalIndex, questions: DataFrame, k: int | None = None) -> DataFrame:
+    """(chunk_id, qid, score): cosine of L2-normalised tf * idf vectors.
+
+    With `k`, chunks that cannot be among a question's k best may be missing: where the
+    vocabulary is too large for a broadcast, exact lengths are worked out for the others only.
+    """
     terms = question_terms(questions, index)
     fits = at_most(terms)
     idf = smooth_idf(F.col("df"), index.n_docs)
@@ -111,6 +138,9 @@ def tfidf_scores(index: LexicalIndex, questions: DataFrame) -> DataFrame:
     weighted = weighted.join(q_norm, "qid").select(
         "qid", "q_topic", "term", "idf", (F.col("qw") / F.col("q_norm")).alias("qw")
     )
+    if k is not None and index.postings is None and index.head_floor() > 0:
+        wanted, weighted = written(wanted, "wanted-terms"), written(weighted, "question-weights")
+        index = index.narrowed(_contenders(index, wanted, weighted, fits, k))
     value = F.col("qw") * F.col("tf") * F.col("idf") / F.col("norm")
     return _pair_scores(_tfidf_hits(index, wanted, fits), weighted, fits, value)
 
@@ -139,7 +169,7 @@ def search(
     if retriever == "bm25":
         scores = bm25_scores(index, asked, k1=k1, b=b)
     else:
-        scores = tfidf_scores(index, asked)
+        scores = tfidf_scores(index, asked, top_k_)
     ranked = top_k(scores, ["qid"], by_score("score", "chunk_id"), top_k_)
     return ranked.select("qid", "rank", "score", public_id().alias("chunk_id"), F.col("chunk_id").alias("doc_key"))
 

@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -302,3 +303,29 @@ def test_payload_reads_chunks_where_they_lie(spark):
     twice = build_index(chunks.unionByName(chunks)).chunks
     assert "Join" not in plan(twice) and "Window" not in plan(twice)
     assert twice.select("chunk_id").distinct().count() == twice.count() == 80
+
+
+def test_cosine_search_works_out_few_exact_norms(spark, monkeypatch):
+    """A tail too long for a broadcast: bounds hold, and only contenders get exact norms."""
+    texts = corpus(11, 120) | {"once": "solitary unheard word", "pair": "solitary strict panel", "blank": ""}
+    plain = Corpus(texts)
+    index = build_index(frame(spark, texts))
+    questions = asked(spark, *[(q, None) for q in QUERIES])
+    norms = {r.doc: r.norm for r in index.forward.select("doc", "chunk_id").join(index.chunk_facts(), "chunk_id").collect()}
+    monkeypatch.setattr(index_module, "BROADCAST_ROWS", index.n_vocabulary - 1)
+    assert index.head_floor() > 0
+    bounds = {r.doc: (r.low, r.high) for r in index.norm_bounds().collect()}
+    assert all(bounds[d][0] - 1e-9 <= norm <= bounds[d][1] + 1e-9 for d, norm in norms.items())
+    assert any(low > 0 for low, _ in bounds.values())
+
+    def whole(self):
+        raise AssertionError("norms of all chunks")
+
+    monkeypatch.setattr(index_module.LexicalIndex, "chunk_facts", whole)
+    got = results(search(index, questions, retriever="tfidf", top_k_=3))
+    for i, q in enumerate(QUERIES):
+        same(got.get(i, []), ranked(plain.cosine(q), 3))
+    unnamed = replace(index, stats=index.stats.drop("only_doc"))  # as in a growing index
+    again = results(search(unnamed, questions, retriever="tfidf", top_k_=3))
+    for qid in got:
+        same(again[qid], got[qid])
