@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmere.session import at_most, small, written
+
 GRAM = 4
 DICTIONARY_SCHEMA = "key_pos long, key string, val_pos long, value string"
 
@@ -37,7 +39,8 @@ def matched_keys(questions: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(qid, key): the keys that are substrings of the lower-cased question.
 
     Questions and keys meet on one rare gram of the key, so that a dictionary of any size is
-    one equi-join of short rows; then the whole key is looked for.
+    one equi-join of short rows; then the whole key is looked for. Keys whose first or last
+    characters no question holds are dropped before anything is shuffled. A written table.
     """
     lowered = questions.select("qid", F.lower("question").alias("_q"))
     # every substring of up to GRAM characters, the empty one included
@@ -52,8 +55,13 @@ def matched_keys(questions: DataFrame, dictionary: DataFrame) -> DataFrame:
         )
     )
     pieces = lowered.select("qid", "_q", F.explode_outer(grams).alias("gram"))
-    keys = _rare_grams(dictionary.select("key").distinct())
-    return pieces.join(keys, "gram").filter(F.contains("_q", "key")).select("qid", "key")
+    asked = written(pieces.select("gram").distinct(), "question-grams")
+    fits = at_most(asked)
+    keys = dictionary.select("key")
+    for end in (F.left("key", F.lit(GRAM)), F.right("key", F.lit(GRAM))):
+        keys = keys.withColumn("_end", end).join(small(asked.withColumnRenamed("gram", "_end"), fits), "_end", "left_semi").drop("_end")
+    keys = _rare_grams(written(keys.distinct(), "near-keys"))
+    return written(pieces.join(keys, "gram").filter(F.contains("_q", "key")).select("qid", "key"), "matched-keys")
 
 
 def expand_questions(questions: DataFrame, dictionary: DataFrame | None) -> DataFrame:
@@ -64,9 +72,9 @@ def expand_questions(questions: DataFrame, dictionary: DataFrame | None) -> Data
     if dictionary is None:
         return questions.withColumn("expanded", F.col("question"))
     first = Window.partitionBy("qid", F.lower("value")).orderBy("key_pos", "val_pos")
+    matched = matched_keys(questions, dictionary)
     phrases = (
-        matched_keys(questions, dictionary)
-        .join(dictionary, "key")
+        dictionary.join(small(matched, at_most(matched)), "key")
         .withColumn("_n", F.row_number().over(first))
         .filter("_n = 1")
         .groupBy("qid")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmere.functions.fixed import DEFAULT_EXPANSIONS
-from lexmere.operators import context, evaluate, rerank
+from lexmere.operators import context, evaluate, expansion, rerank
 from lexmere.operators.expansion import dictionary_table, expand_questions
 from lexmere.operators.index import build_index
 from lexmere.plans.ask import fill_answers, make_prompts, retrieve, run_report
@@ -203,3 +203,14 @@ def test_older_modes_and_outline(spark):
     assert "score=" in shown["prompt"] and "w=" not in shown["prompt"]
     with pytest.raises(ValueError, match="unknown mode"):
         run_report(build_index(rows), asked, mode="other")
+
+
+def test_keys_far_from_every_question_are_dropped_first(spark, monkeypatch):
+    words = {f"zz{i} qq{i}": [f"v{i}"] for i in range(500)} | {"kl": ["KL"], "": ["none"], "panel data": ["PD"], "data panel": ["DP"]}
+    seen = []
+    whole = expansion._rare_grams
+    monkeypatch.setattr(expansion, "_rare_grams", lambda keys: seen.append(keys.count()) or whole(keys))
+    asked = spark.createDataFrame([(0, "Panel data and KL"), (1, "nothing"), (2, None), (3, "")], "qid long, question string")
+    got = {r.qid: r.expanded for r in expand_questions(asked, dictionary_table(spark, words)).collect()}
+    assert got == {0: "Panel data and KL KL none PD", 1: "nothing none", 2: "", 3: " none"}
+    assert seen[0] <= 4
