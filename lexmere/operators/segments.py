@@ -29,6 +29,8 @@ from lexmere.session import at_most, small, written
 
 DOC_BITS = 40  # a document number is its segment's number and its place in the segment
 
+MERGED_ROWS = 2_000_000  # statistics rows that one task merges, on average
+
 
 def _stats(forward: DataFrame, sign: int = 1) -> DataFrame:
     """(term, df, cf, docs) of a forward index; with sign -1, what its removal changes."""
@@ -80,7 +82,9 @@ class GrowingIndex:
         parts = self._read(manifest["segments"] + manifest["tombstones"], "stats")
         if parts is None:
             return None
-        merged = parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.bit_xor("docs").alias("docs"))
+        # segments have few terms in common: rows are dealt as they are, in tasks of a bounded number
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-parts.count() // MERGED_ROWS))
+        merged = parts.repartition(tasks, "term").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.bit_xor("docs").alias("docs"))
         return merged.filter(F.col("df") > 0)
 
     # ---- changes ----
