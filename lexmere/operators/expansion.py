@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmere.session import at_most, small, written
 
 GRAM = 4
+END = 8  # characters of a key's ends by which most keys are told from all questions
 DICTIONARY_SCHEMA = "key_pos long, key string, val_pos long, value string"
 
 
@@ -35,6 +36,16 @@ def _rare_grams(keys: DataFrame) -> DataFrame:
     return counted.groupBy("key").agg(F.min(F.struct("n", "gram")).alias("g")).select("key", "g.gram")
 
 
+def _substrings(text: str, longest: int) -> Column:
+    """array<string>: every different substring of up to `longest` characters, the empty one included."""
+    size = F.length(text)
+    at_n = F.transform(
+        F.sequence(F.lit(0), F.lit(longest)),
+        lambda n: F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda at: F.substring(F.col(text), at, n)),
+    )
+    return F.array_distinct(F.flatten(at_n))
+
+
 def matched_keys(questions: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(qid, key): the keys that are substrings of the lower-cased question.
 
@@ -43,23 +54,12 @@ def matched_keys(questions: DataFrame, dictionary: DataFrame) -> DataFrame:
     characters no question holds are dropped before anything is shuffled. A written table.
     """
     lowered = questions.select("qid", F.lower("question").alias("_q"))
-    # every substring of up to GRAM characters, the empty one included
-    grams = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(GRAM)),
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length("_q") - n + 1, F.lit(1))), lambda at: F.substring(F.col("_q"), at, n)
-                ),
-            )
-        )
-    )
-    pieces = lowered.select("qid", "_q", F.explode_outer(grams).alias("gram"))
-    asked = written(pieces.select("gram").distinct(), "question-grams")
-    fits = at_most(asked)
+    pieces = lowered.select("qid", "_q", F.explode_outer(_substrings("_q", GRAM)).alias("gram"))
+    ends = written(lowered.select(F.explode_outer(_substrings("_q", END)).alias("_end")).distinct(), "question-ends")
+    fits = at_most(ends)
     keys = dictionary.select("key")
-    for end in (F.left("key", F.lit(GRAM)), F.right("key", F.lit(GRAM))):
-        keys = keys.withColumn("_end", end).join(small(asked.withColumnRenamed("gram", "_end"), fits), "_end", "left_semi").drop("_end")
+    for end in (F.left("key", F.lit(END)), F.right("key", F.lit(END))):
+        keys = keys.withColumn("_end", end).join(small(ends, fits), "_end", "left_semi").drop("_end")
     keys = _rare_grams(written(keys.distinct(), "near-keys"))
     return written(pieces.join(keys, "gram").filter(F.contains("_q", "key")).select("qid", "key"), "matched-keys")
 

@@ -206,7 +206,7 @@ def test_older_modes_and_outline(spark):
 
 
 def test_keys_far_from_every_question_are_dropped_first(spark, monkeypatch):
-    words = {f"zz{i} qq{i}": [f"v{i}"] for i in range(500)} | {"kl": ["KL"], "": ["none"], "panel data": ["PD"], "data panel": ["DP"]}
+    words = {f"zz{i} qq{i}": [f"v{i}"] for i in range(500)} | {f"panel d{i} data and kl": [f"w{i}"] for i in range(50)} | {"kl": ["KL"], "": ["none"], "panel data": ["PD"], "data panel": ["DP"]}
     seen = []
     whole = expansion._rare_grams
     monkeypatch.setattr(expansion, "_rare_grams", lambda keys: seen.append(keys.count()) or whole(keys))
