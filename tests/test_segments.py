@@ -1,14 +1,17 @@
 """A growing index answers like one built over the rows it holds."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from lexmere.operators import segments
 from lexmere.operators.index import build_index, load_index, save_index
 from lexmere.operators.ranking import numbered
 from lexmere.operators.search import search
 from lexmere.operators.segments import GrowingIndex
 from lexmere.operators.terms import TermOptions
-from tests.test_search import QUERIES, asked, corpus, frame, results, same
+from tests.test_search import QUERIES, asked, corpus, frame, plan, results, same
 
 QUESTIONS = [(q, None) for q in QUERIES] + [("alpha beta", "odd")]
 
@@ -93,3 +96,17 @@ def test_numbers_follow_the_order(spark):
     rows = shown.orderBy("n").collect()
     assert [r["n"] for r in rows] == list(range(1000))
     assert [r["v"] for r in rows] == sorted((r["v"] for r in rows), reverse=True)
+
+
+def test_more_statistics_are_merged_in_more_tasks(spark, tmp_path, monkeypatch):
+    texts = corpus(32, 20)
+    growing = GrowingIndex.create(spark, str(tmp_path / "index"))
+    growing.append(frame(spark, texts))
+    growing.append(frame(spark, {f"{k}b": t for k, t in texts.items()}))
+    monkeypatch.setattr(segments, "MERGED_ROWS", 10)
+    manifest = growing.manifest()
+    rows = growing._read(manifest["segments"], "stats").count()
+    merged = growing._merged(manifest)
+    tasks = re.search(r"hashpartitioning\(term#\d+, (\d+)\), REPARTITION_BY_NUM", plan(merged))
+    assert rows > 100 and int(tasks[1]) == -(-rows // 10)
+    assert 2 * merged.count() == rows and merged.filter("df % 2 <> 0").isEmpty()
