@@ -1,8 +1,9 @@
 """The lexical index: texts become terms once, and every search uses that.
 
-Building writes a forward index, one row of counted terms per chunk, and the corpus
-statistics over it. Searches, vector lengths and the saved index read the forward index;
-no text is split a second time. The saved index holds postings in blocks: all postings of
+Building counts the corpus statistics and writes a forward index, one row of counted terms
+per chunk. Searches, vector lengths and the saved index read the forward index; no text is
+split by them. For one batch of BM25 questions the forward index costs more than it saves:
+without it, the texts are counted once more for the terms that are asked. The saved index holds postings in blocks: all postings of
 one term in one range of chunks, with the largest count and smallest length among them.
 A posting is a chunk's number and a count; the rest of a chunk is kept once, in `facts`.
 """
@@ -16,12 +17,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmere.operators.terms import TermOptions, array_rows, smooth_idf, term_arrays, term_stats
+from lexmere.operators.counting import asked_rows, text_stats
+from lexmere.operators.terms import TermOptions, array_rows, smooth_idf, term_arrays
 from lexmere.session import BROADCAST_ROWS, at_most, join_probe, small, spread, written
 
 POSTING_BUCKETS = 256
 CHUNK_FOLDERS = 64
 PUSHED = 2000
+ASKED_TERMS = 100_000  # terms that go to every task as a list
 RANGE_CHUNKS = 128  # chunks of a range, on average
 BUCKET_POSTINGS = 4_000_000  # a folder's postings that one task sorts, on average
 FORMAT = 5
@@ -35,8 +38,9 @@ class LexicalIndex:
     chunks: (chunk_id, text, topic array<string>, ...), skipped chunks already out.
     stats: (term, df, cf, only_doc) for every term, a written table.
     The scalars come from one aggregate over `stats`.
-    forward: (chunk_id, doc, topic, n_terms, counts), a written table, `doc` a number that
-    tells chunks apart; a saved index has `postings` and `facts` (chunk_id, doc, topic, dl,
+    texts: (chunk_id, doc, topic, text), a written table, `doc` a number that tells chunks apart.
+    forward: (chunk_id, doc, topic, n_terms, counts), a written table, or None where the index
+    was built without it; a saved index has `postings` and `facts` (chunk_id, doc, topic, dl,
     norm) in its place.
     """
 
@@ -48,6 +52,7 @@ class LexicalIndex:
     n_vocabulary: int
     n_postings: int
     n_too_common: int
+    texts: DataFrame | None = None
     forward: DataFrame | None = None
     once: DataFrame | None = None  # (chunk_id, lost) where `stats` has no only_doc
     postings: DataFrame | None = None
@@ -82,15 +87,29 @@ class LexicalIndex:
         return self.n_postings / BROADCAST_ROWS
 
     def term_arrays(self) -> DataFrame:
-        """(chunk_id, topic, n_terms, counts) for every chunk; `doc` too in a forward index."""
+        """(chunk_id, topic, n_terms, counts) for every chunk; `doc` too in a built index."""
         if self.forward is not None:
             return self.forward
+        if self.texts is not None:
+            return term_arrays(self.texts, "text", self.options, [c for c in self.texts.columns if c != "text"])
         return term_arrays(self.chunks, "text", self.options, ["chunk_id", "topic"])
 
     def term_rows(self) -> DataFrame:
         """(chunk_id, topic, n_terms, term, tf) for every chunk."""
         return array_rows(self.term_arrays())
 
+    def asked_rows(self, wanted: DataFrame, fits: bool) -> DataFrame:
+        """The term rows of the wanted terms only.
+
+        Without a forward index the texts are counted for up to ASKED_TERMS terms, which go
+        to the tasks as a list.
+        """
+        if self.forward is None and self.texts is not None:
+            listed = [r["term"] for r in wanted.select("term").limit(ASKED_TERMS + 1).collect()]
+            if len(listed) <= ASKED_TERMS:
+                return asked_rows(self.texts, "text", self.options, [c for c in self.texts.columns if c != "text"], listed)
+        return join_probe(self.term_rows(), wanted.select("term"), "term", fits, by="chunk_id")
+
     def stored_blocks(self, wanted: DataFrame, fits: bool) -> DataFrame:
         """Saved blocks of the wanted terms.
 
@@ -129,7 +148,8 @@ class LexicalIndex:
         if self.once is not None:
             return self.once
         once = self.stats.filter("df = 1").groupBy(F.col("only_doc").alias("doc")).agg(F.sum("cf").alias("lost"))
-        return self.forward.select("doc", "chunk_id").join(once, "doc").select("chunk_id", "lost")
+        named = self.texts if self.forward is None else self.forward
+        return named.select("doc", "chunk_id").join(once, "doc").select("chunk_id", "lost")
 
     def dropped_tokens(self) -> DataFrame:
         """(chunk_id, lost): tokens of each chunk whose term is not in the vocabulary.
@@ -147,7 +167,7 @@ class LexicalIndex:
             lost = lost.unionByName(more.select("chunk_id", row_lost))
         if self.n_too_common:
             common = self.too_common().filter((F.col("df") > 1) | (F.lit(1) >= low)).select("term")
-            more = self.term_rows().join(small(common, self.n_too_common <= BROADCAST_ROWS), "term")
+            more = self.asked_rows(common, self.n_too_common <= BROADCAST_ROWS)
             lost = lost.unionByName(more.select("chunk_id", row_lost))
         return lost.groupBy("chunk_id").agg(F.sum("lost").alias("lost"))
 
@@ -288,21 +308,24 @@ def _keyed(chunks: DataFrame) -> DataFrame:
     return written(rest.unionByName(longer_rows), "numbered-chunks")
 
 
-def build_index(chunks: DataFrame, options: TermOptions = TermOptions()) -> LexicalIndex:
-    """Index `chunks` (chunk_id, text, topic, ...): texts are split once, statistics take one shuffle.
+def build_index(chunks: DataFrame, options: TermOptions = TermOptions(), forward: bool = True) -> LexicalIndex:
+    """Index `chunks` (chunk_id, text, topic, ...): statistics take one shuffle.
 
     `chunks` is read again for payload, so it should be a stored table. Chunk ids may
     repeat (files of one name in two folders): chunks are told apart by an internal key.
+    `forward=False` is meant for one batch of BM25 questions; every search works without
+    a forward index, but each then counts texts again.
     """
     n_docs = chunks.count()
     chunks = _keyed(chunks)
     keep = [c for c in ("chunk_id", "topic") if c in chunks.columns]
-    arrays = term_arrays(spread(chunks, "chunk_id"), "text", options, keep)
     # a written number: statistics name documents by it, since Spark sorts all rows to
     # aggregate a string and only hashes them for a number
-    forward = written(arrays.withColumn("doc", F.monotonically_increasing_id()), "forward-index")
-    stats = written(term_stats(array_rows(forward), "doc"), "term-stats", "zstd")
-    return replace(measured(chunks, n_docs, options, stats), forward=forward)
+    numbered = spread(chunks, "chunk_id").select(*keep, F.monotonically_increasing_id().alias("doc"), "text")
+    texts = written(numbered, "numbered-texts", "zstd")
+    stats = written(text_stats(texts, "text", options), "term-stats", "zstd")
+    index = replace(measured(chunks, n_docs, options, stats), texts=texts)
+    return replace(index, forward=written(index.term_arrays(), "forward-index")) if forward else index
 
 
 def measured(

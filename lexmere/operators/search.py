@@ -61,7 +61,7 @@ def _bm25_hits(index: LexicalIndex, wanted: DataFrame, fits: bool) -> DataFrame:
     """(chunk_id, topic, dl, term, tf) of the wanted terms, in-vocabulary length included."""
     if index.postings is not None:
         return index.stored_rows(wanted.select("term"), fits)
-    found = join_probe(index.term_rows(), wanted.select("term"), "term", fits, by="chunk_id")
+    found = index.asked_rows(wanted, fits)
     dl = F.col("n_terms") - F.coalesce("lost", F.lit(0))
     return found.join(index.dropped_tokens(), "chunk_id", "left").select(
         "chunk_id", "topic", dl.alias("dl"), "term", "tf"
@@ -74,7 +74,7 @@ def bm25_weights(index: LexicalIndex, questions: DataFrame) -> tuple[DataFrame,
     terms = question_terms(questions, index)
     fits = at_most(terms)
     idf = bm25_idf(F.col("df"), index.n_docs)
-    wanted = _wanted(index, terms, fits).select("term", idf.alias("idf"))
+    wanted = written(_wanted(index, terms, fits).select("term", idf.alias("idf")), "wanted-terms")
     return terms.join(small(wanted, fits), "term").select("qid", "q_topic", "term", "idf"), wanted, fits
 
 

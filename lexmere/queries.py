@@ -126,8 +126,13 @@ def corpus_dictionary(index: LexicalIndex) -> DataFrame:
     return written(both, "dictionary")
 
 
-def doc_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
-    return build_index(doc_chunks(spark, sf_dir))
+def doc_index(spark: SparkSession, sf_dir: str, forward: bool = True) -> LexicalIndex:
+    return build_index(doc_chunks(spark, sf_dir), forward=forward)
+
+
+def once_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    """For statistics and one batch of BM25 questions."""
+    return doc_index(spark, sf_dir, forward=False)
 
 
 def _ranked(found: DataFrame) -> DataFrame:
@@ -136,7 +141,7 @@ def _ranked(found: DataFrame) -> DataFrame:
 
 def _results(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
     """BM25 results with payload."""
-    index = doc_index(spark, sf_dir)
+    index = once_index(spark, sf_dir)
     found = search(index, questions(spark, sf_dir), top_k_=k)
     return written(context.with_payload(found, index.chunks), "results")
 
@@ -151,7 +156,7 @@ def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = doc_index(spark, sf_dir)
+    index = once_index(spark, sf_dir)
     return index.vocabulary().select(
         "term",
         "df",
@@ -170,11 +175,11 @@ def chunk_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(search(doc_index(spark, sf_dir), questions(spark, sf_dir)))
+    return _ranked(search(once_index(spark, sf_dir), questions(spark, sf_dir)))
 
 
 def bm25_topk_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(search(doc_index(spark, sf_dir), questions(spark, sf_dir, by_topic=True)))
+    return _ranked(search(once_index(spark, sf_dir), questions(spark, sf_dir, by_topic=True)))
 
 
 def _saved(spark: SparkSession, sf_dir: str) -> LexicalIndex:
@@ -224,7 +229,7 @@ def bm25_equal_question_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(shared.alias("id"), F.col("text").alias("question"), item)
     asked.write.json(path)
     asked = read_questions(spark, path, extra="item_id long")
-    found = search(doc_index(spark, sf_dir), asked)
+    found = search(once_index(spark, sf_dir), asked)
     both = found.join(asked.select("qid", "id", "item_id"), "qid")
     return both.select("item_id", "id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
@@ -240,7 +245,7 @@ def bm25_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Notes in "), "lang").alias("title"),
         page.alias("page"),
     )
-    index = build_index(chunks)
+    index = build_index(chunks, forward=False)
     found = context.with_payload(search(index, questions(spark, sf_dir)), index.chunks)
     return found.select("qid", "rank", "chunk_id", "page", F.round("score", 6).alias("score"))
 
@@ -256,13 +261,13 @@ def tfidf_topk_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = corpus_dictionary(doc_index(spark, sf_dir))
+    words = corpus_dictionary(once_index(spark, sf_dir))
     return expand_questions(questions(spark, sf_dir), words).select("qid", "expanded")
 
 
 def query_expansion_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vocabulary bigram as a dictionary key."""
-    pairs = doc_index(spark, sf_dir).vocabulary().filter(F.col("term").contains(" ")).select("term")
+    pairs = once_index(spark, sf_dir).vocabulary().filter(F.col("term").contains(" ")).select("term")
     words = numbered(pairs, "key_pos", [F.col("term")]).select(
         "key_pos", F.col("term").alias("key"), F.lit(0).cast("long").alias("val_pos"), F.replace("term", F.lit(" "), F.lit("_")).alias("value")
     )
@@ -271,12 +276,12 @@ def query_expansion_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_other_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Other weights, a higher least document frequency, no stop list, single words only."""
-    index = build_index(doc_chunks(spark, sf_dir), TermOptions(stop_words=None, ngram_range=(1, 1), min_df=3))
+    index = build_index(doc_chunks(spark, sf_dir), TermOptions(stop_words=None, ngram_range=(1, 1), min_df=3), forward=False)
     return _ranked(search(index, questions(spark, sf_dir), k1=0.9, b=0.4))
 
 
 def bm25_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = doc_index(spark, sf_dir)
+    index = once_index(spark, sf_dir)
     words = corpus_dictionary(index)
     return _ranked(search(index, questions(spark, sf_dir), dictionary=words))
 
@@ -333,7 +338,7 @@ def chunk_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_over_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = written(chunking.chunk_pages(doc_pages(spark, sf_dir)), "chunks")
-    index = build_index(chunking.indexable(chunks))
+    index = build_index(chunking.indexable(chunks), forward=False)
     return _ranked(search(index, questions(spark, sf_dir, by_topic=True)))
 
 
@@ -395,7 +400,7 @@ def chunk_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search(doc_index(spark, sf_dir), questions(spark, sf_dir))
+    found = search(once_index(spark, sf_dir), questions(spark, sf_dir))
     ratio = context.weights(found).withColumnRenamed("w", "w_ratio")
     both = context.weights(ratio, "softmax", 2.0).withColumnRenamed("w", "w_softmax")
     return both.select(
@@ -432,7 +437,7 @@ def flat_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = make_prompts(doc_index(spark, sf_dir), questions(spark, sf_dir, by_topic=True), dictionary=None)
+    made = make_prompts(once_index(spark, sf_dir), questions(spark, sf_dir, by_topic=True), dictionary=None)
     return made.select("qid", "topic", "prompt", F.to_json("prompt_meta").alias("prompt_meta"))
 
 
@@ -454,7 +459,7 @@ def older_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outline_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = doc_index(spark, sf_dir)
+    index = once_index(spark, sf_dir)
     return fill_answers(index, questions(spark, sf_dir), dictionary=None).select("qid", "answer")
 
 
@@ -477,12 +482,12 @@ def draft_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = run_report(doc_index(spark, sf_dir), questions(spark, sf_dir), dictionary=None)
+    made = run_report(once_index(spark, sf_dir), questions(spark, sf_dir), dictionary=None)
     return made.select("qid", "evidence", "draft", "prompt")
 
 
 def rerank_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = search(doc_index(spark, sf_dir), questions(spark, sf_dir), top_k_=30)
+    pool = search(once_index(spark, sf_dir), questions(spark, sf_dir), top_k_=30)
     return _ranked(rerank.identity(pool, questions(spark, sf_dir), 8))
 
 
