@@ -61,7 +61,7 @@ def test_ordered_terms_are_those_of_the_expressions():
     texts = [" ".join(rng.choice("aa bb cc dd".split()) for _ in range(rng.randint(0, 9))) for _ in range(40)]
     inside = np.zeros(counting.CODE_POINTS, bool)
     inside[ord("a") : ord("z") + 1] = True
-    words = counting._Batch(pa.array(texts), inside, pa.array(["dd"]))
+    words = counting.Batch(pa.array(texts), inside, pa.array(["dd"]))
     got = {}
     for terms, hashes, n, place, count in words.ordered(1, 3, np.arange(40)[::-1].copy(), 40):
         row = np.repeat(np.arange(len(terms)), n)
