@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lexmere.functions.text import NOT_WORD
-from lexmere.operators.packed import PACKED, groups_of, joined_hash, pack, word_hashes
+from lexmere.operators.packed import PACKED, grouped, groups_of, joined_hash, pack, sliced, word_hashes
 from lexmere.operators.terms import TermOptions
 
 CHUNK = 8 << 20  # bytes of text counted together, unless one text is longer
 OUT_ROWS = 200_000
+STATS_ROWS = 1_000_000  # statistics rows that are packed together
 LIST_CHUNK = 32 << 20  # the same where terms are packed: fewer terms come twice in larger batches
 CODE_POINTS = 0x110000
 
@@ -278,6 +279,71 @@ def posting_lists(docs: DataFrame, text: str, options: TermOptions, folders: int
     return docs.select("doc", _source(text, options)).mapInArrow(count, PACKED)
 
 
+STATS = "term string, df long, cf long, docs long"
+
+
+def stats_table(terms: pa.StringArray, df: np.ndarray, cf: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([terms, pa.array(df.astype(np.int64)), pa.array(cf.astype(np.int64)), pa.array(docs)], names=["term", "df", "cf", "docs"])
+
+
+def packed_stats(docs: DataFrame, text: str, options: TermOptions, groups: int, sign: int = 1) -> DataFrame:
+    """Packed (term, df, cf, docs) of (doc, `text`), `docs` being the exclusive or of the
+    documents; with sign -1, what their removal changes."""
+    inside, drop = word_characters(docs.sparkSession), options.words_to_drop()
+    low, high = _range(options)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(np.frombuffer(inside, np.uint8)).astype(bool)
+        dropped = pa.array(drop, pa.string())
+        for part in gathered(batches, LIST_CHUNK):
+            words, doc = Batch(part["text"], table, dropped), part["doc"].to_numpy()
+            for texts, _, n, row, tf in words.ordered(low, high, np.arange(len(doc)), len(doc)):
+                if len(texts):
+                    first = np.cumsum(n) - n
+                    held = stats_table(texts, sign * n, sign * np.add.reduceat(tf, first), np.bitwise_xor.reduceat(doc[row], first))
+                    yield from pack(held, 0, groups_of(word_hashes(texts), groups), groups)
+
+    return docs.select("doc", _source(text, options)).mapInArrow(count, PACKED)
+
+
+def repacked_stats(stats: DataFrame, groups: int) -> DataFrame:
+    """Rows of STATS as packed tables."""
+
+    def repack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in _ended(batches):
+            if batch is not None:
+                held.append(batch)
+                rows += len(batch)
+            if held and (batch is None or rows >= STATS_ROWS):
+                whole = pa.concat_batches(held)
+                yield from pack(whole, 0, groups_of(word_hashes(whole["term"]), groups), groups)
+                held, rows = [], 0
+
+    return stats.select("term", "df", "cf", "docs").mapInArrow(repack, PACKED)
+
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def merged_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of STATS for each term of packed tables that lie group by group."""
+    for _, tables in grouped(batches):
+        held = pa.concat_batches([t for _, t in tables])
+        coded = held["term"].dictionary_encode()
+        sorted_ = pc.sort_indices(coded.dictionary)  # packs well
+        rank = np.empty(len(sorted_), np.int64)
+        rank[sorted_.to_numpy()] = np.arange(len(sorted_))
+        code = rank[coded.indices.to_numpy()]
+        order = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.diff(code[order], prepend=-1))
+        sums = (np.add.reduceat(held[c].to_numpy()[order], first) for c in ("df", "cf"))
+        merged = stats_table(coded.dictionary.take(sorted_), *sums, np.bitwise_xor.reduceat(held["docs"].to_numpy()[order], first))
+        yield from sliced(dict(zip(merged.schema.names, merged.columns)))
+
+
 def _range(options: TermOptions) -> tuple[int, int]:
     low, high = options.ngram_range
     if not 1 <= low <= high:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 PACKED = "group int, base long, data binary"
 OUT_ROWS = 100_000
-_ZSTD = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))
+_ZSTD = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
 
 
 def word_hashes(words: pa.StringArray) -> np.ndarray:

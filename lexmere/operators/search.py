@@ -9,6 +9,8 @@ Each task then keeps its own best k chunks per question before the last shuffle.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,6 +146,8 @@ def tfidf_scores(index: LexicalIndex, questions: DataFrame, k: int | None = None
     With `k`, chunks that cannot be among a question's k best may be missing: where the
     vocabulary is too large for a broadcast, exact lengths are worked out for the others only.
     """
+    if index.postings is None and index.forward is None and index.texts is not None:
+        index = replace(index, forward=written(index.term_arrays(), "forward-index"))  # read several times
     terms = question_terms(questions, index)
     fits = at_most(terms)
     idf = smooth_idf(F.col("df"), index.n_docs)

@@ -1,7 +1,8 @@
 """A lexical index that grows: immutable segments, tombstones, mergeable statistics.
 
-An append writes a segment: its chunks, its forward index and its own statistics. A delete
-writes tombstones and statistics with the opposite sign. Counts add up, and the one document
+An append writes a segment: its chunks and its own statistics. A BM25 search counts the live
+texts for the terms that are asked; a TF-IDF search makes the forward index that it needs. A
+delete writes tombstones and statistics with the opposite sign. Counts add up, and the one document
 of a term seen once is kept as the exclusive or of document numbers, which adding and
 removing a document change alike; so statistics of any history merge without its texts.
 
@@ -22,21 +23,26 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmere.operators.counting import STATS, merged_stats, packed_stats, repacked_stats
 from lexmere.operators.index import KEY_END, LexicalIndex, measured, public_id
-from lexmere.operators.ranking import numbered
-from lexmere.operators.terms import TermOptions, array_rows, term_arrays
+from lexmere.operators.terms import TermOptions
 from lexmere.session import at_most, small, written
 
-DOC_BITS = 40  # a document number is its segment's number and its place in the segment
+# A document number is the number of a part that was ever written, and the place in that part
+# as Spark's monotonically_increasing_id gives it.
+PART_BITS = 33
+OLDER_BITS = 40  # before, it was the version and the place in the segment
 
 MERGED_ROWS = 2_000_000  # statistics rows that one task merges, on average
+MERGED_BYTES = 20_000_000  # the same in bytes of text
+GROUPS = 4  # groups of terms for each task that merges them
 
 
-def _stats(forward: DataFrame, sign: int = 1) -> DataFrame:
-    """(term, df, cf, docs) of a forward index; with sign -1, what its removal changes."""
-    return array_rows(forward).groupBy("term").agg(
-        (sign * F.count("*")).alias("df"), (sign * F.sum("tf")).cast("long").alias("cf"), F.bit_xor("doc").alias("docs")
-    )
+def _merge(packed: DataFrame, tasks: int) -> DataFrame:
+    """(term, df, cf, docs) of packed statistics. Terms are dealt in groups by their hash: a
+    packed row stands for the terms of one group."""
+    dealt = packed.select(F.col("group").alias("term"), "base", "data").repartition(tasks, "term").sortWithinPartitions("term")
+    return dealt.withColumnRenamed("term", "group").mapInArrow(merged_stats, STATS)
 
 
 class GrowingIndex:
@@ -82,10 +88,16 @@ class GrowingIndex:
         parts = self._read(manifest["segments"] + manifest["tombstones"], "stats")
         if parts is None:
             return None
-        # segments have few terms in common: rows are dealt as they are, in tasks of a bounded number
+        # segments have few terms in common: rows are dealt packed, in tasks of a bounded number
         tasks = max(self.spark.sparkContext.defaultParallelism, -(-parts.count() // MERGED_ROWS))
-        merged = parts.repartition(tasks, "term").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.bit_xor("docs").alias("docs"))
-        return merged.filter(F.col("df") > 0)
+        return _merge(repacked_stats(parts, tasks * GROUPS), tasks).filter(F.col("df") > 0)
+
+    def _write_stats(self, rows: DataFrame, name: str, options: TermOptions, sign: int = 1) -> None:
+        """The statistics of `rows` (doc, text, ...), counted in one reading."""
+        n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-n_bytes // MERGED_BYTES))
+        stats = _merge(packed_stats(rows, "text", options, tasks * GROUPS, sign), tasks)
+        stats.write.option("compression", "zstd").parquet(f"{self.path}/{name}/stats")
 
     # ---- changes ----
 
@@ -98,37 +110,37 @@ class GrowingIndex:
         if stream is not None and manifest["streams"].get(stream, -1) >= batch:
             return False
         version = manifest["version"] + 1
-        folder = f"{self.path}/segments/{version:012d}-{uuid.uuid4().hex[:8]}"
-        doc = F.lit(version << DOC_BITS) + F.col("_n")
-        placed = numbered(chunks, "_n").select(
-            *(F.concat("chunk_id", F.lit(KEY_END), doc).alias(c) if c == "chunk_id" else F.col(c) for c in chunks.columns), doc.alias("doc")
-        )
-        placed.write.parquet(f"{folder}/chunks")
-        placed = self.spark.read.parquet(f"{folder}/chunks")
-        term_arrays(placed, "text", self._options(manifest), ["chunk_id", "doc", "topic"]).write.parquet(f"{folder}/forward")
-        forward = self.spark.read.parquet(f"{folder}/forward")
-        _stats(forward).write.parquet(f"{folder}/stats")
+        name = f"segments/{version:012d}-{uuid.uuid4().hex[:8]}"
+        before = manifest.get("parts", (version + 1) << (OLDER_BITS - PART_BITS))
+        numbered = chunks.withColumn("doc", F.monotonically_increasing_id() + F.lit(before << PART_BITS))
+        key = F.concat("chunk_id", F.lit(KEY_END), "doc")
+        placed = numbered.select(*(key.alias(c) if c == "chunk_id" else F.col(c) for c in numbered.columns))
+        placed.write.option("compression", "zstd").parquet(f"{self.path}/{name}/chunks")
+        placed = self.spark.read.parquet(f"{self.path}/{name}/chunks")
+        self._write_stats(placed, name, self._options(manifest))
         streams = manifest["streams"] | ({stream: batch} if stream is not None else {})
-        added = {"segments": [*manifest["segments"], folder.removeprefix(f"{self.path}/")], "n_docs": manifest["n_docs"] + forward.count()}
+        row = placed.agg(F.count("*").alias("n"), F.max("doc").alias("last")).first()
+        parts = before if row["last"] is None else (row["last"] >> PART_BITS) + 1
+        added = {"segments": [*manifest["segments"], name], "n_docs": manifest["n_docs"] + row["n"], "parts": parts}
         self._publish(manifest | added | {"version": version, "streams": streams})
         return True
 
     def delete(self, ids: DataFrame) -> int:
         """Remove every chunk whose id is in `ids` (chunk_id); the number removed."""
         manifest = self.manifest()
-        forward = self._live(manifest, "forward")
-        if forward is None:
+        chunks = self._live(manifest, "chunks")
+        if chunks is None:
             return 0
         wanted = written(ids.select(F.col("chunk_id").alias("_id")).distinct(), "ids-to-delete")
         version = manifest["version"] + 1
         name = f"tombstones/{version:012d}-{uuid.uuid4().hex[:8]}"
-        named = forward.withColumn("_id", public_id())
+        named = chunks.select("doc", "chunk_id", "text").withColumn("_id", public_id())
         gone = named.join(small(wanted, at_most(wanted)), "_id", "left_semi").drop("_id")
-        gone = written(gone, "deleted")
+        gone = written(gone, "deleted", "zstd")
         n = gone.count()
         if n:
             gone.select("doc", "chunk_id").write.parquet(f"{self.path}/{name}/docs")
-            _stats(gone, -1).write.parquet(f"{self.path}/{name}/stats")
+            self._write_stats(gone, name, self._options(manifest), -1)
             changed = {"tombstones": [*manifest["tombstones"], name], "n_docs": manifest["n_docs"] - n}
             self._publish(manifest | changed | {"version": version})
         return n
@@ -140,9 +152,8 @@ class GrowingIndex:
             return
         version = manifest["version"] + 1
         name = f"segments/{version:012d}-{uuid.uuid4().hex[:8]}"
-        for part in ("chunks", "forward"):
-            self._live(manifest, part).write.parquet(f"{self.path}/{name}/{part}")
-        self._merged(manifest).write.parquet(f"{self.path}/{name}/stats")
+        self._live(manifest, "chunks").write.option("compression", "zstd").parquet(f"{self.path}/{name}/chunks")
+        self._merged(manifest).write.option("compression", "zstd").parquet(f"{self.path}/{name}/stats")
         self._publish(manifest | {"segments": [name], "tombstones": [], "version": version})
 
     def sink(self, stream: str) -> Callable[[DataFrame, int], None]:
@@ -160,11 +171,11 @@ class GrowingIndex:
         manifest = self.manifest()
         if not manifest["segments"]:
             raise ValueError("the index is empty")
-        merged = written(self._merged(manifest), "merged-stats")
-        forward = self._live(manifest, "forward")
+        merged = written(self._merged(manifest), "merged-stats", "zstd")
+        live = self._live(manifest, "chunks")
         # tokens lost to terms of one document, by that document
         once = merged.filter("df = 1").groupBy(F.col("docs").alias("doc")).agg(F.sum("cf").alias("lost"))
-        once = written(forward.select("doc", "chunk_id").join(once, "doc").select("chunk_id", "lost"), "lost-tokens")
-        chunks = self._live(manifest, "chunks").drop("doc")
+        once = written(live.select("doc", "chunk_id").join(once, "doc").select("chunk_id", "lost"), "lost-tokens")
+        chunks, texts = live.drop("doc"), live.select("chunk_id", "doc", "topic", "text")
         index = measured(chunks, manifest["n_docs"], self._options(manifest), merged.select("term", "df", "cf"))
-        return replace(index, forward=forward, once=once)
+        return replace(index, texts=texts, once=once)
